@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblode.llm import substring_dedup
+from weblode.llm import near_dedup, substring_dedup
 from weblode.llm.spark_io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", near_dedup.fingerprint_hex(F.col("bits")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

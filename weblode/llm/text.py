@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes handled by one vector pass; bounds a worker's memory whatever the batch.
 SLICE_BYTES = 4 << 20
@@ -164,7 +165,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     """Cuts a batch into runs of rows of about `limit` text bytes (one long row at least)."""
     if batch.num_rows == 0:
         return
-    size = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+    size = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     total = np.cumsum(size)
     at = 0
     while at < batch.num_rows:
