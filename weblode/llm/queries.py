@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblode.llm import near_dedup, substring_dedup, toxicity
+from weblode.llm import near_dedup, quality, substring_dedup, toxicity
 from weblode.llm.spark_io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -34,6 +38,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
+    "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
