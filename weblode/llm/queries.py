@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblode.llm import decontamination, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
+from weblode.llm import decontamination, mixing, near_dedup, quality, sharding, substring_dedup, token_output, toxicity
 from weblode.llm.spark_io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.encode_and_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_output": op6_token_output,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

@@ -11,13 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read back, so that a lost executor costs no lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset
-    (a local session, as in tests) a temporary one is made.
+    It is the one that `spark.checkpoint.dir` names; only where that is unset (a local
+    session, as in tests) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weblode-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read back, so that a lost executor costs no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
