@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weblode.llm import text as T
 from weblode.llm.spark_io import checkpointed
@@ -208,3 +208,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPO
     decided = decided.select("row_key", F.col("extra").alias("one"))
     copies = (F.col("base") + F.col("one")).cast("long")
     return rows.join(decided, "row_key").select("doc_id", "source", "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every document as often as it is taken. All columns, whatever their names."""
+    taken = mix(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("text_key").alias("__key"), "__copies")
+    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__text": F.xxhash64("text")})
+    met = keyed.join(taken, keyed["__doc"].eqNullSafe(taken["__id"]) & keyed["__source"].eqNullSafe(taken["__from"]) & (keyed["__text"] == taken["__key"]))
+    # Rows equal in id, source and text share their group's copies out among them.
+    nth = F.row_number().over(Window.partitionBy("__doc", "__source", "__text").orderBy(F.xxhash64(*(docs[c] for c in docs.columns))))
+    copies = met.withColumn("__n", nth).withColumn("__times", F.get("__copies", F.col("__n") - 1).cast("int")).where("__times > 0")
+    return copies.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)

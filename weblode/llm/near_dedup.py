@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.llm import hamming as H, text as T
 from weblode.llm.spark_io import checkpointed
@@ -37,12 +37,12 @@ TREE_ROWS = 50_000
 CELL_ROWS = 100_000
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in T.slices(batch, "text"):
             words = T.cut_words(part.column("text"), lower=True)
             bits = simhash(words, shingle_words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits)], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(bits)], ["doc_id", "text_key", "bits"])
 
 
 def simhash(words: T.Words, k: int) -> np.ndarray:
@@ -142,18 +142,31 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tree_rows: int = TREE_ROWS, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """(doc_id, bits, component_id): bits is the fingerprint as a signed long."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = checkpointed(texts.mapInArrow(lambda batches: fingerprints(batches, shingle_words), "doc_id long, bits long"))
+    """(doc_id, text_key, bits, component_id, component): the fingerprint as a signed long, and its component's smallest id and node."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    prints = checkpointed(texts.mapInArrow(lambda batches: _fingerprints(batches, shingle_words), "doc_id long, text_key long, bits long"))
     nodes = checkpointed(prints.groupBy("bits").agg(F.min("doc_id").alias("first")))
     cells = max(32, -(-nodes.count() * (radius + 1) // cell_rows))
     routed = tree_keys(nodes, radius, tree_rows).withColumn("cell", F.pmod(F.xxhash64("tree"), F.lit(cells)))
     links = routed.groupBy("cell").applyInArrow(lambda group: _forest(group, radius), "a long, b long")
     member = components(links)
     ids = member.join(nodes, member.node == nodes.bits).groupBy("comp").agg(F.min("first").alias("id"))
-    joined = member.join(ids, "comp").select(F.col("node").alias("bits"), "id")
-    resolved = nodes.join(joined, "bits", "left").select("bits", F.coalesce("id", "first").alias("component_id"))
-    return prints.join(resolved, "bits").select("doc_id", "bits", "component_id")
+    joined = member.join(ids, "comp").select(F.col("node").alias("bits"), "id", "comp")
+    resolved = nodes.join(joined, "bits", "left").select(
+        "bits", F.coalesce("id", "first").alias("component_id"), F.coalesce("comp", "bits").alias("component")
+    )
+    return prints.join(resolved, "bits").select("doc_id", "text_key", "bits", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component: that of the smallest id (nulls last). All columns, whatever their names."""
+    found = near_duplicates(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("kept")
+    kept = found.groupBy("component").agg(first).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key"))
+    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
+    met = keyed.join(kept, keyed["__doc"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"]))
+    order = Window.partitionBy("__doc", "__text").orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
+    return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
 
 
 def fingerprint_hex(bits: Column) -> Column:

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblode.llm import decontamination, mixing, near_dedup, quality, sharding, substring_dedup, token_output, toxicity
+from weblode.llm import decontamination, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, token_output, toxicity, url_filters
+from weblode.llm.oracle import ORACLE_SQL
 from weblode.llm.spark_io import table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -47,6 +50,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages come without fetch days and without a list; both are derived from the table by a fixed rule."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int").alias("fetch_day"))
+    return url_filters.judge(captures, url_filters.demo_entries(pages))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dedup.fingerprint_hex(F.col("bits")).alias("fingerprint"), "component_id")
@@ -60,36 +74,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_url_filters": op8_url_filters,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op2_decontamination": """
-        WITH item AS (
-            SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
-            FROM benchmark),
-        item_shingle AS (
-            SELECT item_id, len(w) AS n, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i, w FROM item WHERE len(w) > 0),
-        item_count AS (
-            SELECT item_id, n, k, array_to_string(w[i:i + k - 1], ' ') AS s, count(*) AS c FROM item_shingle GROUP BY ALL),
-        doc AS (
-            SELECT row_number() OVER () AS r, doc_id,
-                   list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
-            FROM documents WHERE text IS NOT NULL),
-        place AS (
-            SELECT r, doc_id, len(w) AS words, k, unnest(range(1, len(w) - k + 2)) AS i, w
-            FROM doc, (SELECT DISTINCT k FROM item_count) WHERE len(w) >= k),
-        doc_shingle AS (SELECT r, doc_id, words, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM place),
-        hit AS (SELECT r, doc_id, words, item_id, n, k, i, s, c FROM doc_shingle JOIN item_count USING (k, s)),
-        win AS (
-            SELECT DISTINCT r, doc_id, item_id, n, k, unnest(range(greatest(1, i - (n - k)), least(i, words - n + 1) + 1)) AS start FROM hit WHERE words >= n),
-        overlap AS (
-            SELECT r, doc_id, item_id, n, k, start, s, least(count(*), any_value(c)) AS o
-            FROM win JOIN hit USING (r, doc_id, item_id, n, k) WHERE i BETWEEN start AND start + n - k GROUP BY ALL),
-        scored AS (
-            SELECT r, doc_id, item_id, n, start, sum(o)::DOUBLE / (2 * (n - k + 1) - sum(o)) AS similarity FROM overlap GROUP BY r, doc_id, item_id, n, k, start)
-        SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(start, (-similarity, start)) - 1 AS INTEGER) AS start_word,
-               CAST(n AS INTEGER) AS n_words, CAST(count(*) AS INTEGER) AS windows
-        FROM scored WHERE similarity >= 0.8 GROUP BY r, doc_id, item_id, n
-    """,
-}

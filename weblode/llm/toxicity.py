@@ -274,6 +274,18 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold; all columns, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in itertools.chain.from_iterable(T.slices(b, "text") for b in batches):
+            words = plain_words(batch.column("text"))
+            x, _ = evidence_of(model, model.word_scores(*terms(words)), words.first)
+            yield batch.filter(pa.array(model.probability(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model fitted on the labelled, not held-out ones among them."""
     return score_texts(docs, fit(*sample(docs, labels)))
