@@ -129,35 +129,40 @@ class BenchmarkIndex:
             known = self.known(shingles, k) & T.within_rows(words.first, k)
             total = np.concatenate(([0], np.cumsum(known)))
             lengths = [x for x in self.lengths if x.k == k]
-            # Shingle positions of a row, short rows none; rows with too few known shingles end here.
-            begin, end = np.minimum(words.first[:-1], len(shingles)), np.minimum(np.maximum(words.first[1:] - k + 1, words.first[:-1]), len(shingles))
-            for row in np.flatnonzero(total[end] - total[begin] >= min(x.need for x in lengths)).tolist():
-                yield from self._row(row, lengths, shingles[begin[row] : end[row]], known[begin[row] : end[row]], radius)
-
-    def _row(self, row: int, lengths: list[Items], shingles: np.ndarray, known: np.ndarray, radius: int) -> Iterator[tuple]:
+            # Shingle positions of each row; rows with too few known shingles end here, the others are laid together.
+            begin = np.minimum(words.first[:-1], len(shingles))
+            end = np.minimum(np.maximum(words.first[1:] - k + 1, words.first[:-1]), len(shingles))
+            rows = np.flatnonzero(total[end] - total[begin] >= min(x.need for x in lengths))
+            if len(rows):
+                at = np.concatenate([np.arange(begin[r], end[r]) for r in rows.tolist()])
+                offsets = np.concatenate(([0], np.cumsum(end[rows] - begin[rows])))
+                for items in lengths:
+                    yield from self._windows(items, rows, offsets, shingles[at], known[at], radius)
+
+    def _windows(self, items: Items, rows: np.ndarray, offsets: np.ndarray, shingles: np.ndarray, known: np.ndarray, radius: int) -> Iterator[tuple]:
+        """Matches of one item length in the rows laid together."""
+        m = items.n_words - items.k + 1
+        if len(shingles) < m:
+            return
         total = np.concatenate(([0], np.cumsum(known)))
-        for items in lengths:
-            m = items.n_words - items.k + 1
-            if len(shingles) < m:
-                continue
-            starts = np.flatnonzero(total[m:] - total[:-m] >= items.need)
-            if not len(starts):
-                continue
-            best: dict[int, list] = {}
-            for part in range(0, len(starts), 4096):
-                at = starts[part : part + 4096]
-                spread = shingles[(at[:, None] + np.arange(m)).ravel()]
-                prints = H.majority_bits(spread, np.arange(len(at) + 1) * m)
-                for q, item in zip(*(x.tolist() for x in items.within(prints, radius)), strict=True):
-                    start = int(at[q])
-                    score = similarity(Counter(shingles[start : start + m].tolist()), items.shingles[item])
-                    if score >= self.threshold:
-                        found = best.setdefault(item, [score, start, 0])
-                        found[2] += 1
-                        if score > found[0]:
-                            found[:2] = [score, start]
-            for item, (score, start, windows) in best.items():
-                yield row, items.ids[item], score, start, items.n_words, windows
+        own = np.repeat(np.arange(len(rows)), np.diff(offsets))
+        place = np.arange(len(shingles) - m + 1)
+        starts = np.flatnonzero((total[m:] - total[:-m] >= items.need) & (place + m <= offsets[own[: len(place)] + 1]))
+        best: dict[tuple[int, int], list] = {}
+        for part in range(0, len(starts), 4096):
+            at = starts[part : part + 4096]
+            spread = shingles[(at[:, None] + np.arange(m)).ravel()]
+            prints = H.majority_bits(spread, np.arange(len(at) + 1) * m)
+            for q, item in zip(*(x.tolist() for x in items.within(prints, radius)), strict=True):
+                start, row = int(at[q]), int(own[at[q]])
+                score = similarity(Counter(shingles[start : start + m].tolist()), items.shingles[item])
+                if score >= self.threshold:
+                    found = best.setdefault((row, item), [score, start - int(offsets[row]), 0])
+                    found[2] += 1
+                    if score > found[0]:
+                        found[:2] = [score, start - int(offsets[row])]
+        for (row, item), (score, start, windows) in best.items():
+            yield int(rows[row]), items.ids[item], score, start, items.n_words, windows
 
 
 def _parts(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
