@@ -64,4 +64,6 @@ def write_category_folders(results: DataFrame, path: str, mode: str = "error", m
 def json_array(results: DataFrame) -> DataFrame:
     """One row holding all results as one JSON array; for results that fit one row."""
     rows = as_json(results)
-    return rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct("category", "url", *(c for c in rows.columns if c not in ("category", "url")))))).alias("value"))
+    each = F.struct("category", "url", "http_method", F.to_json(F.struct(*rows.columns)).alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(each)), lambda r: r["line"])
+    return rows.agg(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")).alias("value"))
