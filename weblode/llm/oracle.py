@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weblode.llm.license_scan import RULES, SENTENCES, rule_pattern
+from weblode.llm.sharding import SLOT_BUCKETS, Node, Topology, uniform_topology
 
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '')"
 _SEGMENT = "coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1), '')"
@@ -11,7 +12,57 @@ _KEYS = """list_distinct(list_concat(
     CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END))"""
 
 
+def _uniform(path: str, key: str) -> str:
+    return f"((('0x' || substr(md5('{path}:' || {key}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+
+
+def _least(nodes: tuple[Node, ...]) -> str:
+    """Index of the child with the least weighted draw."""
+    draws = ", ".join(f"-ln({_uniform(n.path, 'key')}) / {n.weight!r}" for n in nodes)
+    return f"(list_position([{draws}], list_min([{draws}])) - 1)"
+
+
+def _shard(topology: Topology) -> str:
+    """The shard of `key`: one CASE a level of the tree."""
+    racks = []
+    for region in topology.regions:
+        leaves = [f"([{', '.join(str(s.shard) for s in rack.children)}])[{_least(rack.children)} + 1]" for rack in region.children]
+        racks.append(f"CASE {_least(region.children)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(leaves)) + " END")
+    return f"CASE {_least(topology.regions)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(racks)) + " END"
+
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+# CRC-32 a byte at a time; the table of 256 follows from the polynomial.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda a, b: xor(a >> 8, crc_table[(xor(a, b) & 255) + 1])), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": f"""
+        WITH made AS (
+            SELECT list(list_reduce(list_prepend(n, [0, 1, 2, 3, 4, 5, 6, 7]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS crc_table
+            FROM (SELECT unnest(range(256))::BIGINT AS n)),
+        sized AS (
+            SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, CAST({_CRC} AS BIGINT) AS text_crc32
+            FROM documents, made),
+        placed AS (
+            SELECT *, {_shard(uniform_topology())} AS shard, {_shard(uniform_topology().grown())} AS grown_shard,
+                   floor({_uniform("slot", "(key || ':' || CAST(text_crc32 AS VARCHAR))")} * {SLOT_BUCKETS}) AS bucket
+            FROM sized)
+        SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS LAST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+        FROM placed
+    """,
+    "op7_substring_dedup": f"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM doc)),
+        again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN again USING (s)),
+        marks AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+        word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM doc),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM doc LEFT JOIN marks USING (r) LEFT JOIN kept USING (r)
+    """,
     "op2_decontamination": """
         WITH item AS (
             SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w

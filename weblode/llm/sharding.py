@@ -114,7 +114,8 @@ def shard_documents(docs: DataFrame, topology: Topology | None = None, buckets:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
     placed = _descend(_descend(sized, "doc_id", topology, "shard"), "doc_id", topology.grown(), "grown_shard")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
+    row_name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string"))
+    placed = placed.withColumn("bucket", F.floor(uniform(row_name, "slot") * buckets).cast("int"))
     same = ["shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard"]
     counted = placed.groupBy(*same).agg(F.count("*").alias("copies"))
     # At most shards x buckets rows, whatever the table.
