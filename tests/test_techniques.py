@@ -1,4 +1,5 @@
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def small(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("tables")
     for name in TABLES:
         table = spark.read.parquet(f"{DATA}/{name}.parquet")
-        (table.limit(30) if name in ("orders", "pages", "documents") else table.limit(5)).toPandas().to_parquet(folder / f"{name}.parquet")
+        pq.write_table((table.limit(30) if name in ("orders", "pages", "documents") else table.limit(5)).toArrow(), folder / f"{name}.parquet")
     return str(folder)
 
 
@@ -43,8 +44,8 @@ def test_against_sql(spark, small, name):
 
 # What the techniques without SQL find in their templates, with keys 7 and 9.
 FOUND = {
-    7: ["/a/7/{{DYNAMIC}}/b", "{{DYNAMIC}}/c/9", "{{DYNAMIC}}/b"],
-    12: ["/enc/7", "/a/", "/a.", "/a/"],
+    7: ["/a/7/{{DYNAMIC}}/b", "{{DYNAMIC}}/b", "{{DYNAMIC}}/c/9"],
+    12: ["/enc/7", "/a/", "/a/", "/enc/7", "/a/9", "/a/7"],
     15: ["/api/orders/7", "/get/9?a=1&b=2"],
     17: ["/ax/7?q=1", "/axc/9"],
     18: ["/jq/obj7", "/jq/text7", "/jq/get7?x=1", "/jq/post9"],

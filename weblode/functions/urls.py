@@ -1,7 +1,7 @@
 """URL expressions: category, validity, trimming, parameters, and URLs inside free text.
 
 All are Catalyst expressions over a string column, so they stay below the dedup's shuffle and
-can be pushed; `register` also publishes them as SQL functions.
+can be pushed; `functions.sql` publishes some of them to SQL.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 
 # Category names, file name of each, and the words that decide them.
 CATEGORY_FILES = {
@@ -180,8 +180,3 @@ def url_like(text: Column) -> Column:
     path = text.rlike("(?s)^/[^/]")
     host = text.rlike(r"^[a-zA-Z0-9][a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}(?:/|\z)")
     return (F.octet_length(text) >= 2) & (scheme | path | host)
-
-
-def decorated(method: Column, url: Column) -> Column:
-    """The line of a category file: the method, if any, before the URL."""
-    return F.concat_ws(" ", F.nullif(method, F.lit("")), F.translate(url, "\r\n", ""))

@@ -81,10 +81,7 @@ def _nested(content: Column, outer: tuple[str, ...], inner: str, gate: tuple[str
 
 
 def _none() -> Column:
-    return F.array().cast(F_HIT)
-
-
-F_HIT = decode.HIT_TYPE
+    return F.array().cast(decode.HIT_TYPE)
 
 
 def _forms(content: Column) -> Column:
@@ -106,7 +103,7 @@ def _scripts(content: Column) -> Column:
 
     def make(m: Column, i: Column) -> Column:
         rest = F.slice(gaps, i + 2, F.size(gaps) - i - 1)
-        made = F.transform(F.slice(F.transform(found, lambda x: x["g0"]), i + 2, F.size(found) - i - 1), lambda x: x)
+        made = F.transform(F.slice(found, i + 2, F.size(found) - i - 1), lambda x: x["g0"])
         joined = F.array_join(F.flatten(F.transform(F.arrays_zip(rest.alias("gap"), made.alias("made")), lambda x: F.array(x["gap"], F.coalesce(x["made"], F.lit(""))))), "")
         ahead = F.decode(F.substring(F.encode(F.substring(joined, 1, AHEAD_BYTES), "UTF-8"), 1, AHEAD_BYTES), "UTF-8")
         return hit(F.regexp_extract(ahead, SCRIPT_SOURCE, 1), m["line"], "high", "dynamic_script")

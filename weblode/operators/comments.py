@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from weblode.functions import urls as U
 from weblode.functions.decode import HIT_TYPE
-from weblode.functions.scan import Rule, first_of_each, gated, hit, matches, scan_all
+from weblode.functions.scan import Rule, first_of_each, gated, hit, matches, scan_all, to_java
 
 # The patterns of the detection rules.
 LINE_COMMENT = r"(?m)(?:^|[^:])//(.*)$"
@@ -23,11 +23,6 @@ ANY_LINE = r"(?m)//[\t\n\f\r ]*(.+)$"
 CODE = r"[=(;]"
 
 
-def _java(pattern: str) -> str:
-    """Only a newline ends a line."""
-    return pattern.replace("(?m)", "(?md)").replace("(?im)", "(?imd)")
-
-
 def _in_text(texts: Column, name: str) -> Column:
     """Hits for every URL in array<struct<line, text>>."""
     each = F.transform(texts, lambda m: F.transform(U.text_urls(m["text"]), lambda u: hit(u, m["line"], "low", name)))
@@ -35,7 +30,7 @@ def _in_text(texts: Column, name: str) -> Column:
 
 
 def _texts(content: Column, pattern: str) -> Column:
-    found = matches(content, _java(pattern), (1,))
+    found = matches(content, to_java(pattern), (1,))
     return F.coalesce(F.transform(found, lambda m: F.struct(m["line"].alias("line"), m["g1"].alias("text"))), F.array().cast("array<struct<line:int,text:string>>"))
 
 

@@ -42,7 +42,7 @@ def all_hits(docs: DataFrame, techniques: Iterable[int] = range(1, 68), with_par
     whole = docs.withColumn("fragment", F.lit(0))
     contents = whole.unionByName(fragments(docs)) if with_parsers else whole
     content = F.col("content")
-    found = [F.transform(registry.hits_of(content, t), lambda h: h) for t in techniques]
+    found = [registry.hits_of(content, t) for t in techniques]
     stage = F.when(F.col("fragment") == 0, F.lit(WHOLE)).otherwise(F.col("fragment"))
     tagged = F.transform(functools.reduce(F.concat, found) if len(found) > 1 else found[0], lambda h: h.withField("stage", stage))
     if with_parsers:
