@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weblode.llm import text as T
 
 #: Labelled documents that the model is fitted on: at most so many of each label, by the order of a hash of the id.
-SAMPLE_TOXIC = 2000
-SAMPLE_CLEAN = 4000
+SAMPLE_TOXIC = 1000
+SAMPLE_CLEAN = 2000
 #: Words kept by the model.
 MODEL_WORDS = 50_000
 THRESHOLD = 0.3
@@ -132,11 +132,11 @@ def best_segments(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
 def evidence_of(model: Model, scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
     """Summed -log expected count of each row's significant passages, and the passages.
 
-    A row without one has the (possibly negative) value of its best segment.
+    A row without one has the value of its best segment, at least 0; one without any segment has 0.
     """
     best = best_segments(scores, first)
     words = np.diff(first)
-    value = -np.log(np.maximum(model.expected(best / UNIT, words), 1e-300))
+    value = np.where(best > 0, np.maximum(-np.log(np.maximum(model.expected(best / UNIT, words), 1e-300)), 0.0), 0.0)
     passages: list[list[dict]] = [[] for _ in range(len(words))]
     for i in np.flatnonzero((best > 0) & (value > -np.log(model.significant))):
         a, b = int(first[i]), int(first[i + 1])
