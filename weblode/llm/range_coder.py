@@ -7,7 +7,7 @@ checksum. For each id the coder mixes three predictions:
   confidence of 0 to 3;
 * order 0: an adaptive distribution over the id's high and low byte.
 
-The mixture's weights are learned for each pair of confidences. The id is coded as "what order 2
+The mixture's weights follow from the confidences, which adapt with every id. The id is coded as "what order 2
 says", else "what order 1 says", else its two bytes under order 0, all by one narrowing of a
 64-bit range with 36-bit frequencies; 16-bit words leave at the top, a carry runs back into
 the words written. Blocks are lanes of numpy vectors: one step codes the next id of each.
@@ -24,15 +24,31 @@ import numpy as np
 
 #: Ids of one block, and blocks coded at once.
 BLOCK_IDS = 2048
-LANES = 4096
+LANES = 2048
 MAGIC = b"CMR1"
 _HEADER = struct.Struct("<4sIII")
 _CONTEXT_BITS = 10
 _U = np.uint64
 _FLOOR = _U(1 << 48)
-_REBUILD = 256
+_REBUILD = 512
 _MIX1, _MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_ONE, _TWO, _THREE = np.uint32(1), np.uint32(2), np.uint32(3)
+_ONE, _TWO, _THREE, _SIXTEEN = np.uint32(1), np.uint32(2), np.uint32(3), np.uint32(16)
+# Shares (of 4096) of order 2, and of both orders, by agreement and the confidences of order 2 and order 1.
+_BELIEF = (0.01, 0.30, 0.62, 0.86)
+
+
+def _shares() -> tuple[np.ndarray, np.ndarray]:
+    two, upto = [], []
+    for agree in (False, True):
+        for sure2 in _BELIEF:
+            for sure1 in _BELIEF:
+                own = max(sure2, sure1) if agree else sure2
+                two.append(1 + int(4090 * own))
+                upto.append(two[-1] + (0 if agree else 1 + int((4094 - two[-1]) * sure1 * 0.9)))
+    return np.array(two), np.array(upto)
+
+
+_SHARE2, _UPTO1 = _shares()
 
 
 class DamagedBlock(ValueError):
@@ -40,55 +56,51 @@ class DamagedBlock(ValueError):
 
 
 class _Model:
-    """Model state of all lanes in flat arrays; of paired ones the first half is order 1 (or high bytes)."""
+    """Model state of all lanes; row 0 of paired arrays is order 1 (or high bytes), row 1 is order 2 (or low bytes)."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
         self.lanes = lanes
-        self.base1, self.base2 = lane << _CONTEXT_BITS, (lane + lanes) << _CONTEXT_BITS
+        self.base = np.stack([lane, lane + lanes]) << _CONTEXT_BITS
         self.follow = np.zeros(2 * lanes << _CONTEXT_BITS, np.uint32)  # id << 2 | confidence
-        self.slot = lane << 5
-        sure = np.arange(32)
-        start = np.array([600, 20000, 42000, 56000], np.int32)
-        # Weight of order 2, and of order 1 where order 2 fails, in 1 / 65,536, by both confidences and whether both say the same.
-        self.weight1, self.weight2 = np.tile(start[(sure >> 1) & 3], lanes), np.tile(start[sure >> 3], lanes)
         self.counts = np.ones(2 * lanes * 256, np.int32)
         self.byte_base = lane << 8
         self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.starts = self.widths = np.empty(0, np.int64)
+        self.spans = np.empty(0, np.int64)  # start << 12 | width - 1 of each byte
 
     def rebuild(self, step: int) -> bool:
         """Refreshes the order-0 frequencies (of 4096) now and then, sooner at the start."""
-        if step % _REBUILD and step not in (16, 64, 128):
+        if step % _REBUILD and step not in (16, 64, 192):
             return False
         total = np.cumsum(self.counts.reshape(-1, 256), axis=1, dtype=np.int32)
         stops = total * np.int32(4096 - 256) // total[:, -1:] + np.arange(1, 257, dtype=np.int32)
         widths = np.diff(stops, axis=1, prepend=np.int32(0))
-        self.starts, self.widths = (stops - widths).ravel(), widths.ravel()
+        self.widths = widths.ravel()
+        self.spans = ((stops - widths).ravel().astype(np.int64) << 12) | (self.widths - 1)
         return True
 
+    def span(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of a byte's share."""
+        both = self.spans.take(at)
+        return both >> 12, (both & 4095) + 1
+
     def predict(self, n: int) -> None:
         """Predictions and mixture frequencies (of 4096) of the first n lanes."""
-        shift = np.uint32(32 - _CONTEXT_BITS)
-        h = self.prev1[:n] * _MIX1
-        self.at1 = self.base1[:n] + (h >> shift)
-        self.at2 = self.base2[:n] + ((h + self.prev2[:n] * _MIX2) >> shift)
-        self.entry1, self.entry2 = self.follow.take(self.at1), self.follow.take(self.at2)
-        self.say1, self.say2 = self.entry1 >> _TWO, self.entry2 >> _TWO
-        self.sure1, self.sure2 = self.entry1 & _THREE, self.entry2 & _THREE
-        self.agree = self.say1 == self.say2
-        self.ctx = self.slot[:n] + ((((self.sure2 << _TWO) | self.sure1) << _ONE) | self.agree)
-        self.w1, self.w2 = self.weight1.take(self.ctx), self.weight2.take(self.ctx)
-        self.f2 = (self.w2 * np.int32(4092) >> 16) + np.int32(1)
-        self.f1 = ((self.w1 * (np.int32(4094) - self.f2) >> 16) + np.int32(1)) * ~self.agree
-
-    def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        full = np.int32(65535)
-        self.weight1[self.ctx] = self.w1 + ((is1 * full - self.w1) >> 5) * ~(is2 | self.agree)
-        self.weight2[self.ctx] = self.w2 + ((is2 * full - self.w2) >> 5)
-        fresh = (ids << _TWO) | _ONE
-        self.follow[self.at1] = np.where(self.say1 == ids, self.entry1 + (self.sure1 < 3), np.where(self.sure1 > 1, self.entry1 - _ONE, fresh))
-        self.follow[self.at2] = np.where(is2, self.entry2 + (self.sure2 < 3), np.where(self.sure2 > 1, self.entry2 - _ONE, fresh))
+        h = np.empty((2, n), np.uint32)
+        np.multiply(self.prev1[:n], _MIX1, out=h[0])
+        np.multiply(self.prev2[:n], _MIX2, out=h[1])
+        h[1] += h[0]
+        h >>= np.uint32(32 - _CONTEXT_BITS)
+        self.at = self.base[:, :n] + h
+        self.entry = self.follow.take(self.at)
+        self.sure, self.say = self.entry & _THREE, self.entry >> _TWO
+        both = (self.sure[1] << _TWO) | self.sure[0]
+        both += (self.say[0] == self.say[1]) * _SIXTEEN
+        self.f2, self.upto1 = _SHARE2.take(both), _UPTO1.take(both)
+
+    def learn(self, n: int, ids: np.ndarray) -> None:
+        kept = np.where(self.sure > 1, self.entry - _ONE, (ids << _TWO) | _ONE)
+        self.follow[self.at] = np.where(self.say == ids, self.entry + (self.sure < 3), kept)
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
 
@@ -96,12 +108,6 @@ class _Model:
         self.counts[high_at] += 24
         self.counts[low_at] += 24
 
-    def spans(self, is2: np.ndarray, is1: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width, of 2^36, of what the mixture says; for unforetold ids the start of their share."""
-        start = self.f2 * ~is2 + self.f1 * other
-        size = np.where(is2, self.f2, self.f1)
-        return start.astype(np.int64) << 24, size.astype(np.int64) << 24
-
 
 def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Code words of each lane; sizes must not rise."""
@@ -129,16 +135,14 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         model.rebuild(t)
         model.predict(n)
         x = by_step[t, :n]
-        is2 = model.say2 == x
-        is1 = (model.say1 == x) & ~is2
-        other = ~(is2 | is1)
-        start, size = model.spans(is2, is1, other)
-        plain = np.flatnonzero(other)
+        is2, is1 = model.say[1] == x, model.say[0] == x
+        start = np.where(is2, 0, np.where(is1, model.f2, model.upto1)) << 24
+        size = np.where(is2, model.f2, model.upto1 - model.f2) << 24
+        plain = np.flatnonzero(~(is2 | is1))
         if len(plain):
             byte, own = model.byte_base.take(plain), x.take(plain)
             high, last = byte + (own >> np.uint32(8)), byte + (own & np.uint32(255)) + (lanes << 8)
-            a, wide = model.starts.take(high).astype(np.int64), model.widths.take(high).astype(np.int64)
-            b, thin = model.starts.take(last), model.widths.take(last)
+            (a, wide), (b, thin) = model.span(high), model.span(last)
             rest = 4096 - (start.take(plain) >> 24)
             start[plain] += rest * ((a << 12) + wide * b)
             size[plain] = rest * (wide * thin)
@@ -158,7 +162,7 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
             narrow[thin] = left
             thin = thin[left < _FLOOR]
         low[:n], width[:n] = after, narrow
-        model.learn(n, x, is2, is1)
+        model.learn(n, x)
     every = np.arange(lanes)
     for i in range(4):
         emit(every, low << _U(16 * i))
@@ -190,11 +194,10 @@ def _decode_lanes(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         unit = width[:n] >> _U(36)
         value = np.minimum(code[:n] // unit, _U((1 << 36) - 1)).view(np.int64)
         part = value >> 24
-        is2 = part < model.f2
-        other = part >= model.f2 + model.f1
-        is1 = ~(is2 | other)
-        start, size = model.spans(is2, is1, other)
-        x = np.where(is2, model.say2, model.say1)
+        is2, other = part < model.f2, part >= model.upto1
+        start = np.where(is2, 0, np.where(other, model.upto1, model.f2)) << 24
+        size = np.where(is2, model.f2, model.upto1 - model.f2) << 24
+        x = np.where(is2, model.say[1], model.say[0])
         plain = np.flatnonzero(other)
         if len(plain):
             begin, byte, lut = start.take(plain), model.byte_base.take(plain), lut_base.take(plain)
@@ -202,10 +205,10 @@ def _decode_lanes(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
             inner = (value.take(plain) - begin) // rest
             first = find.take(lut + (inner >> 12))
             high = byte + first
-            a, wide = model.starts.take(high).astype(np.int64), model.widths.take(high).astype(np.int64)
+            a, wide = model.span(high)
             second = find.take(lut + (inner - (a << 12)) // wide + (lanes << 12))
             last = byte + second + (lanes << 8)
-            b, thin = model.starts.take(last), model.widths.take(last)
+            b, thin = model.span(last)
             start[plain] = begin + rest * ((a << 12) + wide * b)
             size[plain] = rest * (wide * thin)
             x[plain] = (first.astype(np.uint32) << np.uint32(8)) | second
@@ -222,7 +225,7 @@ def _decode_lanes(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
             thin = thin[left < _FLOOR]
         code[:n], width[:n] = ahead, narrow
         ids[t, :n] = x
-        model.learn(n, x, is2, is1)
+        model.learn(n, x)
     return np.ascontiguousarray(ids.T)
 
 

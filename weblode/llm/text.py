@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled by one vector pass; bounds a worker's memory whatever the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -39,6 +39,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes (padded by 8) and the n + 1 offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

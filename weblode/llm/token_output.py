@@ -20,6 +20,7 @@ each; an empty table writes no block and reads back empty; other columns are not
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,25 +28,54 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
 from weblode.llm import range_coder as R, text as T
-from weblode.llm.spark_io import shared_folder
+from weblode.llm.spark_io import checkpointed, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19  # a power of two, and more than one slice can hold
+#: Text bytes tokenized at once: word arrays take some twenty bytes for each.
+SLICE_BYTES = 1 << 20
 BLOCKS = (
     "part int, block int, first long, n_ids int, payload binary, doc_no long, resumes boolean, doc_ids array<long>, doc_sizes array<int>"
 )
 PIECES = "part int, doc_no long, doc_id long, piece int, lone boolean, first long, n long, crc long"
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_OPEN = _LETTER.copy()
+_OPEN[128:] = True
+# ASCII punctuation that always starts a token after a letter; an apostrophe may belong to a contraction.
+_CUT = np.zeros(256, bool)
+_CUT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def cut_pieces(column: pa.Array) -> T.Words:
+    """Words, those of the form letters + punctuation cut in two; ASCII in lower case, as the tokenizer has it.
+
+    Neither changes any token: a letter and a punctuation mark never share one. Texts that may
+    spell a special token, which is sensitive to case, are left as they are.
+    """
+    words = T.cut_words(column)
+    data = words.data if b"<|" in words.data.tobytes() else T.lower_ascii(words.data)
+    other = np.flatnonzero(~_OPEN[data])  # the padding ends every search
+    at = other[np.searchsorted(other, words.starts)]
+    cut = at[(at < words.ends) & (at > words.starts)]
+    cut = cut[_LETTER[data[cut - 1]] & _CUT[data[cut]]]
+    starts = np.sort(np.concatenate([words.starts, cut]))
+    return T.Words(data, words.rows, starts, np.sort(np.concatenate([words.ends, cut])), np.searchsorted(starts, words.rows))
+
+
 class WordTokenizer:
-    """Ids of texts by way of their distinct words; exact for tokenizers that never join words across white space."""
+    """Ids of texts by way of their distinct pieces; exact for tokenizers that never join words across white space."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,36 +83,87 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.place = np.empty(0, np.uint64), np.empty((0, 2), np.int64)
+        # An open hash table: slot of a piece by its hash (never 0), then where its ids begin and how many they are.
+        self.keys, self.slots = np.zeros(4 * self.cache_words, np.uint64), np.zeros(4 * self.cache_words, np.int32)
+        self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 if it is not known."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(hashes), -1, np.int64)
+        todo, at = np.arange(len(hashes)), (hashes & mask).astype(np.int64)
+        while len(todo):
+            there = self.keys.take(at)
+            hit = there == hashes[todo]
+            out[todo[hit]] = self.slots.take(at[hit])
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) & int(mask)
+        return out
+
+    def _insert(self, hashes: np.ndarray) -> None:
+        """Puts distinct new pieces in, with the next slots in order."""
+        mask = len(self.keys) - 1
+        todo, at = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
+        base = len(self.begin)
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[todo[free]]  # of several at one place the last stays
+            mine = self.keys[at] == hashes[todo]
+            self.slots[at[mine]] = base + todo[mine]
+            todo, at = todo[~mine], (at[~mine] + 1) & mask
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of single words, by one call on all of them: each ends with the word's last token."""
+        runs = [" ".join(texts[i : i + 4096]) for i in range(0, len(texts), 4096)]
+        ids = np.array([i for x in self._encode(runs) for i in x], np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(texts):  # a tokenizer that cuts these words further, or does not mark their ends
+            lists = self._encode(texts)
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        return ids, np.diff(last, prepend=-1)
+
     def _learn(self, new: np.ndarray, spans: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in spans], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        size = np.array([len(x) for x in lists], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.uint32)])
-        keys = np.concatenate([self.keys, new])
-        place = np.concatenate([self.place, np.stack([at, size], axis=1)])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.place = keys[order], place[order]
+        texts = [w.decode("utf-8", "replace") for w in spans]
+        plain = np.array([bool(_LETTERS.fullmatch(t)) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts], bool)
+        ids, sizes = self._encode_words([t for t, p in zip(texts, plain, strict=True) if p]) if plain.any() else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        rest = self._encode([t for t, p in zip(texts, plain, strict=True) if not p])
+        size = np.zeros(len(texts), np.int64)
+        size[plain] = sizes
+        size[~plain] = [len(x) for x in rest]
+        ids = np.concatenate([ids, np.array([i for x in rest for i in x], np.uint32)])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        at = np.empty(len(texts), np.int64)
+        at[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
+        self._insert(new)
+        self.ids = np.concatenate([self.ids, ids])
+        self.begin, self.size = np.concatenate([self.begin, at.astype(np.int32)]), np.concatenate([self.size, size.astype(np.int32)])
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the number of each text's ids."""
-        words = T.cut_words(column)
-        distinct, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > self.cache_words:
-            self._clear()
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        words = cut_pieces(column)
+        hashes = np.maximum(words.hashes(), np.uint64(1))
+        slot = self._find(hashes)
+        new = np.flatnonzero(slot < 0)
         if len(new):
-            raw = words.data.tobytes()
-            self._learn(distinct[new], [raw[a:b] for a, b in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)])
-        start, size = self.place[np.searchsorted(self.keys, distinct)].T if len(distinct) else (np.empty(0, np.int64),) * 2
-        size, start = size[inverse], start[inverse]
+            distinct, first = np.unique(hashes[new], return_index=True)
+            if len(self.begin) + len(distinct) > self.cache_words:
+                self._clear()
+                distinct, first = np.unique(hashes, return_index=True)
+                new = np.arange(len(hashes))
+            first, raw = new[first], words.data.tobytes()
+            self._learn(distinct, [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
+            slot = self._find(hashes)
+        size, start = self.size.take(slot).astype(np.int64), self.begin.take(slot).astype(np.int64)
         totals = T.row_sums(size, words.first) + 1
         stop = np.cumsum(totals)
         out = np.full(int(totals.sum()), end_id, np.uint32)
@@ -143,7 +224,7 @@ def _file_rows(path: str, end_id: int):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[i : i + 512], strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for some in T.slices(batch, "text"):
+            for some in T.slices(batch, "text", SLICE_BYTES):
                 ids, sizes = tokenizer.encode(some.column("text"), end_id)
                 held.append(ids)
                 held_n += len(ids)
@@ -264,7 +345,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
         base.append((row["part"], before))
         before += row["n"]
     parts = spark.createDataFrame(base, "part int, base long")
-    pieces = blocks.mapInArrow(_digest, PIECES)
+    pieces = checkpointed(blocks.mapInArrow(_digest, PIECES))  # decoded once, read twice below
     lone = pieces.where("lone").select("part", "doc_id", "first", "n", "crc")
     cut = pieces.where("not lone").groupBy("part", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "first", "n", "crc"))).alias("at"))
     whole = cut.select(
