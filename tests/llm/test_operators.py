@@ -435,6 +435,74 @@ def test_license_scan(spark):
     assert re.search(license_scan.rule_pattern((1, 2)), ",5,1,7,9,2,")
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_license_scan_of_verbatim_notices(spark):
+    notices = {
+        MIT: "MIT-text", APACHE: "Apache-2.0,Apache-2.0-header", BSD2: "BSD-2-Clause", BSD2 + BSD3: "BSD-2-Clause,BSD-3-Clause", GPL: "GPL-header", MPL: "MPL-2.0", ISC: "ISC",
+        BSD2 + BSD3.replace("copyright holder", "University of Somewhere, Inc."): "BSD-2-Clause,BSD-3-Clause",
+        "Copyright X, licensed under the MIT License.": "MIT-notice", "This file is released under the MIT License.": "MIT", "Released under the\r\nMIT License - see LICENSE": "MIT",
+        "unreleased under the MIT License": "", "not released under the MIT License": "", "released under the MIT License of X": "",
+    }
+    unwrapped = [" ".join(re.sub(r"\n[ ]*[#*]", "\n", n).split()) for n in notices]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(table(spark, [*notices, *unwrapped])).collect()}
+    assert [got[i] for i in range(len(got))] == [*notices.values()] * 2
+    full = license_scan.scan(table(spark, [MIT, APACHE, BSD2 + BSD3, GPL])).orderBy("doc_id").collect()
+    assert [r.sequence for r in full] == ["3,4,5", "6,7,8,9", "17,18,19,20", "11,12,13"]
+
+
 # ---- 10 near-dedup ---------------------------------------------------------------------
 
 

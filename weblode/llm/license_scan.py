@@ -1,12 +1,16 @@
 """License scan by sentence rules (op 9); DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of anything but letters a-z
-and digits to one space) and looked up among the known licence sentences. The identifiers
-found, in order, are the text's sequence; a rule is an ordered list of identifiers that must
-stand in the sequence in that order, other sentences between them allowed.
+A known sentence is found wherever its words stand one after the other (lower case, anything
+but letters a-z and digits apart), whatever line breaks, comment marks or punctuation lie
+between them, so a hard-wrapped notice and "v. 2.0" are whole. It must begin and end at the
+bound of a clause: an end of the text, a line break, a URL, a comma, colon, semicolon, bracket,
+double quote or dash, or `.`, `!`, `?` before anything but a letter or digit. Before it may stand one
+of the known leads ("this file is"), after it the rest of the official sentence. The
+identifiers found, in order, are the text's sequence; a rule is an ordered list of identifiers
+that must stand in the sequence in that order, other sentences between them allowed.
 
-A sentence ends at a line break or at `.`, `!`, `?` or `;` before a blank, so "Version 2.0"
-stays whole.
+`n_sentences` counts the pieces between line breaks and `.`, `!`, `?` or `;` before a blank. The
+SQL looks up only whole pieces: every sentence it finds is found here, but not the reverse.
 
 Everything is one projection: no shuffle, no join, no row of its own for a sentence.
 
@@ -65,7 +69,22 @@ RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
     ("Proprietary", (24,)),
     ("Unlicense", (22,)),
 )
+#: How the official sentence goes on where the known one is its beginning.
+RESTS: dict[int, str] = {
+    3: "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+    " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    5: "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    9: "without warranties or conditions of any kind either express or implied",
+    11: "as published by the free software foundation",
+    19: "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    20: "without specific prior written permission",
+    23: "provided that the above copyright notice and this permission notice appear in all copies",
+}
+#: Parts of sentences that the official texts leave to their users, as patterns.
+SLOTS = {20: ("the copyright holder", "(?:[a-z0-9]+ ){0,11}?[a-z0-9]+"), 23: ("and or", "and(?: or)?")}
+LEAD = "(?:this|the) (?:code|file|library|module|package|program|project|repository|script|software|source code|work) is"
 SENTENCE_END = r"[\n\r]+|[.!?;]+[ \t]+"
+CLAUSE_END = r"""https?://\S*|[\n\r,:;()\[\]{}"\u201c\u201d\u2013\u2014|]|[.!?](?![a-z0-9])|(?<=\s)-+(?=\s)"""
 
 
 def sentences(text: Column) -> Column:
@@ -75,10 +94,25 @@ def sentences(text: Column) -> Column:
     return F.filter(plain, lambda s: s != "")
 
 
-def sentence_ids(found: Column) -> Column:
-    """Identifiers of the known ones among normalised sentences, in order."""
-    known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    return F.filter(F.transform(found, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+def clauses(text: Column) -> Column:
+    """The words of the text with `|` at every bound of a clause."""
+    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), CLAUSE_END, "|")
+    return F.concat(F.lit("|"), F.regexp_replace(marked, "[^a-z0-9|]+", " "), F.lit("|"))
+
+
+def sentence_pattern(i: int) -> str:
+    """The known sentence as a pattern over `clauses`, its rest optional."""
+    words = SENTENCES[i].replace(*SLOTS[i]) if i in SLOTS else SENTENCES[i]
+    return (words + (f"(?: {RESTS[i]})?" if i in RESTS else "")).replace(" ", "[ |]+")
+
+
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in order."""
+    lead = f"(?:{LEAD} )?".replace(" ", "[ |]+")
+    known = "|".join(map(sentence_pattern, SENTENCES))
+    found = F.regexp_extract_all(clauses(text), F.lit(rf"\|[ |]*{lead}({known})(?=[ |]*\|)"), F.lit(1))
+    which = lambda s: F.coalesce(*(F.when(s.rlike(f"^{sentence_pattern(i)}$"), F.lit(i)) for i in SENTENCES))
+    return F.transform(found, which)
 
 
 def rule_pattern(ids: tuple[int, ...]) -> str:
@@ -88,8 +122,9 @@ def rule_pattern(ids: tuple[int, ...]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_known, sequence, licenses) of every document; licenses are joined by commas."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("found"))
-    known = found.select("doc_id", F.size("found").alias("n_sentences"), sentence_ids(F.col("found")).alias("ids"))
+    known = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.size(sentences(F.col("text"))).alias("n_sentences"), sentence_ids(F.col("text")).alias("ids")
+    )
     line = known.select("doc_id", "n_sentences", F.size("ids").alias("n_known"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("sequence"))
     marked = F.concat(F.lit(","), F.col("sequence"), F.lit(","))
     hits = [F.when(marked.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in RULES]
