@@ -129,3 +129,18 @@ def test_plans_over_pages(spark, name):
     from weblode.plans.queries import QUERIES
 
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_summaries_run_all_techniques(spark, monkeypatch):
+    from weblode.plans.queries import QUERIES
+
+    seen, few = [], engine.all_hits
+
+    def all_hits(docs, techniques, with_parsers):
+        seen.append((techniques, with_parsers))
+        return few(docs, (2,), False)
+
+    monkeypatch.setattr(engine, "all_hits", all_hits)
+    for name in ("category_summary", "technique_confidence_rollup"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [(list(range(1, 68)), True)] * 2

@@ -138,8 +138,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: pages through the HTML parser and the lexical techniques, validated, first wins, counted by category."""
-    results = engine.extract(pages(spark, sf_dir), techniques=(1, 2, 4, 14), sort=False)
+    """The flagship: pages through the HTML parser and all techniques, validated, first wins, counted by category."""
+    results = engine.extract(pages(spark, sf_dir), sort=False)
     return relational.category_summary(results)
 
 
@@ -148,7 +148,7 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def technique_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.technique_summary(engine.extract(pages(spark, sf_dir), techniques=(1, 2, 4, 14), sort=False))
+    return relational.technique_summary(engine.extract(pages(spark, sf_dir), sort=False))
 
 
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
