@@ -1,68 +1,34 @@
-"""Arrow UDFs for what regular expressions cannot do: balanced call arguments and encoded text.
+"""What patterns alone cannot read: balanced call arguments and encoded text.
 
-Each takes whole contents a batch at a time and returns arrays of hit structs like the scans do.
-Most documents never get here: the markers are tested natively first.
+The finders here take one content each and yield (url, offset, other fields); the decoders read
+what a scan found. Contents get here only if they have the marker.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import bisect
 import html
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+import numpy as np
 
 from weblode.functions import urls as U
+from weblode.functions.scan import HIT_TYPE, MIB, Hit, Lines, Technique, Texts, first_of_each, hit
+from weblode.functions.urls import clean, names_in_query
 
-_FIELDS = ("url", "source_line", "http_method", "query_params", "body_params", "category", "confidence", "detection_method")
-_STRINGS = ArrayType(StringType())
-HIT_TYPE = ArrayType(
-    StructType(
-        [StructField(n, IntegerType() if n == "source_line" else _STRINGS if n.endswith("params") else StringType()) for n in _FIELDS]
-    )
-)
-MIB = 1 << 20
+__all__ = ["HIT_TYPE", "Lines", "clean", "names_in_query"]
 Found = tuple[str, int, dict]
 
 
-class Lines:
-    """Line numbers of offsets: one pass over the text, then binary search."""
-
-    def __init__(self, text: str):
-        self.breaks = [m.start() for m in re.finditer("\n", text)]
-
-    def __call__(self, offset: int) -> int:
-        return bisect.bisect_left(self.breaks, offset) + 1
-
-
-def hits_udf(find: Callable[[str], Iterator[Found]], name: str, confidence: str, once: bool = True) -> Callable[[Column], Column]:
-    """A column function from a generator of (url, offset, other fields)."""
-
-    def one(text: str | None) -> list[dict]:
-        out, seen, line = [], set(), None
-        for url, offset, more in find(text) if text else ():
-            if once and url in seen:
-                continue
-            seen.add(url)
+def hits(texts: Texts, find: Callable[[str], Iterator[Found]], confidence: str, name: str, gate: tuple[str, ...] = (), among: np.ndarray | None = None) -> Iterator[Hit]:
+    """The hits of a finder over single contents."""
+    for doc in np.flatnonzero(texts.having(gate) if among is None else among).tolist():
+        text, line = texts.text(doc), None
+        for url, offset, more in find(text):
             line = line or Lines(text)
-            row = {"url": url, "source_line": line(offset), "http_method": "", "query_params": [], "body_params": [], "category": None, "confidence": confidence, "detection_method": name}
-            out.append(row | more)
-        return out
-
-    def run(contents: pd.Series) -> pd.Series:
-        return contents.map(one)
-
-    return lambda content: F.pandas_udf(run, HIT_TYPE)(content)
-
-
-def only_if(condition: Column, content: Column, udf: Callable[[Column], Column]) -> Column:
-    """Hands the UDF only contents that pass; Spark evaluates a UDF for every row, so the others go in as null."""
-    return F.coalesce(udf(F.when(condition, content)), F.array().cast(HIT_TYPE))
+            yield hit(doc, url, line(offset), confidence, name, **more)
 
 
 # ---- call sites -------------------------------------------------------------------------
@@ -79,22 +45,51 @@ def _string_end(text: str, quote: int) -> int:
     return -1
 
 
+class Calls:
+    """Where the parentheses of a text close, found in passes that never read the same stretch twice.
+
+    A pass reads brackets and skips quoted strings from one opening parenthesis on. Another one that
+    meets a parenthesis that an earlier pass has read goes on behind its end: from there on both would
+    read the same, whatever stands in quotes before.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.closing: dict[int, int] = {}
+
+    def _read(self, opening: int) -> None:
+        text, stack, at = self.text, [], opening
+        while m := _BRACKET.search(text, at):
+            c, at = m.group(), m.end()
+            if c in "\"'`":
+                end = _string_end(text, m.start())
+                if end < 0:
+                    break
+                at = end + 1
+            elif c == "(":
+                known = self.closing.get(m.start())
+                if known is None:
+                    stack.append(m.start())
+                elif known < 0:
+                    break
+                else:
+                    at = known + 1
+            elif c == ")":
+                self.closing[stack.pop()] = m.start()
+                if not stack:
+                    return
+        for unclosed in stack:
+            self.closing[unclosed] = -1
+
+    def inside(self, opening: int) -> str:
+        """What stands between the parenthesis at `opening` and the one that balances it; empty if none does."""
+        if opening not in self.closing:
+            self._read(opening)
+        return self.text[opening + 1 : max(self.closing[opening], opening + 1)]
+
+
 def call_text(text: str, opening: int) -> str:
-    """What stands between the parenthesis at `opening` and the one that balances it; empty if none does."""
-    depth, at = 0, opening
-    while m := _BRACKET.search(text, at):
-        c, at = m.group(), m.end()
-        if c in "\"'`":
-            if (end := _string_end(text, m.start())) < 0:
-                return ""
-            at = end + 1
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            depth -= 1
-            if not depth:
-                return text[opening + 1 : m.start()]
-    return ""
+    return Calls(text).inside(opening)
 
 
 def argument(call: str, number: int) -> str:
@@ -127,13 +122,6 @@ def literal(text: str) -> str:
     return text[1:end] if end >= 0 else ""
 
 
-def names_in_query(url: str) -> list[str]:
-    if "?" not in url:
-        return []
-    query = url.split("?", 1)[1].split("#", 1)[0]
-    return [n for pair in query.split("&") if (n := pair.split("=", 1)[0].strip())]
-
-
 # Options of call objects.
 _VERBS = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS"
 _METHOD = re.compile(rf"""method\s*:\s*["'`]({_VERBS})["'`]""", re.I | re.A)
@@ -154,38 +142,41 @@ def _first(pattern: re.Pattern, text: str) -> str:
 
 
 def fetch_calls(text: str) -> Iterator[Found]:
+    calls = Calls(text)
     for m in _FETCH.finditer(text):
-        call = call_text(text, m.end() - 1)
+        call = calls.inside(m.end() - 1)
         url = literal(argument(call, 0))
         if "/" in url:
             options = argument(call, 1)
             body = _KEY.findall(_first(_BODY, options))
-            yield url, m.start(), {"http_method": _first(_METHOD, options).upper(), "query_params": names_in_query(url), "body_params": body}
+            yield url, m.start(), {"method": _first(_METHOD, options).upper(), "query": names_in_query(url), "body": body}
 
 
 def axios_calls(text: str) -> Iterator[Found]:
+    calls = Calls(text)
     for m in _AXIOS_VERB.finditer(text):
-        url = literal(argument(call_text(text, m.end() - 1), 0))
+        url = literal(argument(calls.inside(m.end() - 1), 0))
         if "/" in url:
-            yield url, m.start(), {"http_method": m.group(1).upper(), "query_params": names_in_query(url)}
-    yield from _configured(text, _AXIOS_CONFIG, lambda call: _first(_METHOD, call))
+            yield url, m.start(), {"method": m.group(1).upper(), "query": names_in_query(url)}
+    yield from _configured(calls, _AXIOS_CONFIG, lambda call: _first(_METHOD, call))
 
 
 def jquery_configs(text: str) -> Iterator[Found]:
-    yield from _configured(text, _JQUERY_CONFIG, lambda call: _first(_METHOD, call) or _first(_TYPE, call))
+    yield from _configured(Calls(text), _JQUERY_CONFIG, lambda call: _first(_METHOD, call) or _first(_TYPE, call))
 
 
-def _configured(text: str, pattern: re.Pattern, method: Callable[[str], str]) -> Iterator[Found]:
-    for m in pattern.finditer(text):
-        call = call_text(text, text.index("(", m.start()))
+def _configured(calls: Calls, pattern: re.Pattern, method: Callable[[str], str]) -> Iterator[Found]:
+    for m in pattern.finditer(calls.text):
+        call = calls.inside(calls.text.index("(", m.start()))
         url = _first(_URL, call)
         if "/" in url:
-            yield url, m.start(), {"http_method": method(call).upper(), "query_params": names_in_query(url)}
+            yield url, m.start(), {"method": method(call).upper(), "query": names_in_query(url)}
 
 
 def message_origins(text: str) -> Iterator[Found]:
+    calls = Calls(text)
     for m in _POST_MESSAGE.finditer(text):
-        origin = literal(argument(call_text(text, m.end() - 1), 1))
+        origin = literal(argument(calls.inside(m.end() - 1), 1))
         if "/" in origin:
             yield origin, m.start(), {}
 
@@ -224,49 +215,38 @@ def every_encoding(text: str) -> str:
     return percent(text) if "%" in text else text
 
 
-def clean(url: str) -> str:
-    """The same as `urls.clean_url`, for one string."""
-    while url and url[-1] in U.TRAILING and not (url[-1] == ")" and url.count("(") >= url.count(")")):
-        url = url[:-1]
-    return url.rstrip(" \t\n\r")
-
-
 # Runs of escapes.
-_ENCODED = re.compile(r"""((?:https?(?:%3A|:)(?:%2F|/){2}|%2F)[^\s"'`<>]*%[0-9A-Fa-f]{2}[^\s"'`<>]*)""", re.I | re.A)
+_ENCODED = r"(?i)((?:https?(?:%3A|:)(?:%2F|/){2}|%2F)[^\t\n\f\r \"'`<>]*%[0-9A-Fa-f][0-9A-Fa-f][^\t\n\f\r \"'`<>]*)"
 _RUNS = (
-    ("\\u00", re.compile(r"(?:\\u[0-9A-Fa-f]{4}){3,}"), unicode_escapes),
-    ("\\x2", re.compile(r"(?:\\x[0-9A-Fa-f]{2}){3,}"), hex_escapes),
-    ("&#", re.compile(r"(?:&#x?[0-9A-Fa-f]+;){3,}"), entities),
+    ("\\u00", r"(?:\\u[0-9A-Fa-f]{4}){3,}", unicode_escapes),
+    ("\\x2", r"(?:\\x[0-9A-Fa-f]{2}){3,}", hex_escapes),
+    ("&#", r"(?:&#x?[0-9A-Fa-f]+;){3,}", entities),
 )
-_MIXED = re.compile(r"""["'`]([^"'`]*(?:%2[Ff]|\\u002[Ff]|\\x2[Ff]|&#(?:x2[Ff]|47);)[^"'`]*)["'`]""")
+_MIXED = r"[\"'`]([^\"'`]*(?:%2[Ff]|\\u002[Ff]|\\x2[Ff]|&#(?:x2[Ff]|47);)[^\"'`]*)[\"'`]"
+_PERCENT_MARKS = ("%2F", "%2f", "%3A", "%3a")
+_ENCODED_MARKS = (*_PERCENT_MARKS, "\\u00", "\\x2", "&#")
 
 
-def encoded(text: str) -> Iterator[Found]:
-    if any(m in text for m in ("%2F", "%2f", "%3A", "%3a")):
-        for m in _ENCODED.finditer(text):
-            if url := clean(percent(percent(m.group(1)))):
-                yield url, m.start(), {}
-    for marker, pattern, decode in _RUNS:
-        if marker in text:
-            for m in pattern.finditer(text):
-                plain = decode(m.group())
-                url = clean(plain)
-                if ("/" in plain or "." in plain) and len(url.encode("utf-8", "replace")) >= 3:
-                    yield url, m.start(), {}
-    seen = set()
-    for m in _MIXED.finditer(text):
-        url = clean(every_encoding(m.group(1)))
-        if len(url.encode("utf-8", "replace")) >= 3 and url not in seen:
-            seen.add(url)
-            yield url, m.start(), {}
+def _size(text: str) -> int:
+    return len(text.encode("utf-8", "replace"))
 
 
-_encoded = hits_udf(encoded, "encoded_urls", "medium", once=False)
+def _encoded(texts: Texts) -> Iterator[Hit]:
+    cap = 2 * MIB
+    for doc, line, (_, run) in texts.matches(_ENCODED, (1,), texts.having(_PERCENT_MARKS, cap)):
+        if url := clean(percent(percent(run))):
+            yield hit(doc, url, line, "medium", "encoded_urls")
+    for marker, pattern, decode in _RUNS:
+        for doc, line, (run,) in texts.matches(pattern, (), texts.having((marker,), cap)):
+            plain = decode(run)
+            url = clean(plain)
+            if ("/" in plain or "." in plain) and _size(url) >= 3:
+                yield hit(doc, url, line, "medium", "encoded_urls")
+    mixed = ((doc, clean(every_encoding(run)), line) for doc, line, (_, run) in texts.matches(_MIXED, (1,), texts.having(_ENCODED_MARKS, cap)))
+    yield from first_of_each(hit(*m, "medium", "encoded_urls") for m in mixed if _size(m[1]) >= 3)
 
 
-def encoded_hits(content: Column) -> Column:
-    marks = ("%2F", "%2f", "%3A", "%3a", "\\u00", "\\x2", "&#")
-    return only_if(U.contains_any(content, marks) & (F.octet_length(content) <= 2 * MIB), content, _encoded)
+ENCODED = Technique("encoded_urls", _encoded, _ENCODED_MARKS)
 
 
 def printable(raw: bytes) -> bool:
@@ -310,67 +290,57 @@ def url_like(text: str) -> bool:
 
 
 # Obfuscated text.
-_BASE64 = re.compile(r"""["']([A-Za-z0-9+/=_\-]{20,})["']""")
-_HEX_RUN = re.compile(r"(?:\\x[0-9a-fA-F]{2}){4,}")
-_UNICODE_RUN = re.compile(r"(?:\\u[0-9a-fA-F]{4}){4,}")
-_ARRAY = re.compile(r"(?:var|let|const)\s+[a-zA-Z_$][a-zA-Z0-9_$]*\s*=\s*\[([^\]]{10,})\]", re.A)
+_BASE64 = r"[\"']([A-Za-z0-9+/=_\-]{20,})[\"']"
+_HEX_RUN = r"(?:\\x[0-9a-fA-F]{2}){4,}"
+_UNICODE_RUN = r"(?:\\u[0-9a-fA-F]{4}){4,}"
+_ARRAY = r"(?:var|let|const)[\t\n\f\r ]+[a-zA-Z_$][a-zA-Z0-9_$]*[\t\n\f\r ]*=[\t\n\f\r ]*\[([^\]]{10,})\]"
 _QUOTED = re.compile(r"""["']([^"']+)["']""")
-_CHAR_CODES = re.compile(r"String\.fromCharCode\(([0-9,\s]+)\)", re.A)
-_ATOB = re.compile(r"""atob\(["']([A-Za-z0-9+/=_\-]+)["']\)""")
-_REVERSED = re.compile(r"""["']([^"']+)["']\.split\(["']["']\)\.reverse\(\)\.join\(["']["']\)""")
-_SPLIT_JOIN = re.compile(r"""["']([^"']+)["']\.split\(["']([^"']*)["']\)\.join\(["']([^"']*)["']\)""")
-
-
-def _decoded(pattern: re.Pattern, decode: Callable[[re.Match], str | None], itself: bool = False) -> Callable[[str], Iterator[Found]]:
-    def find(text: str) -> Iterator[Found]:
-        for m in pattern.finditer(text):
-            plain = decode(m)
-            if plain is None:
-                continue
-            for url in urls_in(plain):
-                yield url, m.start(), {}
-            if itself and url_like(plain):
-                yield plain, m.start(), {}
-
-    return find
+_CHAR_CODES = r"String\.fromCharCode\(([0-9,\t\n\f\r ]+)\)"
+_ATOB = r"atob\([\"']([A-Za-z0-9+/=_\-]+)[\"']\)"
+_REVERSED = r"[\"']([^\"']+)[\"']\.split\([\"'][\"']\)\.reverse\(\)\.join\([\"'][\"']\)"
+_SPLIT_JOIN = r"[\"']([^\"']+)[\"']\.split\([\"']([^\"']*)[\"']\)\.join\([\"']([^\"']*)[\"']\)"
 
 
 def _printable_text(text: str) -> str | None:
     return text if printable(text.encode("utf-8", "replace")) else None
 
 
-def _char_codes(m: re.Match) -> str | None:
-    numbers = [int(n) for n in m.group(1).split(",") if n.strip()] if not re.search(r"\d\s+\d", m.group(1)) else [-1]
+def _char_codes(codes: str) -> str | None:
+    numbers = [int(n) for n in codes.split(",") if n.strip()] if not re.search(r"\d\s+\d", codes) else [-1]
     return "".join(map(code_point, numbers)) if all(0 <= n <= 0x10FFFF for n in numbers) else None
 
 
-def _array_strings(text: str) -> Iterator[Found]:
-    for m in _ARRAY.finditer(text):
-        for element in _QUOTED.findall(m.group(1)):
-            for url in urls_in(element):
-                yield url, m.start(), {}
-            if url_like(element):
-                yield element, m.start(), {}
+def _hex_text(run: str) -> str | None:
+    raw = bytes.fromhex(run.replace("\\x", ""))
+    return raw.decode("utf-8", "replace") if printable(raw) else None
+
 
+def _hidden(name: str, gate: tuple[str, ...], steps: tuple, confidence: str = "low", cap: int | None = None, itself: bool = False) -> Technique:
+    """URLs in what a pattern's matches decode to: (pattern, groups, decoder of whole and groups to texts).
 
-def _hex_text(m: re.Match) -> str | None:
-    raw = bytes.fromhex(m.group().replace("\\x", ""))
-    return raw.decode("utf-8", "replace") if printable(raw) else None
+    itself: a decoded text that looks like one URL is one, too.
+    """
 
+    def find(texts: Texts) -> Iterator[Hit]:
+        for pattern, groups, decode in steps:
+            for doc, line, found in texts.matches(pattern, groups, texts.having(gate, cap)):
+                for plain in decode(*found):
+                    if plain is not None:
+                        for url in (*urls_in(plain), *([plain] if itself and url_like(plain) else ())):
+                            yield hit(doc, url, line, confidence, name)
 
-def _rearranged(text: str) -> Iterator[Found]:
-    yield from _decoded(_REVERSED, lambda m: m.group(1)[::-1], itself=True)(text)
-    yield from _decoded(_SPLIT_JOIN, lambda m: m.group(1).replace(m.group(2), m.group(3)), itself=True)(text)
+    return Technique(name, lambda texts: first_of_each(find(texts)), gate)
 
 
-base64_hits = hits_udf(_decoded(_BASE64, lambda m: from_base64(m.group(1))), "base64_decode", "low")
-hex_hits = hits_udf(_decoded(_HEX_RUN, _hex_text), "hex_decode", "low")
-unicode_hits = hits_udf(_decoded(_UNICODE_RUN, lambda m: _printable_text(unicode_escapes(m.group()))), "unicode_decode", "low")
-array_hits = hits_udf(_array_strings, "array_obfuscation", "low")
-char_code_hits = hits_udf(_decoded(_CHAR_CODES, _char_codes), "fromcharcode", "low")
-atob_hits = hits_udf(_decoded(_ATOB, lambda m: from_base64(m.group(1)), itself=True), "atob_calls", "medium")
-rearranged_hits = hits_udf(_rearranged, "reverse_split_join", "low")
-fetch_hits = hits_udf(fetch_calls, "fetch_calls", "high", once=False)
-axios_hits = hits_udf(axios_calls, "axios_calls", "high", once=False)
-jquery_hits = hits_udf(jquery_configs, "jquery_ajax", "high", once=False)
-message_hits = hits_udf(message_origins, "postmessage", "medium", once=False)
+HIDDEN = {
+    60: _hidden("base64_decode", (), ((_BASE64, (1,), lambda _, code: (from_base64(code),)),), cap=5 * MIB - 1),
+    61: _hidden("hex_decode", ("\\x",), ((_HEX_RUN, (), lambda run: (_hex_text(run),)),)),
+    62: _hidden("unicode_decode", ("\\u",), ((_UNICODE_RUN, (), lambda run: (_printable_text(unicode_escapes(run)),)),)),
+    63: _hidden("array_obfuscation", ("var", "let", "const"), ((_ARRAY, (1,), lambda _, body: _QUOTED.findall(body)),), cap=2 * MIB - 1, itself=True),
+    64: _hidden("fromcharcode", ("fromCharCode",), ((_CHAR_CODES, (1,), lambda _, codes: (_char_codes(codes),)),)),
+    65: _hidden("atob_calls", ("atob",), ((_ATOB, (1,), lambda _, code: (from_base64(code),)),), "medium", itself=True),
+    66: _hidden(
+        "reverse_split_join", (".reverse()", ".split("),
+        ((_REVERSED, (1,), lambda _, text: (text[::-1],)), (_SPLIT_JOIN, (1, 2, 3), lambda _, text, old, new: (text.replace(old, new),))), itself=True,
+    ),
+}

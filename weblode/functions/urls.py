@@ -1,13 +1,15 @@
 """URL expressions: category, validity, trimming, parameters, and URLs inside free text.
 
-All are Catalyst expressions over a string column, so they stay below the dedup's shuffle and
-can be pushed; `functions.sql` publishes some of them to SQL.
+What runs over whole columns is a Catalyst expression, which stays below the dedup's shuffle and
+can be pushed; `functions.sql` publishes some of them to SQL. The scans, which run in Arrow
+batches, use the plain functions at the end, for one string each.
 """
 
 from __future__ import annotations
 
 import functools
 import operator
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -33,10 +35,11 @@ INTERNAL_MARKS = (
     *(f"172.{n}." for n in range(16, 32)), "192.168.",
 )
 STATIC_EXTENSIONS = (
-    "js mjs css png jpg jpeg gif svg ico woff woff2 ttf eot otf mp4 webm mp3 ogg pdf map webp avif".split()
-)
+    "js", "mjs", "css", "png", "jpg", "jpeg", "gif", "svg", "ico", "woff", "woff2", "ttf", "eot", "otf", "mp4", "webm", "mp3", "ogg", "pdf",
+    "map", "webp", "avif",
+)
 API_PATTERN = r"(?i)(?:/api/|/graphql|/rest/|/rpc/|/v\d+/)"
-MIME_FAMILIES = "application text image audio video font multipart message model chemical".split()
+MIME_FAMILIES = ("application", "text", "image", "audio", "video", "font", "multipart", "message", "model", "chemical")
 ENCODED_HEADS = ("2F", "252F", "25252F", "3A", "253A")
 CODE_HEADS = (
     "String.fromCharCode", "function(", "function ", "var ", "let ", "const ", "return ", "typeof ", "undefined", "null", "true", "false",
@@ -132,11 +135,6 @@ def query_params(url: Column) -> Column:
     return F.when(url.contains("?"), F.filter(names, lambda n: n != "")).otherwise(F.array().cast("array<string>"))
 
 
-def url_param_names(url: Column) -> Column:
-    """Distinct names before `=` after `?` or `&`, in order."""
-    return F.array_distinct(F.regexp_extract_all(url, F.lit(r"[?&]([a-zA-Z_][a-zA-Z0-9_\-.]*)="), F.lit(1)))
-
-
 # What counts as a URL inside a comment, and inside decoded text.
 TEXT_ABSOLUTE = r"(?i)(?:https?|ftp|wss?)://[^\t\n\f\r \"'<>\)`\]\}]+"
 TEXT_PROTOCOL_RELATIVE = r"//[a-zA-Z0-9][a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}[^\t\n\f\r \"'<>\)`]*"
@@ -169,14 +167,57 @@ def text_urls(text: Column) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def decoded_urls(text: Column) -> Column:
-    """Distinct URLs and paths in decoded text."""
-    return F.array_distinct(F.concat(_trimmed(_all(text, DECODED_ABSOLUTE, 0)), _long(_all(text, DECODED_PATH, 1))))
+# ---- the same for one string ------------------------------------------------------------
+
+
+def clean(url: str) -> str:
+    """As `clean_url`."""
+    opened, closed, end = url.count("("), url.count(")"), len(url)
+    while end and url[end - 1] in TRAILING:
+        if url[end - 1] == ")":
+            if opened >= closed:
+                break
+            closed -= 1
+        end -= 1
+    return url[:end].rstrip(" \t\n\r")
+
 
+def usable_text(url: str) -> bool:
+    return url not in UNUSABLE
 
-def url_like(text: Column) -> Column:
-    """Whether a whole decoded string looks like one URL, path or host."""
-    scheme = starts_any(text, ("http://", "https://", "ftp://", "ws://", "wss://", "//"))
-    path = text.rlike("(?s)^/[^/]")
-    host = text.rlike(r"^[a-zA-Z0-9][a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}(?:/|\z)")
-    return (F.octet_length(text) >= 2) & (scheme | path | host)
+
+def names_in_query(url: str) -> list[str]:
+    """As `query_params`."""
+    if "?" not in url:
+        return []
+    query = url.split("?", 1)[1].split("#", 1)[0]
+    return [n for pair in query.split("&") if (n := pair.split("=", 1)[0].strip())]
+
+
+_NAME_BEFORE_EQUALS = re.compile(r"[?&]([a-zA-Z_][a-zA-Z0-9_\-.]*)=")
+
+
+def names_before_equals(url: str) -> list[str]:
+    """Distinct names before `=` after `?` or `&`, in order."""
+    return list(dict.fromkeys(_NAME_BEFORE_EQUALS.findall(url)))
+
+
+_API = re.compile(API_PATTERN, re.A)
+
+
+def category_of(url: str) -> str:
+    """As `categorize_url`."""
+    size = len(url.encode("utf-8", "replace"))
+    rules = (
+        ("websocket", size >= 4 and url.startswith(("ws:", "wss:"))),
+        ("source_map", size > 4 and url.endswith(".map")),
+        ("data_uri", url.startswith("data:")),
+        ("mailto", url.startswith("mailto:")),
+        ("custom_protocol", url.startswith(APP_SCHEMES)),
+        ("cloud_resource", any(m in url for m in CLOUD_MARKS)),
+        ("internal_infra", any(m in url for m in INTERNAL_MARKS)),
+        ("api_endpoint", bool(_API.search(url))),
+        ("static_asset", any(url.endswith("." + e) and len(url) > len(e) + 1 for e in STATIC_EXTENSIONS)),
+        ("external_service", size >= 8 and url.startswith(("http://", "https://"))),
+    )
+    return next((name for name, holds in rules if holds), "page_route")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from collections.abc import Iterator
 
 from weblode.functions import decode, urls as U
-from weblode.functions.decode import only_if
-from weblode.functions.scan import Rule, gated, hit, matches, scan_all
+from weblode.functions.scan import Hit, Rule, Technique, Texts, hit, ruled, scan, scan_all
 
 # The patterns of the detection rules. W is ASCII white space, L a quoted literal on one line.
 W = r"[\t\n\f\r ]*"
@@ -14,14 +14,14 @@ L = "[\"'`]([^\"'`\\n]+)[\"'`]"
 VERBS = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS"
 
 
-def path_like(u: Column) -> Column:
-    return u.contains("/")
+def path_like(u: str) -> bool:
+    return "/" in u
 
 
-def promoted(u: Column) -> Column:
+def promoted(u: str) -> str:
     """An event stream is an endpoint even where its path looks like a page."""
-    own = U.categorize_url(u)
-    return F.when(own == "page_route", "api_endpoint").otherwise(own)
+    own = U.category_of(u)
+    return "api_endpoint" if own == "page_route" else own
 
 
 def _site(pattern: str, gate: tuple[str, ...], confidence: str = "high", **more) -> Rule:
@@ -48,18 +48,18 @@ PROPERTY = _site(rf"\.{W}(?:src|href|action){W}={W}{L}", (".src", ".href"), "med
 ATTRIBUTE = _site(rf"\.setAttribute{W}\({W}[\"'`](?:src|href|action)[\"'`]{W},{W}{L}{W}\)", ("setAttribute",))
 INNER = (rf"\.(?:inner|outer)HTML{W}={W}[\"'`]([^\"'`]+)[\"'`]", rf"\.(?:inner|outer)HTML{W}\+={W}[\"'`]([^\"'`]+)[\"'`]")
 INNER_URL = r"(?:src|href|action)[\t\n\f\r ]*=[\t\n\f\r ]*\\?[\"'`]([^\"'`\\\t\n\f\r >]+)\\?[\"'`]"
-FORM = r"(?i)<form(?![A-Za-z0-9_])([^>]*)>"
-FORM_ACTION = rf"(?i)(?<![A-Za-z0-9_])action{W}={W}[\"'`]([^\"'`\n>]+)[\"'`]"
-FORM_METHOD = rf"(?i)(?<![A-Za-z0-9_])method{W}={W}[\"'`]?(GET|POST)[\"'`]?"
+FORM = r"(?i)<form\b([^>]*)>"
+FORM_ACTION = re.compile(rf"\baction{W}={W}[\"'`]([^\"'`\n>]+)[\"'`]", re.I | re.A)
+FORM_METHOD = re.compile(rf"\bmethod{W}={W}[\"'`]?(GET|POST)[\"'`]?", re.I | re.A)
 FORM_TEXT = _site(rf"(?:[\"'`]|\\[\"'`]){W}action{W}={W}(?:\\?[\"'`])([^\"'`\\\n>]+)(?:\\?[\"'`])", ("<form", "action="), "medium", method="POST")
 SERVICE_WORKER = _site(rf"\bnavigator{W}\.{W}serviceWorker{W}\.{W}register{W}\({W}{L}", ("serviceWorker",), keep=None, params="")
 WORKER = _site(rf"\bnew[\t\n\f\r ]+(?:Worker|SharedWorker){W}\({W}{L}", ("Worker(",), keep=None, params="")
 _WEBPACK = ("require.ensure", "require.context", "__webpack_require__")
-ENSURE = rf"(?<![A-Za-z0-9_])require{W}\.{W}ensure{W}\({W}\[([^\]]*)\]"
+ENSURE = rf"\brequire{W}\.{W}ensure{W}\({W}\[([^\]]*)\]"
 CONTEXT = _site(rf"\brequire{W}\.{W}context{W}\({W}{L}", _WEBPACK, "medium", keep=None, params="")
 WEBPACK = _site(rf"\b__webpack_require__{W}\({W}{L}{W}\)", _WEBPACK, "medium", params="")
-CREATE_SCRIPT = rf"createElement{W}\({W}[\"'`]script[\"'`]{W}\)"
-SCRIPT_SOURCE = rf"\.src{W}={W}{L}"
+CREATE_SCRIPT = re.compile(rf"createElement{W}\({W}[\"'`]script[\"'`]{W}\)")
+SCRIPT_SOURCE = re.compile(rf"\.src{W}={W}{L}")
 WRITE_SCRIPT = _site(
     rf"(?:document\.write|document\.writeln){W}\({W}[\"'`][^\"'`]*<script[^>]*\bsrc{W}=[\t\n\f\r ]*\\?[\"'`]([^\"'`\\\n>]+)\\?[\"'`]",
     ("createElement",), params="",
@@ -67,80 +67,77 @@ WRITE_SCRIPT = _site(
 AHEAD_BYTES = 500
 
 
-def _nested(content: Column, outer: tuple[str, ...], inner: str, gate: tuple[str, ...], confidence: str, name: str, params: bool) -> Column:
+def _nested(texts: Texts, outer: tuple[str, ...], inner: str, gate: tuple[str, ...], name: str, params: bool = False) -> Iterator[Hit]:
     """The URLs of every inner match inside every outer match, on the outer's line."""
+    inside = re.compile(inner)
+    for pattern in outer:
+        for doc, line, (_, body) in texts.matches(pattern, (1,), texts.having(gate)):
+            for url in filter(path_like, inside.findall(body)):
+                yield hit(doc, url, line, "medium", name, query=U.names_in_query(url) if params else ())
 
-    def expand(found: Column) -> Column:
-        each = F.transform(found, lambda m: F.transform(
-            F.filter(F.regexp_extract_all(m["g1"], F.lit(inner), F.lit(1)), path_like),
-            lambda u: hit(u, m["line"], confidence, name, query=U.query_params(u) if params else None)))
-        return F.coalesce(F.flatten(each), _none())
 
-    hits = F.concat(*(expand(matches(content, p, (1,))) for p in outer))
-    return gated(content, Rule("", gate=gate), hits)
+def _forms(texts: Texts) -> Iterator[Hit]:
+    for doc, line, (_, attributes) in texts.matches(FORM, (1,), texts.having(("<form", "action="))):
+        action, method = FORM_ACTION.search(attributes), FORM_METHOD.search(attributes)
+        if action and path_like(action[1]):
+            yield hit(doc, action[1], line, "medium", "form_action", method=method[1].upper() if method else "GET", query=U.names_in_query(action[1]))
+    yield from scan(texts, FORM_TEXT, "form_action")
 
 
-def _none() -> Column:
-    return F.array().cast(decode.HIT_TYPE)
-
-
-def _forms(content: Column) -> Column:
-    found = F.filter(matches(content, FORM, (1,)), lambda m: path_like(F.regexp_extract(m["g1"], FORM_ACTION, 1)))
-
-    def make(m: Column) -> Column:
-        url, method = F.regexp_extract(m["g1"], FORM_ACTION, 1), F.upper(F.regexp_extract(m["g1"], FORM_METHOD, 1))
-        return hit(url, m["line"], "medium", "form_action", method=F.when(method == "", "GET").otherwise(method), query=U.query_params(url))
-
-    tags = gated(content, Rule("", gate=("<form", "action=")), F.transform(found, make))
-    return F.concat(tags, scan_all(content, (FORM_TEXT,), "form_action"))
-
-
-def _scripts(content: Column) -> Column:
+def _scripts(texts: Texts) -> Iterator[Hit]:
     """A script element's first source within the next bytes, and scripts written into the page."""
-    # The text after each creation is the gap that follows it, with the later creations put back.
-    gaps = F.split(content, CREATE_SCRIPT, -1)
-    found = matches(content, CREATE_SCRIPT, ())
-
-    def make(m: Column, i: Column) -> Column:
-        rest = F.slice(gaps, i + 2, F.size(gaps) - i - 1)
-        made = F.transform(F.slice(found, i + 2, F.size(found) - i - 1), lambda x: x["g0"])
-        joined = F.array_join(F.flatten(F.transform(F.arrays_zip(rest.alias("gap"), made.alias("made")), lambda x: F.array(x["gap"], F.coalesce(x["made"], F.lit(""))))), "")
-        ahead = F.decode(F.substring(F.encode(F.substring(joined, 1, AHEAD_BYTES), "UTF-8"), 1, AHEAD_BYTES), "UTF-8")
-        return hit(F.regexp_extract(ahead, SCRIPT_SOURCE, 1), m["line"], "high", "dynamic_script")
-
-    made = F.filter(F.transform(found, make), lambda h: path_like(h["url"]))
-    return F.concat(gated(content, Rule("", gate=("createElement",)), made), scan_all(content, (WRITE_SCRIPT,), "dynamic_script"))
-
-
-def _jquery(content: Column) -> Column:
-    configured = only_if(U.contains_any(content, JQUERY) & content.contains("ajax"), content, decode.jquery_hits)
-    return F.concat(configured, scan_all(content, (AJAX_TEXT,), "jquery_ajax"), _in_order(content))
-
-
-def _in_order(content: Column) -> Column:
-    """Short calls of either method, by line as they stand; the match order within a line is get before post."""
-    both = scan_all(content, (AJAX_GET, AJAX_POST), "jquery_ajax")
-    return F.array_sort(both, lambda a, b: F.coalesce(a["source_line"] - b["source_line"], F.lit(0)).cast("int"))
-
-
-EXPRESSIONS = {
-    15: lambda c: only_if(c.contains("fetch"), c, decode.fetch_hits),
-    16: lambda c: scan_all(c, (XHR,), "xmlhttprequest"),
-    17: lambda c: only_if(c.contains("axios"), c, decode.axios_hits),
-    18: _jquery,
-    19: lambda c: scan_all(c, (BEACON,), "sendbeacon"),
-    20: lambda c: scan_all(c, (SOCKET, EVENTS), "eventsource_websocket"),
-    21: lambda c: scan_all(c, (IMPORT,), "dynamic_import"),
-    22: lambda c: scan_all(c, (REQUIRE,), "require_calls"),
-    23: lambda c: scan_all(c, LOCATION, "location_assign"),
-    24: lambda c: F.when(c.contains(".open("), scan_all(c, (WINDOW,), "window_open")).otherwise(_none()),
-    25: lambda c: scan_all(c, (PROPERTY,), "element_src_href"),
-    26: lambda c: scan_all(c, (ATTRIBUTE,), "set_attribute"),
-    27: lambda c: _nested(c, INNER, INNER_URL, ("innerHTML", "outerHTML"), "medium", "innerhtml_urls", True),
-    28: lambda c: only_if(c.contains("postMessage"), c, decode.message_hits),
-    29: _forms,
-    30: lambda c: scan_all(c, (SERVICE_WORKER,), "serviceworker"),
-    31: lambda c: scan_all(c, (WORKER,), "webworker"),
-    32: lambda c: F.concat(_nested(c, (ENSURE,), L, _WEBPACK, "medium", "webpack_require", False), scan_all(c, (CONTEXT, WEBPACK), "webpack_require")),
-    33: _scripts,
+
+    def created(text: str) -> Iterator[decode.Found]:
+        for m in CREATE_SCRIPT.finditer(text):
+            ahead = text[m.end() : m.end() + AHEAD_BYTES].encode("utf-8", "replace")[:AHEAD_BYTES].decode("utf-8", "replace")
+            source = SCRIPT_SOURCE.search(ahead)
+            if source and path_like(source[1]):
+                yield source[1], m.start(), {}
+
+    yield from decode.hits(texts, created, "high", "dynamic_script", ("createElement",))
+    yield from scan(texts, WRITE_SCRIPT, "dynamic_script")
+
+
+def _jquery(texts: Texts) -> Iterator[Hit]:
+    """Calls with a configuration, with a URL, and short calls of either method by line, get before post on the same line."""
+    configured = texts.having(JQUERY) & texts.having(("ajax",))
+    yield from decode.hits(texts, decode.jquery_configs, "high", "jquery_ajax", among=configured)
+    yield from scan(texts, AJAX_TEXT, "jquery_ajax")
+    yield from sorted(scan_all(texts, (AJAX_GET, AJAX_POST), "jquery_ajax"), key=lambda h: h[2])
+
+
+def _walked(name: str, find, confidence: str, mark: str) -> Technique:
+    return Technique(name, lambda texts: decode.hits(texts, find, confidence, name, (mark,)), (mark,))
+
+
+def _windows(texts: Texts) -> Iterator[Hit]:
+    opening = texts.having((".open(",))
+    return (h for h in scan(texts, WINDOW, "window_open") if opening[h[0]])
+
+
+def _webpack(texts: Texts) -> Iterator[Hit]:
+    yield from _nested(texts, (ENSURE,), L, _WEBPACK, "webpack_require")
+    yield from scan_all(texts, (CONTEXT, WEBPACK), "webpack_require")
+
+
+TECHNIQUES = {
+    15: _walked("fetch_calls", decode.fetch_calls, "high", "fetch"),
+    16: ruled("xmlhttprequest", (XHR,)),
+    17: _walked("axios_calls", decode.axios_calls, "high", "axios"),
+    18: Technique("jquery_ajax", _jquery, JQUERY),
+    19: ruled("sendbeacon", (BEACON,)),
+    20: ruled("eventsource_websocket", (SOCKET, EVENTS)),
+    21: ruled("dynamic_import", (IMPORT,)),
+    22: ruled("require_calls", (REQUIRE,)),
+    23: ruled("location_assign", LOCATION),
+    24: Technique("window_open", _windows, (".open(",)),
+    25: ruled("element_src_href", (PROPERTY,)),
+    26: ruled("set_attribute", (ATTRIBUTE,)),
+    27: Technique("innerhtml_urls", lambda texts: _nested(texts, INNER, INNER_URL, ("innerHTML", "outerHTML"), "innerhtml_urls", True), ("innerHTML", "outerHTML")),
+    28: _walked("postmessage", decode.message_origins, "medium", "postMessage"),
+    29: Technique("form_action", _forms, ("<form", "action=")),
+    30: ruled("serviceworker", (SERVICE_WORKER,)),
+    31: ruled("webworker", (WORKER,)),
+    32: Technique("webpack_require", _webpack, _WEBPACK),
+    33: Technique("dynamic_script", _scripts, ("createElement",)),
 }

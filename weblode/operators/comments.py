@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from collections.abc import Iterator
 
 from weblode.functions import urls as U
-from weblode.functions.decode import HIT_TYPE
-from weblode.functions.scan import Rule, first_of_each, gated, hit, matches, scan_all, to_java
+from weblode.functions.scan import Hit, Rule, Technique, Texts, first_of_each, in_texts, scan_all
 
 # The patterns of the detection rules.
 LINE_COMMENT = r"(?m)(?:^|[^:])//(.*)$"
@@ -20,43 +20,46 @@ DOC_LINKS = (
 EXAMPLE = r"(?m)@example[\t\n\f\r ]+(.*)$"
 ANNOTATION = r"(?im)//[\t\n\f\r ]*(?:API|endpoint|url|route|server|host|base|TODO)[:\t\n\f\r ]+(.+)$"
 ANY_LINE = r"(?m)//[\t\n\f\r ]*(.+)$"
-CODE = r"[=(;]"
+CODE = re.compile(r"[=(;]")
 
 
-def _in_text(texts: Column, name: str) -> Column:
-    """Hits for every URL in array<struct<line, text>>."""
-    each = F.transform(texts, lambda m: F.transform(U.text_urls(m["text"]), lambda u: hit(u, m["line"], "low", name)))
-    return F.coalesce(F.flatten(each), F.array().cast(HIT_TYPE))
+def text_urls(texts: Texts) -> list[list[str]]:
+    """As `urls.text_urls`, for every text of a batch."""
+    found: list[dict[str, None]] = [{} for _ in range(len(texts))]
+    for pattern, group in ((U.TEXT_ABSOLUTE, 0), (U.TEXT_PROTOCOL_RELATIVE, 0), (U.TEXT_PATH, 1), (U.TEXT_DOMAIN, 0)):
+        for i, _, groups in texts.matches(pattern, (group,)):
+            url = groups[1] if group else groups[0].rstrip(U.TEXT_TRAILING)
+            if not group or len(url) > 2:
+                found[i].setdefault(url)
+    return [list(f) for f in found]
 
 
-def _texts(content: Column, pattern: str) -> Column:
-    found = matches(content, to_java(pattern), (1,))
-    return F.coalesce(F.transform(found, lambda m: F.struct(m["line"].alias("line"), m["g1"].alias("text"))), F.array().cast("array<struct<line:int,text:string>>"))
+def _texts(texts: Texts, pattern: str, gate: tuple[str, ...]) -> list[tuple[int, int, str]]:
+    return [(doc, line, text) for doc, line, (_, text) in texts.matches(pattern, (1,), texts.having(gate))]
 
 
-def _comments(content: Column, pattern: str, gate: tuple[str, ...], name: str) -> Column:
-    return first_of_each(gated(content, Rule("", gate=gate), _in_text(_texts(content, pattern), name)))
+def _comments(name: str, pattern: str, gate: tuple[str, ...]) -> Technique:
+    return Technique(name, lambda texts: first_of_each(in_texts(texts, _texts(texts, pattern, gate), text_urls, "low", name)), gate)
 
 
-def _docs(content: Column) -> Column:
-    examples = gated(content, Rule("", gate=("@example",)), _in_text(_texts(content, EXAMPLE), "jsdoc_tags"))
-    return first_of_each(F.concat(scan_all(content, DOC_LINKS, "jsdoc_tags"), examples))
+def _docs(texts: Texts) -> Iterator[Hit]:
+    yield from scan_all(texts, DOC_LINKS, "jsdoc_tags")
+    yield from in_texts(texts, _texts(texts, EXAMPLE, ("@example",)), text_urls, "low", "jsdoc_tags")
 
 
-def _code(content: Column) -> Column:
+def _code(texts: Texts) -> Iterator[Hit]:
     """Comments that look like code: whole line comments, and single lines of block comments."""
-    lines = F.filter(_texts(content, ANY_LINE), lambda m: m["text"].rlike(CODE))
-    bare = lambda t: F.ltrim(F.trim(t, F.lit(" \t\n\r\f\x0b")), F.lit("* "))
-    inner = F.transform(_texts(content, BLOCK_COMMENT), lambda m: F.transform(F.split(m["text"], "\n"), lambda t: F.struct(m["line"].alias("line"), bare(t).alias("text"))))
-    blocks = F.filter(F.flatten(inner), lambda m: m["text"].rlike(CODE))
-    return first_of_each(F.concat(gated(content, Rule("", gate=("//",)), _in_text(lines, "commented_code")), gated(content, Rule("", gate=("*/",)), _in_text(blocks, "commented_code"))))
-
-
-EXPRESSIONS = {
-    54: lambda c: _comments(c, LINE_COMMENT, ("//",), "single_line_comments"),
-    55: lambda c: _comments(c, BLOCK_COMMENT, ("*/",), "multi_line_comments"),
-    56: lambda c: _comments(c, HTML_COMMENT, ("-->",), "html_comments"),
-    57: _docs,
-    58: lambda c: _comments(c, ANNOTATION, ("//",), "dev_annotations"),
-    59: _code,
+    lines = _texts(texts, ANY_LINE, ("//",))
+    blocks = [(doc, line, part.strip().lstrip("* ")) for doc, line, block in _texts(texts, BLOCK_COMMENT, ("*/",)) for part in block.split("\n")]
+    for found in (lines, blocks):
+        yield from in_texts(texts, [f for f in found if CODE.search(f[2])], text_urls, "low", "commented_code")
+
+
+TECHNIQUES = {
+    54: _comments("single_line_comments", LINE_COMMENT, ("//",)),
+    55: _comments("multi_line_comments", BLOCK_COMMENT, ("*/",)),
+    56: _comments("html_comments", HTML_COMMENT, ("-->",)),
+    57: Technique("jsdoc_tags", lambda texts: first_of_each(_docs(texts)), ("@link", "@see", "@example")),
+    58: _comments("dev_annotations", ANNOTATION, ("//",)),
+    59: Technique("commented_code", lambda texts: first_of_each(_code(texts)), ("//", "*/")),
 }

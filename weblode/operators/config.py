@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterator
 
-from weblode.functions.scan import Rule, gated, hit, matches, scan_all
+from weblode.functions.scan import Hit, Rule, Technique, Texts, hit, ruled, scan, scan_all
 
 # The patterns of the detection rules.
 W = r"[\t\n\f\r ]*"
@@ -47,37 +47,34 @@ SITEMAP = (
 _OPENAPI = ('"openapi"', '"swagger"', "'openapi'", "'swagger'", "openapi:", "swagger:")
 OPENAPI_PATH = Rule(
     rf'"(/[a-zA-Z0-9_\-{{}}/.]+)"{W}:{W}\{{', category="api_endpoint", confidence="high", gate=_OPENAPI,
-    keep=lambda u: F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit(""))) >= 2,
+    keep=lambda u: u.count("/") >= 2,
 )
 SWAGGER_UI = Rule(r"[\"']((?:https?://)?[^\"'\t\n\f\r ]*swagger-ui[^\"'\t\n\f\r ]*)[\"']", category="api_endpoint", confidence="high", gate=("swagger-ui",))
 SPEC_FILE = Rule(r"[\"']((?:https?://)?[^\"'\t\n\f\r ]*(?:swagger|openapi)\.(?:json|yaml|yml))[\"']", category="api_endpoint", confidence="high", gate=_OPENAPI)
 FLAGS = tuple(Rule(rf"[\"']?{k}[\"']?{W}[:=]{W}{V}", confidence="low", gate=(k,)) for k in FLAG_KEYS)
 
 
-def _env(content: Column) -> Column:
+def _env(texts: Texts) -> Iterator[Hit]:
     """A variable's default where one follows, else its name."""
-
-    def one(name: str) -> Column:
-        found = matches(content, rf"({name})(?:{W}(?:=|:|\|\|){W}{V})?", (1, 2))
-        hits = F.transform(found, lambda m: hit(F.coalesce(F.nullif(m["g2"], F.lit("")), m["g1"]), m["line"], "medium", "env_variables"))
-        return gated(content, Rule("", gate=ENV_GATE), hits)
-
-    return F.concat(*map(one, ENV_NAMES))
-
-
-def _openapi(content: Column) -> Column:
-    paths = F.when(content.contains('"paths"'), scan_all(content, (OPENAPI_PATH,), "openapi_swagger")).otherwise(gated(content, OPENAPI_PATH, F.lit(None)))
-    return F.concat(paths, scan_all(content, (SWAGGER_UI, SPEC_FILE), "openapi_swagger"))
-
-
-EXPRESSIONS = {
-    41: _env,
-    42: lambda c: scan_all(c, CONFIG, "config_objects"),
-    43: lambda c: scan_all(c, PUBLIC_PATH, "webpack_public_path"),
-    44: lambda c: scan_all(c, (SOURCE_MAP,), "sourcemap_refs"),
-    45: lambda c: scan_all(c, (BASE,), "base_tags"),
-    46: lambda c: scan_all(c, MANIFEST, "manifest_files"),
-    47: lambda c: scan_all(c, SITEMAP, "sitemap_robots"),
-    48: _openapi,
-    49: lambda c: scan_all(c, FLAGS, "feature_flags"),
+    for name in ENV_NAMES:
+        for doc, line, (_, variable, default) in texts.matches(rf"({name})(?:{W}(?:=|:|\|\|){W}{V})?", (1, 2), texts.having(ENV_GATE)):
+            yield hit(doc, default or variable, line, "medium", "env_variables")
+
+
+def _openapi(texts: Texts) -> Iterator[Hit]:
+    specified = texts.having(('"paths"',))
+    yield from (h for h in scan(texts, OPENAPI_PATH, "openapi_swagger") if specified[h[0]])
+    yield from scan_all(texts, (SWAGGER_UI, SPEC_FILE), "openapi_swagger")
+
+
+TECHNIQUES = {
+    41: Technique("env_variables", _env, ENV_GATE),
+    42: ruled("config_objects", CONFIG),
+    43: ruled("webpack_public_path", PUBLIC_PATH),
+    44: ruled("sourcemap_refs", (SOURCE_MAP,)),
+    45: ruled("base_tags", (BASE,)),
+    46: ruled("manifest_files", MANIFEST),
+    47: ruled("sitemap_robots", SITEMAP),
+    48: Technique("openapi_swagger", _openapi, (*_OPENAPI, "swagger-ui")),
+    49: ruled("feature_flags", FLAGS),
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from collections.abc import Iterator
 
 from weblode.functions import decode
-from weblode.functions.decode import MIB, only_if
-from weblode.functions.scan import Rule, first_of_each, gated, hit, matches, scan_all
+from weblode.functions.scan import Hit, Rule, Technique, Texts, first_of_each, hit, scan
 
 # The patterns of the detection rules.
 _W = r"[\t\n\f\r ]*"
@@ -14,33 +14,24 @@ URL_PAIR = rf"new[\t\n\f\r ]+URL\({_W}[\"']([^\"']+)[\"']{_W},{_W}[\"']([^\"']+)
 URL_ONE = Rule(rf"new[\t\n\f\r ]+URL\({_W}[\"'](https?://[^\"']+)[\"']{_W}\)", confidence="high", gate=("new URL(",))
 
 
-def resolve(base: Column, path: Column) -> Column:
+_ORIGIN = re.compile(r".*?://[^/]*")
+
+
+def resolve(base: str, path: str) -> str:
     """The path against its base: absolute ones stay, rooted ones take the origin, others are appended."""
-    trimmed = F.rtrim(base, F.lit("/"))
-    origin = F.regexp_extract(trimmed, r"^(.*?://[^/]*)", 1)
-    return (
-        F.when(path.startswith("http://") | path.startswith("https://"), path)
-        .when(path.startswith("/"), F.concat(F.when(origin == "", trimmed).otherwise(origin), path))
-        .otherwise(F.concat(trimmed, F.lit("/"), path))
-    )
-
-
-def _constructed(content: Column) -> Column:
-    pairs = F.transform(matches(content, URL_PAIR, (1, 2)), lambda m: hit(resolve(m["g2"], m["g1"]), m["line"], "high", "url_constructor"))
-    return first_of_each(F.concat(gated(content, Rule("", gate=("new URL(",)), pairs), scan_all(content, (URL_ONE,), "url_constructor")))
-
-
-def _below(content: Column, mib: int) -> Column:
-    return F.octet_length(content) < mib * MIB
-
-
-EXPRESSIONS = {
-    60: lambda c: only_if(_below(c, 5) & c.rlike(r"[\"'][A-Za-z0-9+/=_\-]{20}"), c, decode.base64_hits),
-    61: lambda c: only_if(c.contains("\\x"), c, decode.hex_hits),
-    62: lambda c: only_if(c.contains("\\u"), c, decode.unicode_hits),
-    63: lambda c: only_if(_below(c, 2) & c.rlike(r"(?:var|let|const)\s+[a-zA-Z_$][a-zA-Z0-9_$]*+\s*+=\s*+\["), c, decode.array_hits),
-    64: lambda c: only_if(c.contains("fromCharCode"), c, decode.char_code_hits),
-    65: lambda c: only_if(c.contains("atob"), c, decode.atob_hits),
-    66: lambda c: only_if(c.contains(".reverse()") | c.contains(".split("), c, decode.rearranged_hits),
-    67: _constructed,
-}
+    if path.startswith(("http://", "https://")):
+        return path
+    base = base.rstrip("/")
+    if path.startswith("/"):
+        origin = _ORIGIN.match(base)
+        return (origin.group() if origin else base) + path
+    return f"{base}/{path}"
+
+
+def _constructed(texts: Texts) -> Iterator[Hit]:
+    for doc, line, (_, path, base) in texts.matches(URL_PAIR, (1, 2), texts.having(URL_ONE.gate)):
+        yield hit(doc, resolve(base, path), line, "high", "url_constructor")
+    yield from scan(texts, URL_ONE, "url_constructor")
+
+
+TECHNIQUES = decode.HIDDEN | {67: Technique("url_constructor", lambda texts: first_of_each(_constructed(texts)), URL_ONE.gate)}

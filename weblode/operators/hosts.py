@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from weblode.functions.scan import Rule, first_of_each, scan_all
+from weblode.functions.scan import Rule, Technique, first_of_each, ruled, scan_all
 
 # The patterns of the detection rules.
 _LABEL = r"[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?"
 _HOST = rf"{_LABEL}(?:\.{_LABEL})+\.[a-z]{{2,63}}"
-_HOST_J = rf"{_LABEL}(?:\.{_LABEL}){{1,126}}\.[a-z]{{2,63}}"
 JS_HEADS = (
     "object.", "array.", "string.", "number.", "boolean.", "function.", "math.", "date.", "regexp.", "json.", "promise.", "symbol.", "error.",
     "map.", "set.", "weakmap.", "weakset.", "proxy.", "reflect.", "intl.", "console.", "module.", "exports.", "require.", "process.", "window.",
@@ -18,21 +15,18 @@ JS_HEADS = (
 )
 
 
-def _three_labels(u: Column) -> Column:
-    return F.length(u) - F.length(F.replace(u, F.lit("."), F.lit(""))) >= 2
+def _three_labels(u: str) -> bool:
+    return u.count(".") >= 2
 
 
-def _no_code(u: Column) -> Column:
-    return ~F.lower(u).rlike("^(?:" + "|".join(h.replace(".", r"\.") for h in JS_HEADS) + ")")
+def _no_code(u: str) -> bool:
+    return not u.lower().startswith(JS_HEADS)
 
 
 SUBDOMAIN = (
-    Rule(rf"(?i)(?:https?://|//)({_HOST})", java=rf"(?i)(?:https?://|//)({_HOST_J})", gate=("//",), keep=_three_labels),
-    Rule(
-        rf"(?i)(?:[\"'`= ]|^)({_HOST})(?:[/\"'`\t\n\f\r :,;)\]}}>]|\z)", java=rf"(?i)(?:[\"'`= ]|^)({_HOST_J})(?:[/\"'`\t\n\f\r :,;)\]}}>]|\z)",
-        gate=(".",), keep=lambda u: _three_labels(u) & _no_code(u),
-    ),
-)
+    Rule(rf"(?i)(?:https?://|//)({_HOST})", gate=("//",), keep=_three_labels),
+    Rule(rf"(?i)(?:[\"'`= ]|^)({_HOST})(?:[/\"'`\t\n\f\r :,;)\]}}>]|\z)", gate=(".",), keep=lambda u: _three_labels(u) and _no_code(u)),
+)
 CDN = Rule(
     r"(?i)https?://(?:"
     r"[a-z0-9][a-z0-9.\-]*\.s3[.\-][a-z0-9.\-]*\.amazonaws\.com|s3[.\-][a-z0-9.\-]*\.amazonaws\.com/|s3\.amazonaws\.com/|"
@@ -45,8 +39,8 @@ CDN = Rule(
 _PRIVATE = r"(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|127\.0\.0\.1|localhost)"
 
 
-def _unquoted(u: Column) -> Column:
-    return F.regexp_replace(u, r"(?s)^([\"'])(.*)\1\z", "$2")
+def _unquoted(u: str) -> str:
+    return u[1:-1] if len(u) > 1 and u[0] == u[-1] and u[0] in "\"'" else u
 
 
 def _internal(pattern: str, gate: tuple[str, ...]) -> Rule:
@@ -61,9 +55,9 @@ INTERNAL = (
 )
 WEBSOCKET = Rule(r"wss?://[^\t\n\f\r \"'<>`)]+", group=0, category="websocket", confidence="high", gate=("ws://", "wss://"))
 
-EXPRESSIONS = {
-    50: lambda c: first_of_each(scan_all(c, SUBDOMAIN, "subdomain_extract"), F.lower),
-    51: lambda c: scan_all(c, (CDN,), "cdn_asset_domains", once=True),
-    52: lambda c: scan_all(c, INTERNAL, "internal_hostnames", once=True),
-    53: lambda c: scan_all(c, (WEBSOCKET,), "websocket_endpoints", once=True),
+TECHNIQUES = {
+    50: Technique("subdomain_extract", lambda texts: first_of_each(scan_all(texts, SUBDOMAIN, "subdomain_extract"), str.lower), ("//", ".")),
+    51: ruled("cdn_asset_domains", (CDN,), once=True),
+    52: ruled("internal_hostnames", INTERNAL, once=True),
+    53: ruled("websocket_endpoints", (WEBSOCKET,), once=True),
 }

@@ -1,23 +1,22 @@
 """File-type parsers: HTML, CSS, JSON, source maps, manifests, XML / SVG, Vue / Svelte.
 
-CSS, XML and the regular parts are scans. HTML and JSON are no regular languages: an Arrow UDF
-walks them with the standard library's parsers and returns the same hit structs.
+CSS, XML and the regular parts are scans. HTML and JSON are no regular languages: the standard
+library's parsers walk them, a content at a time. All run in the same Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from weblode.functions import urls as U
-from weblode.functions.decode import HIT_TYPE, Lines
-from weblode.functions.scan import HIT, Rule, gated, hit, matches, scan
+from weblode.functions.scan import HIT_TYPE, Hit, Lines, Rule, Texts, arrow_hits, hit, scan, sliced
 
 W = r"[\t\n\f\r ]*"
 # Where HTML keeps URLs, and keys that name one in JSON.
@@ -26,24 +25,26 @@ TAG_ATTRIBUTES = {
     "object": ("data",), "area": ("href",), "base": ("href",), "form": ("action",), "video": ("src", "poster"), "audio": ("src",),
     "track": ("src",), "input": ("src",),
 }
-EVENT_ATTRIBUTES = tuple(
-    f"on{e}"
-    for e in "click load error submit change mouseover mouseout focus blur keyup keydown keypress resize scroll dblclick contextmenu input reset".split()
-)
-URL_KEYS = frozenset(
-    "url href src endpoint path link uri redirect callback webhook origin host action target location base_url baseurl api_url".split()
-)
+EVENT_ATTRIBUTES = (
+    "onclick", "onload", "onerror", "onsubmit", "onchange", "onmouseover", "onmouseout", "onfocus", "onblur", "onkeyup", "onkeydown",
+    "onkeypress", "onresize", "onscroll", "ondblclick", "oncontextmenu", "oninput", "onreset",
+)
+RAW_TEXT_TAGS = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")
+URL_KEYS = (
+    "url", "href", "src", "endpoint", "path", "link", "uri", "redirect", "callback", "webhook", "origin", "host", "action", "target",
+    "location", "base_url", "baseurl", "api_url",
+)
 MANIFEST_KEYS = ("start_url", "scope", "sourceRoot", "file")
 SNIPPET = re.compile(r"""["']([^"']*(?:https?://|/)[^"']*)["']""")
 SCRIPT_LITERAL = re.compile(r"""["']((?:https?://|/)[^"'\s]{2,})["']""", re.A)
-RAW_JSON = Rule(r'"((?:https?://|/)[^"]+)"', confidence="low", keep=U.usable)
-CSS_URL = Rule(rf"url\({W}[\"']?([^\"')]+?)[\"']?{W}\)", confidence="high", change=lambda u: F.trim(u, F.lit(" \t\n\r\f\x0b")), keep=lambda u: U.usable(u) & ~u.startswith("data:"))
-CSS_IMPORT = Rule(r"@import[\t\n\f\r ]+[\"']([^\"']+)[\"']", confidence="high", change=lambda u: F.trim(u, F.lit(" \t\n\r\f\x0b")), keep=U.usable)
+RAW_JSON = Rule(r'"((?:https?://|/)[^"]+)"', confidence="low", keep=U.usable_text)
+CSS_URL = Rule(rf"url\({W}[\"']?([^\"')]+?)[\"']?{W}\)", confidence="high", change=str.strip, keep=lambda u: U.usable_text(u) and not u.startswith("data:"))
+CSS_IMPORT = Rule(r"@import[\t\n\f\r ]+[\"']([^\"']+)[\"']", confidence="high", change=str.strip, keep=U.usable_text)
 XML = (
-    ("xml_href", Rule(rf"(?i)\bhref{W}={W}[\"']([^\"']+)[\"']", confidence="high", keep=U.usable)),
-    ("xml_xlink_href", Rule(rf"(?i)\bxlink:href{W}={W}[\"']([^\"']+)[\"']", confidence="high", keep=U.usable)),
-    ("xml_src", Rule(rf"(?i)\bsrc{W}={W}[\"']([^\"']+)[\"']", confidence="high", keep=U.usable)),
-    ("xml_action", Rule(rf"(?i)\baction{W}={W}[\"']([^\"']+)[\"']", keep=U.usable)),
+    ("xml_href", Rule(rf"(?i)\bhref{W}={W}[\"']([^\"']+)[\"']", confidence="high", keep=U.usable_text)),
+    ("xml_xlink_href", Rule(rf"(?i)\bxlink:href{W}={W}[\"']([^\"']+)[\"']", confidence="high", keep=U.usable_text)),
+    ("xml_src", Rule(rf"(?i)\bsrc{W}={W}[\"']([^\"']+)[\"']", confidence="high", keep=U.usable_text)),
+    ("xml_action", Rule(rf"(?i)\baction{W}={W}[\"']([^\"']+)[\"']", keep=U.usable_text)),
     ("xml_namespace", Rule(rf"(?i)\bxmlns(?::[0-9A-Za-z_]+)?{W}={W}[\"'](https?://[^\"']+)[\"']", category="external_service", confidence="low")),
 )
 XML_SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
@@ -57,7 +58,7 @@ def _row(url: str, line: int, confidence: str, detection: str, category: str | N
 
 
 PARSED_TYPE = ArrayType(StructType([*HIT_TYPE.elementType.fields, StructField("technique_id", IntegerType())]))
-SCRIPTS_TYPE = ArrayType(StructType([StructField("content", StringType()), StructField("line", IntegerType())]))
+Parsed = tuple  # a hit with the technique's number at its end
 
 
 def snippet_urls(code: str) -> list[str]:
@@ -67,7 +68,7 @@ def snippet_urls(code: str) -> list[str]:
 class _Pages(HTMLParser):
     """URLs of start tags in document order, and the text of scripts without a source."""
 
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
+    CDATA_CONTENT_ELEMENTS = RAW_TEXT_TAGS
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -112,7 +113,8 @@ class _Pages(HTMLParser):
             self.scripts.append({"content": data, "line": self.getpos()[0]})
 
 
-def _page(text: str) -> _Pages:
+def page(text: str) -> _Pages:
+    """A page read once: its `rows` and its inline `scripts`."""
     page = _Pages()
     page.feed(text)
     page.close()
@@ -120,11 +122,11 @@ def _page(text: str) -> _Pages:
 
 
 def html_rows(text: str) -> list[dict]:
-    return _page(text).rows
+    return page(text).rows
 
 
 def inline_scripts(text: str) -> list[dict]:
-    return _page(text).scripts
+    return page(text).scripts
 
 
 def _no_constant(name: str):
@@ -209,89 +211,91 @@ def source_map_text(text: str) -> list[dict]:
     return source_map_rows(data) if isinstance(data, dict) else []
 
 
-def _udf(find, kind=PARSED_TYPE):
-    def run(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda t: None if t is None else find(t))
-
-    return lambda content: F.pandas_udf(run, kind)(content)
-
-
-def _numbered(hits: Column, technique: int = 0) -> Column:
-    return F.transform(hits.cast(HIT), lambda h: h.withField("technique_id", F.lit(technique)))
-
+def as_hits(doc: int, rows: list[dict]) -> Iterator[Parsed]:
+    for r in rows:
+        yield *hit(doc, r["url"], r["source_line"], r["confidence"], r["detection_method"], r["category"]), r["technique_id"]
 
-def _none() -> Column:
-    return F.array().cast(PARSED_TYPE)
 
+def _scanned(hits: Iterator[Hit]) -> Iterator[Parsed]:
+    return ((*h, 0) for h in hits)
 
-def parse_html(content: Column) -> Column:
-    return F.coalesce(_udf(html_rows)(content), _none())
 
+def _each(read: Callable[[str], list[dict]]) -> Callable[[Texts], Iterator[Parsed]]:
+    return lambda texts: (h for doc in texts.having(()).nonzero()[0].tolist() for h in as_hits(doc, read(texts.text(doc))))
 
-def script_texts(content: Column) -> Column:
-    """array<struct<content, line>> of the inline scripts."""
-    return F.coalesce(_udf(inline_scripts, SCRIPTS_TYPE)(content), F.array().cast(SCRIPTS_TYPE))
 
+def find_css(texts: Texts) -> Iterator[Parsed]:
+    yield from _scanned(scan(texts, CSS_URL, "css_url"))
+    yield from _scanned(scan(texts, CSS_IMPORT, "css_import"))
 
-def parse_css(content: Column) -> Column:
-    return _numbered(F.concat(scan(content, CSS_URL, "css_url"), scan(content, CSS_IMPORT, "css_import")))
 
+def find_json(texts: Texts) -> Iterator[Parsed]:
+    """Values and keys of JSON; quoted URLs of a text that is none."""
+    broken = texts.having(())
+    for doc in broken.nonzero()[0].tolist():
+        rows = json_rows(texts.text(doc))
+        if rows is not None:
+            broken[doc] = False
+            yield from as_hits(doc, rows)
+    for doc, line, (_, url) in texts.matches(RAW_JSON.pattern, (1,), broken):
+        if U.usable_text(url):
+            yield *hit(doc, url, line, RAW_JSON.confidence, "json_regex_fallback"), 0
 
-def parse_json(content: Column) -> Column:
-    return F.coalesce(_udf(json_rows)(content), _numbered(scan(content, RAW_JSON, "json_regex_fallback")), _none())
 
+def _elements(texts: Texts, tag: str) -> Iterator[tuple[int, int, int, str]]:
+    """(document, line of the tag, line of the body, body) of every element of that name; they do not nest."""
+    end = f"</{tag}>"
+    for doc, line, (whole, body) in texts.matches(rf"(?is)<{tag}[^>]*>(.*?){end}", (1,)):
+        yield doc, line, line + whole.count("\n", 0, len(whole) - len(body) - len(end)), body
 
-def parse_source_map(content: Column) -> Column:
-    return F.coalesce(_udf(source_map_text)(content), _none())
 
+def find_xml(texts: Texts) -> Iterator[Parsed]:
+    for name, rule in XML:
+        yield from _scanned(scan(texts, rule, name))
+    for doc, line, _, body in _elements(texts, "script"):
+        for url in snippet_urls(body):
+            yield *hit(doc, url, line, "medium", "xml_embedded_script"), 0
 
-def _script_hits(content: Column, pattern: str, inner: str, confidence: str, name: str) -> Column:
-    """URLs in the quoted literals of every script, on the script's line."""
-    trimmed = lambda t: F.trim(t, F.lit(" \t\n\r\f\x0b"))
-    each = F.transform(matches(content, pattern, (1,)), lambda m: F.transform(
-        F.filter(F.transform(F.regexp_extract_all(m["g1"], F.lit(inner), F.lit(1)), trimmed), U.usable), lambda u: hit(u, m["line"], confidence, name)))
-    return gated(content, Rule("", gate=("<script", "<SCRIPT", "<Script")), F.flatten(each))
 
-
-def parse_xml(content: Column) -> Column:
-    scans = [scan(content, rule, name) for name, rule in XML]
-    return _numbered(F.concat(*scans, _script_hits(content, XML_SCRIPT, SNIPPET.pattern, "medium", "xml_embedded_script")))
+def find_component(texts: Texts) -> Iterator[Parsed]:
+    """The first template as HTML, the scripts' literals, the styles as CSS; lines count from the fragment's own plus one."""
+    seen = set()
+    for doc, _, line, body in _elements(texts, "template"):
+        if doc not in seen:
+            seen.add(doc)
+            yield from as_hits(doc, [r | {"source_line": r["source_line"] + line} for r in html_rows(body)])
+    for doc, _, line, body in _elements(texts, "script"):
+        inner = Lines(body)
+        for u in SCRIPT_LITERAL.finditer(body):
+            if u.group(1) not in U.UNUSABLE:
+                yield *hit(doc, u.group(1), inner(u.start()) + line, "high", "vue_svelte_script"), 0
+    styles = list(_elements(texts, "style"))
+    bodies = Texts(pa.array([body for *_, body in styles], pa.large_string()))
+    for n, *found in sorted(find_css(bodies), key=lambda h: h[0]) if styles else ():
+        yield styles[n][0], found[0], found[1] + styles[n][2], *found[2:]
+
+
+FINDERS: dict[str, Callable[[Texts], Iterator[Parsed]]] = {
+    "html": _each(html_rows),
+    "css": find_css,
+    "json": find_json,
+    "sourcemap": _each(source_map_text),
+    "xml": find_xml,
+    "svg": find_xml,
+    "vue": find_component,
+    "svelte": find_component,
+}
 
 
-def _vue_rows(text: str) -> list[dict]:
-    """The first template as HTML, the scripts' literals, the styles as CSS; lines count from the fragment's own plus one."""
-    rows: list[dict] = []
-    line = Lines(text)
-    m = re.search(r"<template[^>]*>(.*?)</template>", text, re.I | re.S)
-    if m:
-        rows += [r | {"source_line": r["source_line"] + line(m.start(1))} for r in html_rows(m.group(1))]
-    for m in re.finditer(r"<script[^>]*>(.*?)</script>", text, re.I | re.S):
-        inner = Lines(m.group(1))
-        rows += [
-            _row(u.group(1), inner(u.start()) + line(m.start(1)), "high", "vue_svelte_script") for u in SCRIPT_LITERAL.finditer(m.group(1)) if u.group(1) not in U.UNUSABLE
-        ]
-    for m in re.finditer(r"<style[^>]*>(.*?)</style>", text, re.I | re.S):
-        inner = Lines(m.group(1))
-        for pattern, name in ((r"""url\(\s*["']?([^"')]+?)["']?\s*\)""", "css_url"), (r"""@import\s+["']([^"']+)["']""", "css_import")):
-            for u in re.finditer(pattern, m.group(1), re.A):
-                url = u.group(1).strip()
-                if url not in U.UNUSABLE and not (name == "css_url" and url.startswith("data:")):
-                    rows.append(_row(url, inner(u.start()) + line(m.start(1)), "high", name))
-    return rows
+def _column(find: Callable[[Texts], Iterator[Parsed]]) -> Callable[[Column], Column]:
+    def run(contents: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
 
+        part = lambda contents, _: arrow_hits(len(contents), list(find(Texts(contents))), ("technique_id",))
+        return sliced(contents, part, to_arrow_type(PARSED_TYPE))
 
-def parse_component(content: Column) -> Column:
-    """Vue and Svelte files."""
-    return F.coalesce(_udf(_vue_rows)(content), _none())
+    return lambda content: F.arrow_udf(run, PARSED_TYPE)(F.make_valid_utf8(content))
 
 
-PARSERS = {
-    "html": parse_html,
-    "css": parse_css,
-    "json": parse_json,
-    "sourcemap": parse_source_map,
-    "xml": parse_xml,
-    "svg": parse_xml,
-    "vue": parse_component,
-    "svelte": parse_component,
-}
+#: The parsers by file type, as expressions over a content column: array of hit structs.
+PARSERS = {kind: _column(find) for kind, find in FINDERS.items()}

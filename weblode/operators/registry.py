@@ -1,26 +1,17 @@
-"""The 67 techniques: their table and, for each, its expression over a content column."""
+"""The 67 techniques: their table and, for any set of them, their hits as an expression over a content column."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from weblode.functions.scan import HIT
+from weblode.functions import scan
 from weblode.operators import calls, comments, config, encoded, hosts, lexical, routers
 
-# Technique names by id, and the layer each range belongs to.
-NAMES = (
-    "absolute_urls relative_paths api_patterns query_strings hash_fragments template_literals string_concatenation data_uris "
-    "blob_javascript_uris mailto_links ip_based_urls encoded_urls custom_protocols string_literals "
-    "fetch_calls xmlhttprequest axios_calls jquery_ajax sendbeacon eventsource_websocket dynamic_import require_calls location_assign "
-    "window_open element_src_href set_attribute innerhtml_urls postmessage form_action serviceworker webworker webpack_require dynamic_script "
-    "react_router vue_router angular_router nextjs express_routes graphql_ops rest_inference "
-    "env_variables config_objects webpack_public_path sourcemap_refs base_tags manifest_files sitemap_robots openapi_swagger feature_flags "
-    "subdomain_extract cdn_asset_domains internal_hostnames websocket_endpoints "
-    "single_line_comments multi_line_comments html_comments jsdoc_tags dev_annotations commented_code "
-    "base64_decode hex_decode unicode_decode array_obfuscation fromcharcode atob_calls reverse_split_join url_constructor"
-).split()
+TECHNIQUES = lexical.TECHNIQUES | calls.TECHNIQUES | routers.TECHNIQUES | config.TECHNIQUES | hosts.TECHNIQUES | comments.TECHNIQUES | encoded.TECHNIQUES
+NAMES = tuple(TECHNIQUES[t].name for t in sorted(TECHNIQUES))
+# The techniques of each layer, first and last.
 LAYERS = {1: (1, 14), 2: (15, 33), 3: (34, 40), 4: (41, 49), 5: (50, 53), 6: (54, 59), 7: (60, 67)}
-EXPRESSIONS = lexical.EXPRESSIONS | calls.EXPRESSIONS | routers.EXPRESSIONS | config.EXPRESSIONS | hosts.EXPRESSIONS | comments.EXPRESSIONS | encoded.EXPRESSIONS
+EXPRESSIONS = {t: scan.column({t: technique}) for t, technique in TECHNIQUES.items()}
 
 
 def layer_of(technique: int) -> int:
@@ -34,7 +25,7 @@ def techniques(spark: SparkSession) -> DataFrame:
 
 def hits_of(content: Column, technique: int) -> Column:
     """The technique's hits in one content, with its id: array of structs."""
-    return F.transform(EXPRESSIONS[technique](content).cast(HIT), lambda h: h.withField("technique_id", F.lit(technique)))
+    return EXPRESSIONS[technique](content)
 
 
 def apply(docs: DataFrame, technique: int, content: str = "content") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from collections.abc import Iterator
 
-from weblode.functions.decode import HIT_TYPE
-from weblode.functions.scan import MIB, Rule, first_of_each, gated, hit, matches, scan_all
+from weblode.functions.scan import MIB, Hit, Rule, Technique, Texts, first_of_each, hit, ruled, scan, scan_all
 
 # The patterns of the detection rules.
 W = r"[\t\n\f\r ]*"
@@ -21,7 +21,7 @@ REACT = (
     _route(rf"<Route{S}(?:exact{S})?path{W}={W}{V}", "<Route"),
     _route(rf"<Link{S}[^>]*to{W}={W}{V}", "<Link"),
     _route(rf"<NavLink{S}[^>]*to{W}={W}{V}", "<NavLink"),
-    _route(rf"{S}to{W}={W}[\"'](/[^\"']+)[\"']", "to", java=rf"[\t\n\f\r ]++to{W}={W}[\"'](/[^\"']+)[\"']"),
+    _route(rf"{S}to{W}={W}[\"'](/[^\"']+)[\"']", "to"),
     _route(rf"(?:useNavigate|navigate){W}\({W}{V}", "avigate"),
     _route(rf"\{{{W}path{W}:{W}{V}", "path"),
 )
@@ -41,8 +41,8 @@ ANGULAR = (
 )
 
 
-def api_or_page(u: Column) -> Column:
-    return F.when(u.startswith("/api/"), "api_endpoint").otherwise("page_route")
+def api_or_page(u: str) -> str:
+    return "api_endpoint" if u.startswith("/api/") else "page_route"
 
 
 NEXT = (
@@ -57,46 +57,47 @@ EXPRESS = Rule(
 )
 
 
-def _named(u: Column) -> Column:
-    return F.concat(F.lit("graphql:"), u)
+def _named(u: str) -> str:
+    return "graphql:" + u
 
 
 GRAPHQL = (
     Rule(rf"(?:query|mutation|subscription){S}([A-Za-z_][A-Za-z0-9_]*){W}(?:\([^)]*\){W})?\{{", category="api_endpoint", cap=MIB, gate=("query", "mutation", "subscription"), change=_named),
     Rule(rf"(?:^|[^A-Za-z_])(query|mutation|subscription){W}\{{", category="api_endpoint", cap=MIB, gate=("query", "mutation", "subscription"), change=_named),
-    Rule(r"[\"']([^\"']*(?:/graphql|/gql)[^\"']*)[\"']", category="api_endpoint", gate=("/graphql", "/gql"), java=r"[\"']((?:(?!/graphql|/gql)[^\"'])*+(?:/graphql|/gql)[^\"']*+)[\"']"),
+    Rule(r"[\"']([^\"']*(?:/graphql|/gql)[^\"']*)[\"']", category="api_endpoint", gate=("/graphql", "/gql")),
 )
 GQL_TAG = rf"gql{W}`([^`]*)`"
-GQL_NAME = rf"(?:query|mutation|subscription){S}([A-Za-z_][A-Za-z0-9_]*)"
+GQL_NAME = re.compile(rf"(?:query|mutation|subscription){S}([A-Za-z_][A-Za-z0-9_]*)")
 REST = Rule(r"[\"'](/api/[a-z][a-z0-9_-]*s)(?:/[^\"']*)?[\"']", gate=("/api/",))
 REST_ACTIONS = ("", "/{id}", "/create", "/update", "/delete")
 
 
-def _express(content: Column) -> Column:
+def _express(texts: Texts) -> Iterator[Hit]:
     """`use` mounts middleware for no method in particular."""
-    hits = scan_all(content, (EXPRESS,), "express_routes")
-    return F.transform(hits, lambda h: h.withField("http_method", F.when(h["http_method"] == "USE", "").otherwise(h["http_method"])))
+    for h in scan(texts, EXPRESS, "express_routes"):
+        yield (*h[:3], "" if h[3] == "USE" else h[3], *h[4:])
 
 
-def _graphql(content: Column) -> Column:
-    tags = F.transform(matches(content, GQL_TAG, (1,)), lambda m: F.transform(
-        F.regexp_extract_all(m["g1"], F.lit(GQL_NAME), F.lit(1)), lambda n: hit(_named(n), m["line"], "medium", "graphql_ops", "api_endpoint")))
-    return F.concat(scan_all(content, GRAPHQL, "graphql_ops"), gated(content, Rule("", gate=("gql`", "gql `")), F.flatten(tags)))
+def _graphql(texts: Texts) -> Iterator[Hit]:
+    yield from scan_all(texts, GRAPHQL, "graphql_ops")
+    for doc, line, (_, body) in texts.matches(GQL_TAG, (1,), texts.having(("gql`", "gql `"))):
+        for name in GQL_NAME.findall(body):
+            yield hit(doc, _named(name), line, "medium", "graphql_ops", "api_endpoint")
 
 
-def _rest(content: Column) -> Column:
+def _rest(texts: Texts) -> Iterator[Hit]:
     """Each collection path once, with the endpoints that such a collection usually has."""
-    bases = first_of_each(scan_all(content, (REST,), "rest_inference"))
-    each = lambda h: F.array(*(hit(F.concat(h["url"], F.lit(a)), h["source_line"], "low", "rest_inference", "inferred") for a in REST_ACTIONS))
-    return F.coalesce(F.flatten(F.transform(bases, each)), F.array().cast(HIT_TYPE))
-
-
-EXPRESSIONS = {
-    34: lambda c: scan_all(c, REACT, "react_router"),
-    35: lambda c: scan_all(c, VUE, "vue_router"),
-    36: lambda c: scan_all(c, ANGULAR, "angular_router"),
-    37: lambda c: scan_all(c, NEXT, "nextjs"),
-    38: _express,
-    39: _graphql,
-    40: _rest,
+    for base in first_of_each(scan(texts, REST, "rest_inference")):
+        for action in REST_ACTIONS:
+            yield hit(base[0], base[1] + action, base[2], "low", "rest_inference", "inferred")
+
+
+TECHNIQUES = {
+    34: ruled("react_router", REACT),
+    35: ruled("vue_router", VUE),
+    36: ruled("angular_router", ANGULAR),
+    37: ruled("nextjs", NEXT),
+    38: Technique("express_routes", _express, EXPRESS.gate),
+    39: Technique("graphql_ops", _graphql, ("query", "mutation", "subscription", "/graphql", "/gql", "gql")),
+    40: Technique("rest_inference", _rest, REST.gate),
 }

@@ -24,9 +24,8 @@ def watch_folder(spark: SparkSession, path: str, max_megabytes: int = MAX_MEGABY
 
 def new_results(docs: DataFrame, watermark: str | None = "1 day", techniques=range(1, 68)) -> DataFrame:
     """Valid results of a document stream (with `seen_at`); with a watermark each (method, URL) once within it."""
-    times = docs.select("doc_ord", "file_name", "file_type", "content", "seen_at")
-    hits = all_hits(times.drop("seen_at"), list(techniques), with_parsers=False)
-    results = relational.with_category(relational.valid(hits)).withColumn("seen_at", F.timestamp_micros("doc_ord"))
+    hits = all_hits(docs.select("doc_ord", "file_name", "file_type", "content", "seen_at"), list(techniques))
+    results = relational.with_category(relational.valid(hits))
     if watermark is None:
         return results
     return results.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["http_method", "url"])
