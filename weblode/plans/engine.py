@@ -34,6 +34,15 @@ def documents(raw: DataFrame, ord_column: str, name: str, content: str, content_
     return found.where(F.length("content") > 0)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where it has fewer partitions than there are: extraction costs far more than moving them.
+
+    For plain scans only, whose partitions are known without running anything.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _parsed(texts: Texts, kinds: np.ndarray, rows: list[tuple]) -> tuple[list[tuple[int, int]], Texts]:
     """Adds the parsers' hits (stage 0); returns (document, number from 1) and text of each inline script of HTML, from the same parse."""
     owners, scripts = [], []

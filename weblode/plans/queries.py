@@ -93,7 +93,7 @@ TEMPLATES = {
 
 def made_documents(spark: SparkSession, sf_dir: str, technique: int) -> DataFrame:
     """(doc_id, content): the technique's template for every order."""
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    keys = engine.spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     text = F.replace(F.replace(F.lit(TEMPLATES[technique]), F.lit("{k}"), F.col("o_orderkey").cast("string")), F.lit("{c}"), F.col("o_custkey").cast("string"))
     return keys.select(F.col("o_orderkey").alias("doc_id"), text.alias("content"))
 
@@ -113,11 +113,11 @@ def technique_query(technique: int) -> Query:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.documents(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+    return engine.documents(engine.spread(spark.read.parquet(f"{sf_dir}/pages.parquet")), "page_id", "url", "html")
 
 
 def pages_relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))
+    docs = engine.spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))
     return shown(registry.apply(docs, 2))
 
 
@@ -132,7 +132,7 @@ def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "[ \n]")).alias("url"))
+    text = engine.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")).select(F.explode(F.split("text", "[ \n]")).alias("url"))
     links = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url")
     return text.unionByName(links).distinct()
 
@@ -260,7 +260,7 @@ def parser_query(kind: str, content: str) -> Query:
     """A file-type parser over a made document for each order."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+        keys = engine.spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
         text = F.replace(F.lit(content), F.lit("{k}"), F.col("o_orderkey").cast("string"))
         hits = keys.select(F.col("o_orderkey").alias("doc_id"), text.alias("content")).select("doc_id", F.inline(parsers.PARSERS[kind](F.col("content"))))
         return relational.with_category(hits).select("doc_id", "url", "source_line", "detection_method", "category", "confidence", "technique_id")
