@@ -560,3 +560,31 @@ def test_near_duplicates_edges(spark):
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r.node: r.comp for r in near_dedup.components(links).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokenizers_that_heed_case_or_white_space(name, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    mine, plain = token_output.WordTokenizer(path, 8), Tokenizer.from_file(path)
+    assert (mine.by_words, mine.folds) == ((True, True) if name.startswith("word") else (False, False))
+    some = [*texts, None, "Two  Words\n, THREE", " ".join(f"w{i}x" for i in range(300))]  # more distinct pieces than the cache holds
+    ids, sizes = mine.encode(pa.array(some), 2)
+    expected = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+    assert ids.tolist() == [i for x in expected for i in x] and sizes.tolist() == [len(x) for x in expected]
+
+
+def test_coder_learns(texts):
+    """Order 0 learns which ids a block has and beats zlib on loose ones; orders 1 and 2 learn what follows."""
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(0, 49_000, 600)
+    loose = vocabulary[np.minimum(rng.zipf(1.3, R.BLOCK_IDS * 3) - 1, 599)].astype(np.uint32)
+    cycle = np.tile(vocabulary[:50], R.BLOCK_IDS // 50 + 1)[: R.BLOCK_IDS].astype(np.uint32)
+    blocks = [*np.split(loose, 3), cycle]
+    coded = R.encode_blocks(blocks)
+    for own, code in zip(blocks[:3], coded, strict=False):
+        assert len(code) < len(zlib.compress(own.astype("<u2").tobytes(), 9))
+    assert len(coded[-1]) < 0.1 * len(cycle)
+    assert all((a == b).all() for a, b in zip(blocks, R.decode_blocks(coded), strict=True))

@@ -1,16 +1,19 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lockstep.
 
 A block is coded on its own: all models start afresh, a header carries its length and
-checksum. For each id the coder mixes three predictions:
+checksums. For each id the coder mixes three predictions of ids:
 
 * order 2 and order 1: the id that last followed the two, or the one, ids before, each with a
-  confidence of 0 to 3;
-* order 0: an adaptive distribution over the id's high and low byte.
+  confidence of 0 (none yet) to 7;
+* order 0: an adaptive distribution over the ids that the block has had, in the order of their
+  first coming, with a share for ids that are new to it; those follow a fixed law that falls
+  with the id, as public vocabularies number their tokens by rank.
 
-The mixture's weights follow from the confidences, which adapt with every id. The id is coded as "what order 2
-says", else "what order 1 says", else its two bytes under order 0, all by one narrowing of a
-64-bit range with 36-bit frequencies; 16-bit words leave at the top, a carry runs back into
-the words written. Blocks are lanes of numpy vectors: one step codes the next id of each.
+The weights of the mixture are learned, for each pair of confidences and for whether both orders agree. The id is coded
+as "what order 2 says", else "what order 1 says", else under order 0, all by one narrowing of a
+64-bit range with 36-bit frequencies, and a second one for new ids; 16-bit words leave at the
+top, a carry runs back into the words written. Blocks are lanes of numpy vectors: one step codes
+the next id of each. Order 0's shares are refreshed in steps that grow with the block.
 
 Encoder and decoder share the model's code, so they cannot drift apart.
 """
@@ -24,208 +27,295 @@ import numpy as np
 
 #: Ids of one block, and blocks coded at once.
 BLOCK_IDS = 2048
-LANES = 2048
-MAGIC = b"CMR1"
-_HEADER = struct.Struct("<4sIII")
-_CONTEXT_BITS = 10
+LANES = 3072
+MAGIC = b"CMR2"
+_HEADER = struct.Struct("<4sIIII")  # magic, ids, words, checksum of both and the words, checksum of the ids
 _U = np.uint64
 _FLOOR = _U(1 << 48)
-_REBUILD = 512
+_CONTEXT_BITS = 10
 _MIX1, _MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_ONE, _TWO, _THREE, _SIXTEEN = np.uint32(1), np.uint32(2), np.uint32(3), np.uint32(16)
-# Shares (of 4096) of order 2, and of both orders, by agreement and the confidences of order 2 and order 1.
-_BELIEF = (0.01, 0.30, 0.62, 0.86)
+_ONE, _THREE, _SEVEN, _SHIFT = np.uint32(1), np.uint32(3), np.uint32(7), np.uint32(32 - _CONTEXT_BITS)
+_BOTH = 128  # pairs of confidences, apart and agreeing
+#: Shares of order 0 sum to this, and new ids never have less than the second.
+_TOTAL, _NEW = 1 << 14, 48
+#: Shares are refreshed at these steps, then at every multiple of the last.
+_EARLY = (8, 16, 32, 64, 128, 256, 512)
 
 
-def _shares() -> tuple[np.ndarray, np.ndarray]:
-    two, upto = [], []
-    for agree in (False, True):
-        for sure2 in _BELIEF:
-            for sure1 in _BELIEF:
-                own = max(sure2, sure1) if agree else sure2
-                two.append(1 + int(4090 * own))
-                upto.append(two[-1] + (0 if agree else 1 + int((4094 - two[-1]) * sure1 * 0.9)))
-    return np.array(two), np.array(upto)
+def _law() -> np.ndarray:
+    """Where each id's part of a new id's range starts, of 2^22; ids are the likelier the lower they are."""
+    weight = 1.0 / (np.arange(1 << 16) + 400.0)
+    return np.concatenate(([0], np.cumsum(np.floor(weight / weight.sum() * ((1 << 22) - (1 << 16))).astype(np.int64) + 1)))
 
 
-_SHARE2, _UPTO1 = _shares()
+_FIRST = _law()
+_LAST = int(_FIRST[-1])
 
 
 class DamagedBlock(ValueError):
-    """A block whose bytes do not decode to the ids that its checksum was taken of."""
+    """A block whose bytes do not decode to the ids that its checksums were taken of."""
 
 
 class _Model:
-    """Model state of all lanes; row 0 of paired arrays is order 1 (or high bytes), row 1 is order 2 (or low bytes)."""
+    """Model state of all lanes; row 0 of paired arrays is order 1, row 1 is order 2."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
-        self.lanes = lanes
+        self.lanes, self.lane = lanes, lane
         self.base = np.stack([lane, lane + lanes]) << _CONTEXT_BITS
-        self.follow = np.zeros(2 * lanes << _CONTEXT_BITS, np.uint32)  # id << 2 | confidence
-        self.counts = np.ones(2 * lanes * 256, np.int32)
-        self.byte_base = lane << 8
+        self.follow = np.zeros(2 * lanes << _CONTEXT_BITS, np.uint32)  # id << 3 | confidence
+        sure = np.arange(_BOTH)
+        start = np.array([0, 9000, 22000, 34000, 44000, 52000, 58000, 62000])
+        # Weights of order 2, and of order 1 where order 2 fails, in 1 / 65,536: two halves of one number.
+        first = (start[(sure >> 3) & 7] << 16) | start[sure & 7] // 2
+        self.weights, self.weight_base = np.tile(first.astype(np.int64), lanes), lane * _BOTH
         self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.spans = np.empty(0, np.int64)  # start << 12 | width - 1 of each byte
-
-    def rebuild(self, step: int) -> bool:
-        """Refreshes the order-0 frequencies (of 4096) now and then, sooner at the start."""
-        if step % _REBUILD and step not in (16, 64, 192):
+        # Order 0: a row a lane, a column an id by first coming; the last column is for new ids.
+        self.known = np.zeros(lanes, np.int64)
+        self.columns = 256
+        self.ids = np.zeros((lanes, self.columns), np.uint32)
+        self.counts = np.zeros((lanes, self.columns), np.uint16)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []  # lanes and new ids, step by step
+        self._share(np.full(lanes, _TOTAL))
+
+    def _share(self, new: np.ndarray) -> None:
+        """Shares by count, at least 1 for a known id, what is left for new ones."""
+        known = self.known.astype(np.int32)[:, None]
+        total = np.cumsum(self.counts, axis=1, dtype=np.int32)
+        stops = total * (np.int32(_TOTAL) - new.astype(np.int32)[:, None] - known)
+        stops //= np.maximum(total[:, -1:], 1)
+        stops += np.minimum(np.arange(1, self.columns + 1, dtype=np.int32), known)
+        starts = np.zeros((self.lanes, self.columns + 1), np.int32)
+        starts[:, 1:] = stops
+        self.widths = np.empty_like(starts)
+        np.subtract(stops, starts[:, :-1], out=self.widths[:, :-1])
+        self.widths[:, -1] = np.int32(_TOTAL) - starts[:, -1]
+        self.spans = (starts << 15 | self.widths).ravel()
+        self.row = self.lane * (self.columns + 1)
+
+    def refresh(self, step: int) -> bool:
+        """Takes new ids in and shares order 0 out again, at some steps; both sides do so at the same ones."""
+        if step not in _EARLY and (step == 0 or step % _EARLY[-1]):
             return False
-        total = np.cumsum(self.counts.reshape(-1, 256), axis=1, dtype=np.int32)
-        stops = total * np.int32(4096 - 256) // total[:, -1:] + np.arange(1, 257, dtype=np.int32)
-        widths = np.diff(stops, axis=1, prepend=np.int32(0))
-        self.widths = widths.ravel()
-        self.spans = ((stops - widths).ravel().astype(np.int64) << 12) | (self.widths - 1)
+        since = step - max((e for e in (0, *_EARLY) if e < step), default=0) if step <= _EARLY[-1] else _EARLY[-1]
+        if self.fresh:
+            lane, ids = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
+            self.fresh = []
+            keys, first, times = np.unique(lane << 16 | ids, return_index=True, return_counts=True)
+            order = np.lexsort((first, keys >> 16))
+            keys, times = keys[order], times[order]
+            owner = keys >> 16
+            size = np.bincount(owner, minlength=self.lanes)
+            column = self.known[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            missed = np.bincount(lane, minlength=self.lanes)
+            self.known = self.known + size
+            grown = self.columns
+            while grown < int(self.known.max()):
+                grown *= 2
+            if grown > self.columns:
+                wider = ((0, 0), (0, grown - self.columns))
+                self.ids, self.counts, self.columns = np.pad(self.ids, wider), np.pad(self.counts, wider), grown
+            self.ids[owner, column] = (keys & 0xFFFF).astype(np.uint32)
+            self.counts[owner, column] = 2 * times
+        else:
+            missed = np.zeros(self.lanes, np.int64)
+        most = np.maximum((_TOTAL - self.known) // 2, _NEW)
+        self._share(np.where(self.known > 0, np.clip(_TOTAL * missed // since, _NEW, most), _TOTAL))
         return True
 
-    def span(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of a byte's share."""
-        both = self.spans.take(at)
-        return both >> 12, (both & 4095) + 1
-
     def predict(self, n: int) -> None:
         """Predictions and mixture frequencies (of 4096) of the first n lanes."""
         h = np.empty((2, n), np.uint32)
         np.multiply(self.prev1[:n], _MIX1, out=h[0])
         np.multiply(self.prev2[:n], _MIX2, out=h[1])
         h[1] += h[0]
-        h >>= np.uint32(32 - _CONTEXT_BITS)
+        h >>= _SHIFT
         self.at = self.base[:, :n] + h
         self.entry = self.follow.take(self.at)
-        self.sure, self.say = self.entry & _THREE, self.entry >> _TWO
-        both = (self.sure[1] << _TWO) | self.sure[0]
-        both += (self.say[0] == self.say[1]) * _SIXTEEN
-        self.f2, self.upto1 = _SHARE2.take(both), _UPTO1.take(both)
-
-    def learn(self, n: int, ids: np.ndarray) -> None:
-        kept = np.where(self.sure > 1, self.entry - _ONE, (ids << _TWO) | _ONE)
-        self.follow[self.at] = np.where(self.say == ids, self.entry + (self.sure < 3), kept)
+        self.sure, self.say = self.entry & _SEVEN, self.entry >> _THREE
+        self.agree = (self.say[0] == self.say[1]) & (self.sure[1] > 0)
+        self.slot = self.weight_base[:n] + ((self.sure[1] << _THREE) + self.sure[0] + self.agree * 64)
+        both = self.weights.take(self.slot)
+        self.w2, self.w1 = both >> 16, both & 0xFFFF
+        # No share where an order has nothing to say, or says what order 2 says.
+        self.f2 = ((self.w2 * 4090 >> 16) + 1) * (self.sure[1] > 0)
+        self.upto1 = self.f2 + ((self.w1 * (4094 - self.f2) >> 16) + 1) * ((self.sure[0] > 0) & ~self.agree)
+
+    def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
+        w2 = self.w2 + ((is2 * 65535 - self.w2) >> 5)
+        w1 = self.w1 + (((is1 * 65535 - self.w1) >> 5) * ~(is2 | self.agree))
+        self.weights[self.slot] = w2 << 16 | w1
+        kept = np.where(self.sure > 2, self.entry - _THREE, (ids << _THREE) | _ONE)
+        self.follow[self.at] = np.where((self.say == ids) & (self.sure > 0), self.entry + (self.sure < 7), kept)
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
 
-    def count(self, high_at: np.ndarray, low_at: np.ndarray) -> None:
-        self.counts[high_at] += 24
-        self.counts[low_at] += 24
 
+def _slots(ids: np.ndarray, size: int) -> np.ndarray:
+    """The column of each id of a block: how many others came first before it did."""
+    own = ids[:size]
+    place = np.empty(1 << 16, np.int64)
+    place[own[::-1]] = np.arange(size - 1, -1, -1)
+    first = place[own]
+    rank = np.cumsum(first == np.arange(size)) - 1
+    out = np.zeros(len(ids), np.int64)
+    out[:size] = rank[first]
+    return out
 
-def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """Code words of each lane; sizes must not rise."""
-    lanes, steps = ids.shape
-    model = _Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
-    row = steps * 9 // 4 + 12
-    out, end = np.zeros(lanes * row, np.uint16), np.arange(lanes) * row
-    alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
 
-    def carry(lane: np.ndarray) -> None:
-        place = end[lane] - 1
+class _Writer:
+    """The ends of all lanes' ranges, and the words that have left them."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
+        self.row = steps * 5 // 2 + 16
+        self.out, self.end = np.zeros(lanes * self.row, np.uint16), np.arange(lanes) * self.row
+
+    def _carry(self, lane: np.ndarray) -> None:
+        place = self.end[lane] - 1
         while len(place):
-            out[place] += 1
-            place = place[out[place] == 0] - 1
+            self.out[place] += 1
+            place = place[self.out[place] == 0] - 1
+
+    def emit(self, lane: np.ndarray, bits: np.ndarray) -> None:
+        place = self.end.take(lane)
+        self.out[place] = bits >> _U(48)
+        self.end[lane] = place + 1
+
+    def narrow(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """Narrows the lanes' ranges to a part of 2^bits."""
+        low, unit = self.low[lane], self.width[lane] >> _U(bits)
+        after = low + unit * start.view(np.uint64)
+        index = np.arange(len(low)) if isinstance(lane, slice) else lane
+        over = np.flatnonzero(after < low)
+        if len(over):
+            self._carry(index[over])
+        left = unit * size.view(np.uint64)
+        thin = np.flatnonzero(left < _FLOOR)
+        while len(thin):
+            top = after.take(thin)
+            self.emit(index[thin], top)
+            after[thin] = top << _U(16)
+            wide = left.take(thin) << _U(16)
+            left[thin] = wide
+            thin = thin[wide < _FLOOR]
+        self.low[lane], self.width[lane] = after, left
 
-    def emit(lane: np.ndarray, bits: np.ndarray) -> None:
-        place = end.take(lane)
-        out[place] = bits >> _U(48)
-        end[lane] = place + 1
 
+def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Code words of each lane; sizes must not rise."""
+    lanes, steps = ids.shape
+    model, writer = _Model(lanes), _Writer(lanes, steps)
+    alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
+    slots = np.empty((steps, lanes), np.int64)
+    for i in range(lanes):
+        slots[:, i] = _slots(ids[i], int(sizes[i]))
     by_step = np.ascontiguousarray(ids.T)
     for t in range(steps):
         n = int(alive[t])
-        model.rebuild(t)
+        model.refresh(t)
         model.predict(n)
         x = by_step[t, :n]
-        is2, is1 = model.say[1] == x, model.say[0] == x
+        is2 = (model.say[1] == x) & (model.sure[1] > 0)
+        is1 = (model.say[0] == x) & (model.sure[0] > 0) & ~is2
         start = np.where(is2, 0, np.where(is1, model.f2, model.upto1)) << 24
         size = np.where(is2, model.f2, model.upto1 - model.f2) << 24
         plain = np.flatnonzero(~(is2 | is1))
-        if len(plain):
-            byte, own = model.byte_base.take(plain), x.take(plain)
-            high, last = byte + (own >> np.uint32(8)), byte + (own & np.uint32(255)) + (lanes << 8)
-            (a, wide), (b, thin) = model.span(high), model.span(last)
-            rest = 4096 - (start.take(plain) >> 24)
-            start[plain] += rest * ((a << 12) + wide * b)
-            size[plain] = rest * (wide * thin)
-            model.count(high, last)
-        unit = width[:n] >> _U(36)
-        after = low[:n] + unit * start.view(np.uint64)
-        over = np.flatnonzero(after < low[:n])
-        if len(over):
-            carry(over)
-        narrow = unit * size.view(np.uint64)
-        thin = np.flatnonzero(narrow < _FLOOR)
-        while len(thin):
-            bits = after.take(thin)
-            emit(thin, bits)
-            after[thin] = bits << _U(16)
-            left = narrow.take(thin) << _U(16)
-            narrow[thin] = left
-            thin = thin[left < _FLOOR]
-        low[:n], width[:n] = after, narrow
-        model.learn(n, x)
+        slot = slots[t].take(plain)
+        old = slot < model.known.take(plain)
+        span = model.spans.take(model.row.take(plain) + np.where(old, slot, model.columns)).astype(np.int64)
+        rest = 4096 - model.upto1.take(plain)
+        start[plain] += rest * (span >> 15) << 10
+        size[plain] = rest * (span & 0x7FFF) << 10
+        writer.narrow(slice(0, n), start, size, 36)
+        new = plain[~old]
+        if len(new):
+            own = x.take(new)
+            writer.narrow(new, _FIRST.take(own), _FIRST.take(own + _ONE) - _FIRST.take(own), 22)
+            model.fresh.append((new, own.astype(np.int64)))
+        seen = plain[old]
+        model.counts[seen, slot[old]] += 2
+        model.learn(n, x, is2, is1)
     every = np.arange(lanes)
     for i in range(4):
-        emit(every, low << _U(16 * i))
-    return [out[i * row : end[i]] for i in range(lanes)]
+        writer.emit(every, writer.low << _U(16 * i))
+    return [writer.out[i * writer.row : writer.end[i]] for i in range(lanes)]
+
+
+class _Reader:
+    """The code words of all lanes, and where in their ranges they point."""
+
+    def __init__(self, words: list[np.ndarray]):
+        lanes, row = len(words), max(map(len, words)) + 8
+        data = np.zeros((lanes, row), np.uint16)
+        for i, w in enumerate(words):
+            data[i, : len(w)] = w
+        self.code = np.zeros(lanes, np.uint64)
+        for i in range(4):
+            self.code = (self.code << _U(16)) | data[:, i]
+        self.last = np.arange(1, lanes + 1) * row - 1
+        self.data, self.at = data.ravel(), np.arange(lanes) * row + 4
+        self.width = np.full(lanes, ~_U(0))
+
+    def point(self, lane: np.ndarray | slice, bits: int) -> np.ndarray:
+        """Where the lanes point, of 2^bits."""
+        self.unit = self.width[lane] >> _U(bits)
+        return np.minimum(self.code[lane] // self.unit, _U((1 << bits) - 1)).view(np.int64)
+
+    def narrow(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
+        ahead = self.code[lane] - self.unit * start.view(np.uint64)
+        left = self.unit * size.view(np.uint64)
+        index = np.arange(len(ahead)) if isinstance(lane, slice) else lane
+        thin = np.flatnonzero(left < _FLOOR)
+        while len(thin):
+            own = index[thin]
+            place = self.at.take(own)
+            ahead[thin] = (ahead.take(thin) << _U(16)) | self.data.take(np.minimum(place, self.last.take(own)))
+            self.at[own] = place + 1
+            wide = left.take(thin) << _U(16)
+            left[thin] = wide
+            thin = thin[wide < _FLOOR]
+        self.code[lane], self.width[lane] = ahead, left
 
 
 def _decode_lanes(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     lanes, steps = len(words), int(sizes.max(initial=0))
-    model = _Model(lanes)
-    row = max(map(len, words)) + 8
-    data = np.zeros((lanes, row), np.uint16)
-    for i, w in enumerate(words):
-        data[i, : len(w)] = w
-    code = np.zeros(lanes, np.uint64)
-    for i in range(4):
-        code = (code << _U(16)) | data[:, i]
-    last_word = np.arange(1, lanes + 1) * row - 1
-    data, at = data.ravel(), np.arange(lanes) * row + 4
-    width = np.full(lanes, ~_U(0))
+    model, reader = _Model(lanes), _Reader(words)
     ids = np.zeros((steps, lanes), np.uint32)
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    find = np.empty(0, np.uint8)
-    digits, lut_base = np.tile(np.arange(256, dtype=np.uint8), 2 * lanes), np.arange(lanes) << 12
+    find, find_row = np.zeros(0, np.uint16), np.arange(lanes) << 14
     for t in range(steps):
         n = int(alive[t])
-        if model.rebuild(t):
-            find = np.repeat(digits, model.widths)
+        if model.refresh(t) or t == 0:
+            find = np.repeat(np.tile(np.arange(model.columns + 1, dtype=np.uint16), lanes), model.widths.ravel())
         model.predict(n)
-        unit = width[:n] >> _U(36)
-        value = np.minimum(code[:n] // unit, _U((1 << 36) - 1)).view(np.int64)
+        value = reader.point(slice(0, n), 36)
         part = value >> 24
         is2, other = part < model.f2, part >= model.upto1
+        is1 = ~(is2 | other)
         start = np.where(is2, 0, np.where(other, model.upto1, model.f2)) << 24
         size = np.where(is2, model.f2, model.upto1 - model.f2) << 24
         x = np.where(is2, model.say[1], model.say[0])
         plain = np.flatnonzero(other)
-        if len(plain):
-            begin, byte, lut = start.take(plain), model.byte_base.take(plain), lut_base.take(plain)
-            rest = 4096 - (begin >> 24)
-            inner = (value.take(plain) - begin) // rest
-            first = find.take(lut + (inner >> 12))
-            high = byte + first
-            a, wide = model.span(high)
-            second = find.take(lut + (inner - (a << 12)) // wide + (lanes << 12))
-            last = byte + second + (lanes << 8)
-            b, thin = model.span(last)
-            start[plain] = begin + rest * ((a << 12) + wide * b)
-            size[plain] = rest * (wide * thin)
-            x[plain] = (first.astype(np.uint32) << np.uint32(8)) | second
-            model.count(high, last)
-        ahead = code[:n] - unit * start.view(np.uint64)
-        narrow = unit * size.view(np.uint64)
-        thin = np.flatnonzero(narrow < _FLOOR)
-        while len(thin):
-            place = at.take(thin)
-            ahead[thin] = (ahead.take(thin) << _U(16)) | data.take(np.minimum(place, last_word.take(thin)))
-            at[thin] = place + 1
-            left = narrow.take(thin) << _U(16)
-            narrow[thin] = left
-            thin = thin[left < _FLOOR]
-        code[:n], width[:n] = ahead, narrow
+        rest = 4096 - model.upto1.take(plain)
+        inner = (value.take(plain) - start.take(plain)) // (rest << 10)
+        slot = find.take(find_row.take(plain) + np.minimum(inner, _TOTAL - 1)).astype(np.int64)
+        span = model.spans.take(model.row.take(plain) + slot).astype(np.int64)
+        start[plain] += rest * (span >> 15) << 10
+        size[plain] = rest * (span & 0x7FFF) << 10
+        reader.narrow(slice(0, n), start, size)
+        old = slot < model.columns
+        seen, at = plain[old], slot[old]
+        x[seen] = model.ids[seen, at]
+        model.counts[seen, at] += 2
+        new = plain[~old]
+        if len(new):
+            own = np.searchsorted(_FIRST, np.minimum(reader.point(new, 22), _LAST - 1), side="right") - 1
+            reader.narrow(new, _FIRST.take(own), _FIRST.take(own + 1) - _FIRST.take(own))
+            x[new] = own.astype(np.uint32)
+            model.fresh.append((new, own))
         ids[t, :n] = x
-        model.learn(n, x)
+        model.learn(n, x, is2, is1)
     return np.ascontiguousarray(ids.T)
 
 
@@ -242,28 +332,31 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 raise ValueError("ids must be below 65,536")
             ids[row, : len(blocks[i])] = blocks[i]
         for row, (i, words) in enumerate(zip(part, _encode_lanes(ids, sizes), strict=True)):
-            raw = words.astype("<u2").tobytes()
-            done[i] = _HEADER.pack(MAGIC, int(sizes[row]), len(words), zlib.crc32(ids[row, : sizes[row]].astype("<u4").tobytes(), zlib.crc32(raw))) + raw
+            raw, size = words.astype("<u2").tobytes(), int(sizes[row])
+            own = zlib.crc32(ids[row, :size].astype("<u4").tobytes())
+            done[i] = _HEADER.pack(MAGIC, size, len(words), zlib.crc32(raw, zlib.crc32(struct.pack("<II", size, own))), own) + raw
     return done
 
 
 def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block; raises DamagedBlock where header, code or checksum disagree."""
+    """The ids of each block; raises DamagedBlock where header, code or checksums disagree."""
     heads = []
     for p in payloads:
-        if len(p) < _HEADER.size or p[:4] != MAGIC or len(p) != _HEADER.size + 2 * _HEADER.unpack_from(p)[2]:
+        if len(p) < _HEADER.size or p[:4] != MAGIC:
+            raise DamagedBlock("not a block")
+        _, size, n_words, check, own = _HEADER.unpack_from(p)
+        if len(p) != _HEADER.size + 2 * n_words or zlib.crc32(memoryview(p)[_HEADER.size :], zlib.crc32(struct.pack("<II", size, own))) != check:
             raise DamagedBlock("not a whole block")
-        heads.append(_HEADER.unpack_from(p))
+        heads.append((size, own))
     done: list[np.ndarray | None] = [None] * len(payloads)
-    order = sorted(range(len(payloads)), key=lambda i: -heads[i][1])
+    order = sorted(range(len(payloads)), key=lambda i: -heads[i][0])
     for at in range(0, len(order), LANES):
         part = order[at : at + LANES]
-        sizes = np.array([heads[i][1] for i in part])
-        words = [np.frombuffer(payloads[i], "<u2", offset=_HEADER.size) for i in part]
-        ids = _decode_lanes(words, sizes)
+        sizes = np.array([heads[i][0] for i in part])
+        ids = _decode_lanes([np.frombuffer(payloads[i], "<u2", offset=_HEADER.size) for i in part], sizes)
         for row, i in enumerate(part):
             own = ids[row, : sizes[row]]
-            if zlib.crc32(own.astype("<u4").tobytes(), zlib.crc32(words[row].tobytes())) != heads[i][3]:
+            if zlib.crc32(own.astype("<u4").tobytes()) != heads[i][1]:
                 raise DamagedBlock("checksum differs")
             done[i] = own
     return done

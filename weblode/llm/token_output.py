@@ -10,7 +10,9 @@ Reading decodes blocks where they lie, in lockstep; only documents cut by a bloc
 meet again, as CRC pieces that are combined without their ids.
 
 Text is tokenized by words: white space always separates tokens of the tokenizers used here, so
-each distinct word is encoded once by the library and its ids are kept in a bounded cache.
+each distinct word is encoded once by the library and its ids are kept in a bounded cache, under
+a 64-bit hash of its bytes (among n distinct words about n^2 / 2^65 pairs collide). Words go in
+lower case only if the tokenizer is found to lower-case.
 
 Defined results: a null or empty text has only the end id; long texts run over many blocks;
 equal ids are ordered by a hash of their text, null ids come first; repeated rows are written
@@ -19,6 +21,7 @@ each; an empty table writes no block and reads back empty; other columns are not
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
 import uuid
@@ -39,7 +42,7 @@ from weblode.llm.spark_io import checkpointed, shared_folder
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 1 << 19  # a power of two, and more than one slice can hold
+CACHE_WORDS = 1 << 19
 #: Text bytes tokenized at once: word arrays take some twenty bytes for each.
 SLICE_BYTES = 1 << 20
 BLOCKS = (
@@ -55,17 +58,18 @@ _OPEN[128:] = True
 # ASCII punctuation that always starts a token after a letter; an apostrophe may belong to a contraction.
 _CUT = np.zeros(256, bool)
 _CUT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_SAMPLES = ("The", "river", "ABC", "Xylophone", "tokenization", "ÉTÉ")
 _LETTERS = regex.compile(r"\p{L}+")
 
 
-def cut_pieces(column: pa.Array) -> T.Words:
-    """Words, those of the form letters + punctuation cut in two; ASCII in lower case, as the tokenizer has it.
+def cut_pieces(column: pa.Array, folds: bool = True) -> T.Words:
+    """Words, those of the form letters + punctuation cut in two; ASCII in lower case if the tokenizer has it so.
 
     Neither changes any token: a letter and a punctuation mark never share one. Texts that may
     spell a special token, which is sensitive to case, are left as they are.
     """
     words = T.cut_words(column)
-    data = words.data if b"<|" in words.data.tobytes() else T.lower_ascii(words.data)
+    data = T.lower_ascii(words.data) if folds and b"<|" not in words.data.tobytes() else words.data
     other = np.flatnonzero(~_OPEN[data])  # the padding ends every search
     at = other[np.searchsorted(other, words.starts)]
     cut = at[(at < words.ends) & (at > words.starts)]
@@ -83,14 +87,20 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
+        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.folds = all(plain(w) == plain(w.lower()) for w in _SAMPLES)
+        # Whether words and cut pieces can be encoded apart; a tokenizer that heeds white space encodes whole texts.
+        self.by_words = all(plain(f"{v} \n{w},") == plain(v) + plain(w) + plain(",") for v, w in itertools.product(_SAMPLES, repeat=2))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._clear()
 
-    def _clear(self) -> None:
+    def _clear(self, pieces: int = 0) -> None:
+        """Forgets all pieces and makes room for `cache_words`, or for as many as are to come at once."""
         # An open hash table: slot of a piece by its hash (never 0), then where its ids begin and how many they are.
-        self.keys, self.slots = np.zeros(4 * self.cache_words, np.uint64), np.zeros(4 * self.cache_words, np.int32)
+        places = 4 << (max(self.cache_words, pieces) - 1).bit_length()
+        self.keys, self.slots = np.zeros(places, np.uint64), np.zeros(places, np.int32)
         self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
@@ -150,15 +160,18 @@ class WordTokenizer:
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the number of each text's ids."""
-        words = cut_pieces(column)
+        if not self.by_words:
+            lists = [[*x, end_id] for x in self._encode([t or "" for t in column.to_pylist()])]
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        words = cut_pieces(column, self.folds)
         hashes = np.maximum(words.hashes(), np.uint64(1))
         slot = self._find(hashes)
         new = np.flatnonzero(slot < 0)
         if len(new):
             distinct, first = np.unique(hashes[new], return_index=True)
             if len(self.begin) + len(distinct) > self.cache_words:
-                self._clear()
                 distinct, first = np.unique(hashes, return_index=True)
+                self._clear(len(distinct))
                 new = np.arange(len(hashes))
             first, raw = new[first], words.data.tobytes()
             self._learn(distinct, [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
