@@ -588,3 +588,58 @@ def test_coder_learns(texts):
         assert len(code) < len(zlib.compress(own.astype("<u2").tobytes(), 9))
     assert len(coded[-1]) < 0.1 * len(cycle)
     assert all((a == b).all() for a, b in zip(blocks, R.decode_blocks(coded), strict=True))
+
+
+def covered_by_repeats(texts, width):
+    """The words of each text that a window covers whose words start anywhere else too."""
+    words = [t.split() for t in texts]
+    count = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+    return [sorted({j for i in range(len(w) - width + 1) if count[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}) for w in words]
+
+
+def located(texts, width, buckets):
+    """All steps of substring dedup on dealt texts, without Spark."""
+    S, dealt = substring_dedup, [[i for i in range(len(texts)) if i % buckets == b] for b in range(buckets)]
+    group = lambda b: pa.table({"doc_id": pa.array(dealt[b], pa.int64()), "text": pa.array([texts[i] for i in dealt[b]], pa.string()), "bucket": pa.array([b] * len(dealt[b]), pa.int32())})
+
+    def by(name, tables):
+        rows = pa.concat_tables(tables)
+        return {k: rows.filter(pa.compute.equal(rows[name], k)) for k in set(rows[name].to_pylist())}
+
+    full = [b for b in range(buckets) if dealt[b]]
+    told = by("bucket", [S._meet_anchors(g) for g in by("hash_range", [S._ship_anchors(width, 3)(group(b)) for b in full]).values()] or [S._table([], S._TOLD)])
+    candidates = by("hash_range", [S._ship_candidates(width, 3)(group(b), told.get(b, S._table([], S._TOLD))) for b in full])
+    asked = by("bucket", [S._pair(g) for g in candidates.values()] or [S._table([], S._ASKED)])
+    passages = by("bucket", [S._answer(width)(group(b), asked.get(b, S._table([], S._ASKED))) for b in full])
+    out = {}
+    for b in full:
+        result = S._strip(width)(group(b), passages.get(b, S._table([], S._PASSAGES)))
+        out |= {r["doc_id"]: [j for s in r["spans"] for j in range(s["start"], s["stop"])] for r in result.to_pylist()}
+    return [out[i] for i in range(len(texts))]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=8), st.integers(2, 7), st.integers(1, 4))
+def test_every_repeat_is_located(texts, width, buckets):
+    texts = [" ".join(t) for t in texts]
+    assert located(texts, width, buckets) == covered_by_repeats(texts, width)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=40), min_size=2, max_size=8), st.integers(2, 6))
+def test_equal_hashes_remove_nothing(texts, width):
+    """With hashes of windows, phrases and words that all collide, what is removed still has its words elsewhere."""
+    texts = [" ".join(t) for t in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(T, "shingle_hashes", lambda h, k: np.zeros(max(len(h) - k + 1, 0), np.uint64))
+        patch.setattr(T.Words, "hashes", lambda self: np.zeros(len(self.starts), np.uint64))
+        found = located(texts, width, 3)
+    assert all(set(a) <= set(b) for a, b in zip(found, covered_by_repeats(texts, width), strict=True))
+
+
+def test_automata_decide(monkeypatch):
+    """What no automaton finds stays."""
+    texts = [" ".join(f"w{i}" for i in range(60))] * 3
+    assert all(located(texts, 35, 2))
+    monkeypatch.setattr(substring_dedup, "_automata", lambda passages, ids: iter(()))
+    assert not any(located(texts, 35, 2))

@@ -22,7 +22,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)
@@ -89,7 +89,7 @@ class Words:
         h = size.astype(np.uint64) * _M1
         at, left, idx = self.starts, size, None
         while len(at):
-            x = view[at] & _KEEP[np.minimum(left, 8)]
+            x = view[at] & KEEP[np.minimum(left, 8)]
             if idx is None:
                 h = mix64(h ^ x)
             else:
