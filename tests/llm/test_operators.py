@@ -643,3 +643,73 @@ def test_automata_decide(monkeypatch):
     assert all(located(texts, 35, 2))
     monkeypatch.setattr(substring_dedup, "_automata", lambda passages, ids: iter(()))
     assert not any(located(texts, 35, 2))
+
+
+def test_segments_take_linear_time():
+    import time
+
+    def seconds(n):
+        scores = np.tile(np.array([300, -700, 200, -100], np.int64), n // 4)
+        began = time.perf_counter()
+        assert len(toxicity.segments(scores)) >= n // 4
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(160_000) for _ in range(3)) < 2.5**4 * min(seconds(10_000) for _ in range(3)) + 0.05
+
+
+def test_whole_toxicity_score():
+    """Score, evidence and passages of every text, from words and the model's numbers alone."""
+    rng = random.Random(11)
+    mild, vile = [f"day{i}" for i in range(60)], [f"vile{i}x" for i in range(8)]
+    make = lambda bad: " ".join(rng.choice(vile if bad and rng.random() < 0.4 else mild) + rng.choice(["", ".", "!?!?!?"]) for _ in range(rng.randint(1, 30)))
+    train = [make(i % 3 == 0) for i in range(150)]
+    toxic = np.array([int(i % 3 == 0) for i in range(150)])
+    model = toxicity.fit(train, toxic, 0.1)
+    own = dict(zip(model.words.tolist(), model.scores.tolist(), strict=True))
+    texts = [make(i % 2) for i in range(60)] + ["", None, "...", " ".join(vile * 20)]
+    words = toxicity.plain_words(pa.array(texts))
+    x, passages = toxicity.evidence_of(model, model.word_scores(*toxicity.terms(words)), words.first)
+    for text, got, found in zip(texts, x, passages, strict=True):
+        plain = [re.sub(r"(?<=.)[!-/:-@\[-`{-~]+\Z", "", re.sub(r"\A[!-/:-@\[-`{-~]+(?=.)", "", w.lower())) for w in WORD.findall(text or "")]
+        keys = [tuple(k[0] for k in toxicity.terms(T.cut_words(pa.array([w])))) for w in plain]
+        scores = [own.get(int(whole), own.get(int(stem), model.common)) for whole, stem in keys]
+        expect = lambda s: model.k * max(len(scores), 1) * np.exp(-model.lam * s / 1000)  # noqa: B023, E731
+        every = [(a, b, s, expect(s)) for a, b, s in all_segments(scores)]
+        best = max((s for *_, s, _ in every), default=0)
+        want = max(0.0, -np.log(expect(best))) if best else 0.0
+        good = [e for e in every if e[3] < model.significant]
+        want = max(want, sum(-np.log(max(e[3], 1e-300)) for e in good)) if good else want
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert [(p["start"], p["stop"]) for p in found] == [(a, b) for a, b, _, _ in good]
+    assert model.probability(x)[-1] > 0.5 > model.probability(x)[-3]
+
+
+def test_no_word_edge_is_cut_short():
+    words = toxicity.plain_words(pa.array(["(((((vile)))))))", "!" * 50, "a" + "." * 30, None]))
+    assert [words.data[a:b].tobytes() for a, b in zip(words.starts, words.ends, strict=True)] == [b"vile", b"!", b"a"]
+
+
+def test_items_are_pruned_and_recalled():
+    """Candidates among unrelated fingerprints, and recall of windows at the least similarity that counts."""
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 1 << 64, 2000, np.uint64)
+    items = decontamination.Items(5, 5, list(range(2000)), [], prints, 1)
+    asked = rng.integers(0, 1 << 64, 300, np.uint64)
+    assert len(items.candidates(asked, decontamination.RADIUS)) < 0.05 * 300 * 2000
+    found = []
+    for _ in range(300):  # of 160 shingles 18 differ: similarity 0.798; 17: 0.808
+        a = rng.integers(0, 1 << 64, 160, np.uint64)
+        b = np.concatenate([a[17:], rng.integers(0, 1 << 64, 17, np.uint64)])
+        x, y = H.majority_bits(np.concatenate([a, b]), np.array([0, 160, 320]))
+        found.append((int(x) ^ int(y)).bit_count() <= decontamination.RADIUS)
+    assert np.mean(found) > 0.97
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 4), min_size=6, max_size=6), st.lists(st.integers(0, 4), min_size=6, max_size=6)), min_size=1, max_size=5))
+def test_weighted_similarity(pairs):
+    a, b = (decontamination.as_sets(np.array([p[i] for p in pairs], np.uint64)) for i in (0, 1))
+    for got, (x, y) in zip(decontamination.similarities(a, b), pairs, strict=True):
+        common = (Counter(x) & Counter(y)).total()
+        assert got == common / (12 - common)

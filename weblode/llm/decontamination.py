@@ -8,15 +8,18 @@ similarity of two is sum(min) / sum(max) of the multiplicities.
    2 s / (1 + s) of their n - k + 1 shingles, so windows that hold fewer benchmark shingles
    than the least of their length's needs cannot match anything.
 2. *Fingerprint.* What is left gets a 64-bit SimHash, and the items of that length are
-   looked up through a multi-index: fingerprints within `radius` bits agree on at least one
-   of radius + 1 blocks, so looking each block up finds all of them.
+   looked up through a multi-index: of three blocks of bits, fingerprints within `radius` agree
+   on one up to a third of it. Items are filed under every value a few bits off their own,
+   windows ask for every value a few bits off theirs, and the two together span that third, so
+   all fingerprints within the radius are found; of unrelated ones some 4 in 100 are looked at.
 3. *Verify.* Every candidate's weighted similarity is computed exactly.
 
 At similarity 0.8 the expected distance is 9.7 of 64 bits (standard deviation 2.9); the radius
-of 24 leaves five deviations.
+of 17 leaves two and a half deviations at that least similarity, and more above it.
 
-The benchmark is shipped to the tasks in parts of at most PART_CHARS characters, one pass over
-the documents each, so its size is no limit.
+The benchmark is worked off in parts of at most PART_CHARS characters, one pass over the
+documents each and only one on the driver at a time, so its size is no limit; with several
+parts each one's result is cut off by a checkpoint.
 
 Defined results: null or blank texts and items match nothing; an item of fewer than 5 words
 matches where its words stand in order; repeated rows are reported once each; null ids are
@@ -27,7 +30,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,49 +38,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weblode.llm import hamming as H, text as T
+from weblode.llm.spark_io import checkpointed
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 24
-PART_CHARS = 16 << 20
+RADIUS = 17
+BLOCKS = 3
+PART_CHARS = 4 << 20
+#: Shingles verified, and lookups made, at once.
+CHUNK = 1 << 20
 SCREEN_BITS = 22
 SCHEMA = "doc_id long, item_id long, similarity double, start_word int, n_words int, windows int"
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted similarity of two shingle multisets."""
-    common = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    return common / (a.total() + b.total() - common)
+def as_sets(shingles: np.ndarray) -> np.ndarray:
+    """Rows of shingles as sorted rows of distinct values: a shingle's second, third ... occurrence is one of its own."""
+    rows = np.sort(shingles, axis=1)
+    place = np.broadcast_to(np.arange(rows.shape[1]), rows.shape)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    return np.sort(T.mix64(rows + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), axis=1)
+
+
+def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted similarity, sum(min) / sum(max), of each row of `as_sets` with its partner of equal size."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    common = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+    return common / (2 * a.shape[1] - common)
+
+
+@functools.cache
+def masks(width: int, radius: int) -> np.ndarray:
+    """All patterns of at most so many bits among the lowest `width`."""
+    return np.array([sum(1 << b for b in some) for n in range(radius + 1) for some in itertools.combinations(range(width), n)], np.uint32)
 
 
 @dataclass
 class Items:
-    """The items of one length: ids, shingle multisets, and a multi-index over their fingerprints."""
+    """The items of one length: ids, shingles, and a multi-index over their fingerprints."""
 
     n_words: int
     k: int
     ids: list
-    shingles: list[Counter]
+    shingles: np.ndarray | list  # a row an item, as of `as_sets`
     prints: np.ndarray
     need: int  # least overlap, in shingles, of a match
 
+    def __post_init__(self):
+        self.filed: dict[int, list] = {}
+
+    def __getstate__(self):  # the index is built where it is used
+        return self.__dict__ | {"filed": {}}
+
+    def _blocks(self, radius: int) -> list[tuple]:
+        """For each block: its cut, values of items and of those a few bits off, sorted, with the items of each."""
+        if radius not in self.filed:
+            inner = radius // BLOCKS // 2
+            self.filed[radius] = []
+            for i in range(BLOCKS):
+                low, high = 64 * i // BLOCKS, 64 * (i + 1) // BLOCKS
+                own = _block(self.prints, low, high)[:, None] ^ masks(high - low, inner)
+                order = np.argsort(own, axis=None, kind="stable")
+                values, first = np.unique(own.ravel()[order], return_index=True)
+                self.filed[radius].append((low, high, values, np.append(first, len(order)), order // own.shape[1]))
+        return self.filed[radius]
+
+    def candidates(self, prints: np.ndarray, radius: int) -> np.ndarray:
+        """All (query, item) pairs, as query * items + item, that share a filed value; every pair within the radius is one."""
+        found = [np.empty(0, np.int64)]
+        for low, high, values, first, items in self._blocks(radius):
+            outer = masks(high - low, radius // BLOCKS - radius // BLOCKS // 2)
+            step = max(1, CHUNK // len(outer))
+            for at in range(0, len(prints), step):
+                asked = _block(prints[at : at + step], low, high)[:, None] ^ outer
+                place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+                q, mask = np.nonzero(values[place] == asked)
+                place = place[q, mask]
+                size = first[place + 1] - first[place]
+                item = items[np.repeat(first[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                found.append(np.unique((at + np.repeat(q, size)) * len(self.prints) + item))
+        return np.unique(np.concatenate(found))
+
     def within(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All (query, item) pairs of fingerprints within the radius."""
-        found = []
-        for i in range(radius + 1):
-            low, high = 64 * i // (radius + 1), 64 * (i + 1) // (radius + 1)
-            block = lambda x: (x >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)  # noqa: B023, E731
-            order = np.argsort(block(self.prints), kind="stable")
-            values = block(self.prints)[order]
-            asked = block(prints)
-            a, b = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
-            size = b - a
-            q = np.repeat(np.arange(len(prints)), size)
-            item = order[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            near = np.bitwise_count(prints[q] ^ self.prints[item]) <= radius
-            found.append(q[near] * len(self.prints) + item[near])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // len(self.prints), pairs % len(self.prints)
+        q, item = np.divmod(self.candidates(prints, radius), len(self.prints))
+        near = np.bitwise_count(prints[q] ^ self.prints[item]) <= radius
+        return q[near], item[near]
+
+
+def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
+    return ((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.uint32)
 
 
 class BenchmarkIndex:
@@ -99,7 +149,7 @@ class BenchmarkIndex:
             m = n - k + 1
             need = int(np.ceil(2 * threshold / (1 + threshold) * m - 1e-9))
             prints = H.majority_bits(np.concatenate(shingles), np.arange(len(members) + 1) * m)
-            self.lengths.append(Items(n, k, [ids[i] for i in members], [Counter(s.tolist()) for s in shingles], prints, max(need, 1)))
+            self.lengths.append(Items(n, k, [ids[i] for i in members], as_sets(np.stack(shingles)), prints, max(need, 1)))
         self.vocabulary = {k: np.unique(np.concatenate(v)) for k, v in vocabulary.items()}
         self.screens = {k: self._screen(v) for k, v in self.vocabulary.items()}
 
@@ -149,31 +199,33 @@ class BenchmarkIndex:
         place = np.arange(len(shingles) - m + 1)
         starts = np.flatnonzero((total[m:] - total[:-m] >= items.need) & (place + m <= offsets[own[: len(place)] + 1]))
         best: dict[tuple[int, int], list] = {}
-        for part in range(0, len(starts), 4096):
-            at = starts[part : part + 4096]
-            spread = shingles[(at[:, None] + np.arange(m)).ravel()]
-            prints = H.majority_bits(spread, np.arange(len(at) + 1) * m)
-            for q, item in zip(*(x.tolist() for x in items.within(prints, radius)), strict=True):
-                start, row = int(at[q]), int(own[at[q]])
-                score = similarity(Counter(shingles[start : start + m].tolist()), items.shingles[item])
-                if score >= self.threshold:
-                    found = best.setdefault((row, item), [score, start - int(offsets[row]), 0])
-                    found[2] += 1
-                    if score > found[0]:
-                        found[:2] = [score, start - int(offsets[row])]
+        step = max(1, CHUNK // m)
+        for part in range(0, len(starts), step):
+            at = starts[part : part + step]
+            spread = shingles[at[:, None] + np.arange(m)]
+            q, item = items.within(H.majority_bits(spread.ravel(), np.arange(len(at) + 1) * m), radius)
+            own_sets = as_sets(spread)
+            score = np.concatenate([np.empty(0), *(similarities(own_sets[q[i : i + step]], items.shingles[item[i : i + step]]) for i in range(0, len(q), step))])
+            good = score >= self.threshold
+            for start, name, value in zip(at[q[good]].tolist(), item[good].tolist(), score[good].tolist(), strict=True):
+                row = int(own[start])
+                found = best.setdefault((row, name), [value, start - int(offsets[row]), 0])
+                found[2] += 1
+                if value > found[0]:
+                    found[:2] = [value, start - int(offsets[row])]
         for (row, item), (score, start, windows) in best.items():
             yield int(rows[row]), items.ids[item], score, start, items.n_words, windows
 
 
-def _parts(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """The benchmark's items in parts of bounded size, one on the driver at a time."""
+def _parts(benchmark: DataFrame) -> Iterator[tuple[list, list, bool]]:
+    """The benchmark's items in parts of bounded size, one on the driver at a time, and whether there is but one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-int(chars) // PART_CHARS))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        yield [r["item_id"] for r in rows], [r["text"] for r in rows]
+        yield [r["item_id"] for r in rows], [r["text"] for r in rows], parts == 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -192,8 +244,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
 
         return run
 
-    found = [texts.mapInArrow(search_with(BenchmarkIndex(ids, items, threshold)), SCHEMA) for ids, items in _parts(benchmark)]
-    return functools.reduce(DataFrame.unionByName, found)
+    found = None
+    for ids, items, only in _parts(benchmark):
+        some = texts.mapInArrow(search_with(BenchmarkIndex(ids, items, threshold)), SCHEMA)
+        some = some if only else checkpointed(some)
+        found = some if found is None else found.unionByName(some)
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -209,6 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMI
 
         return run
 
-    for ids, items in _parts(benchmark):
+    for ids, items, only in _parts(benchmark):
         docs = docs.mapInArrow(clean_with(BenchmarkIndex(ids, items, threshold)), docs.schema)
+        docs = docs if only else checkpointed(docs)
     return docs

@@ -2,9 +2,11 @@
 
 *Model.* From a bounded sample of labelled documents each word, and each stem of a few
 bytes, gets a log-odds score with a Dirichlet prior: half a count plus the term's share in
-both classes together times `prior_words`. Terms that lie less than `min_z` standard errors
-or `min_delta` above zero have no score of their own and count as the common word, which
-scores below zero. Scores are integers (thousandths of a nat), so their sums are exact.
+both classes together times `prior_words`. Every term keeps its score, weighted by how likely
+its z value is to come from a term that differs at all; a word's own score leans on its
+stem's as far as it is not sure itself. The scores' drift is set so that exp(score) averages 1
+over the words of the clean sample, which makes clean text drift down. Scores are integers
+(thousandths of a nat), so their sums are exact.
 
 *Search.* One linear pass over a text's prefix sums finds every maximal scoring segment
 (Ruzzo and Tompa); those above the significance threshold are the toxic passages.
@@ -28,22 +30,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.llm import text as T
 
-#: Labelled documents that the model is fitted on: at most so many of each label, by the order of a hash of the id.
+#: Labelled documents that the model is fitted on: at most so many of each label, and so many characters of
+#: them, by the order of a hash of the id.
 SAMPLE_TOXIC = 1000
 SAMPLE_CLEAN = 2000
-#: Words kept by the model.
-MODEL_WORDS = 50_000
+SAMPLE_CHARS = 64 << 20
 THRESHOLD = 0.3
 UNIT = 1000.0
-#: Score of a word that the model has no score for: clean text must drift down.
-COMMON = -250
+#: Least drift of a word, in nats.
+DRIFT = 0.1
+#: Spread of z among terms that differ between the classes.
+SPREAD = 5.0
 STEM_BYTES = 4
-#: Punctuation marks taken off either edge of a word.
-EDGE_MARKS = 4
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 SEGMENTS = "array<struct<start:int,stop:int,score:double,expected:double>>"
@@ -52,9 +54,9 @@ SCHEMA = f"doc_id long, score double, evidence double, passages {SEGMENTS}"
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes of the words that have a score of their own
+    words: np.ndarray  # sorted hashes of the sample's words and stems
     scores: np.ndarray  # int64, thousandths of a nat
-    common: int  # the score of every other word
+    common: int  # the score of a word whose stem is new too
     lam: float
     k: float
     slope: float
@@ -83,7 +85,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, int]]:
     """All maximal scoring segments (start, stop, score) of one text, in linear time.
 
     Runs of equal sign are summed first; each candidate remembers the prefix sums at its
-    ends and merges leftwards while an earlier candidate starts lower and ends lower.
+    ends and the nearest earlier one that starts below it, and merges leftwards while that one
+    ends lower. Going by what candidates remember, none is passed over twice.
     """
     sign = scores > 0
     if not sign.any():
@@ -91,22 +94,21 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, int]]:
     edge = np.flatnonzero(np.diff(sign.astype(np.int8))) + 1
     starts, stops = np.r_[0, edge], np.r_[edge, len(scores)]
     prefix = np.concatenate(([0], np.cumsum(scores)))
-    found: list[tuple[int, int, int, int]] = []  # start, stop, prefix before, prefix after
+    found: list[tuple[int, int, int, int, int]] = []  # start, stop, prefix before, prefix after, nearest that starts lower
     for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
         if not sign[a]:
             continue
-        left, right = int(prefix[a]), int(prefix[b])
+        left, right, j = int(prefix[a]), int(prefix[b]), len(found) - 1
         while True:
-            # The nearest earlier candidate that starts below this one; those passed over cannot be one again.
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
-                found.append((a, b, left, right))
+                found.append((a, b, left, right, j))
                 break
-            a, left = found[j][0], found[j][2]
+            a, _, left, _, lower = found[j]
             del found[j:]
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = lower
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 def best_segments(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -155,17 +157,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the bounded training sample, without held-out ids."""
+def sample(
+    docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS
+) -> tuple[list[str], np.ndarray, float | None]:
+    """Texts and labels of the bounded training sample, without held-out ids, and the toxic share of all labels it stands for.
+
+    An id labelled both ways is toxic; of several texts of an id the least is taken.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    share = known.agg(F.avg("toxic")).first()[0]
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean))
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order))
-    return rows.column("text").to_pylist(), rows.column("toxic").to_numpy()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # A few thousand rows at most; the longest sample texts at the end of the order are left out if there are too many characters.
+    so_far = F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("doc_id", "toxic", "text").toArrow()
+    rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")))
+    return rows.column("text").to_pylist(), rows.column("toxic").to_numpy(), share
 
 
 def terms(words: T.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -182,19 +193,30 @@ def plain_words(column: pa.Array) -> T.Words:
     """Words in lower case without the punctuation at their edges; a word of punctuation alone stays."""
     words = T.cut_words(column, lower=True)
     starts, ends = words.starts.copy(), words.ends.copy()
-    for _ in range(EDGE_MARKS):
-        starts += _PUNCTUATION[words.data[starts]] & (ends - starts > 1)
-        ends -= _PUNCTUATION[words.data[ends - 1]] & (ends - starts > 1)
+    for edge, step, inner in ((starts, 1, 0), (ends, -1, -1)):
+        some = np.arange(len(starts))
+        while len(some := some[_PUNCTUATION[words.data[edge[some] + inner]] & (ends[some] - starts[some] > 1)]):
+            edge[some] += step
     return T.Words(words.data, words.rows, starts, ends, words.first)
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior_words: float = 100.0, min_z: float = 3.0, min_delta: float = 1.0, model_words: int = MODEL_WORDS) -> Model:
-    """The model of a sample.
+def _differing(z: np.ndarray) -> np.ndarray:
+    """How likely each z value comes from a term that differs between the classes: two normal laws, their shares by expectation steps."""
+    null, slab = np.exp(-0.5 * np.minimum(z * z, 1400)), np.exp(-0.5 * np.minimum(z * z / (1 + SPREAD**2), 1400)) / np.sqrt(1 + SPREAD**2)
+    share = 0.05
+    for _ in range(30):
+        sure = share * slab / np.maximum(share * slab + (1 - share) * null, 1e-300)
+        share = min(max(float(sure.mean()), 1e-4), 0.5)
+    return sure
+
+
+def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, prior_words: float = 100.0) -> Model:
+    """The model of a sample; `share` is the toxic share that the calibration is to stand for, else the sample's own.
 
     A term is counted once for each pair of neighbours it stands between, so that copies of
     a document, or of a passage, weigh once.
     """
-    model = Model(np.empty(0, np.uint64), np.empty(0, np.int64), COMMON, 1.0, 1.0, 0.0, -60.0)
+    model = Model(np.empty(0, np.uint64), np.empty(0, np.int64), -int(DRIFT * UNIT), 1.0, 1.0, 0.0, -60.0)
     if not len(texts) or toxic.min() == toxic.max():
         return model
     words = plain_words(pa.array(texts))
@@ -204,35 +226,44 @@ def fit(texts: list[str], toxic: np.ndarray, prior_words: float = 100.0, min_z:
     around[1:] += T.mix64(whole[:-1])
     around[:-1] += T.mix64(whole[1:] ^ np.uint64(1))
     _, once = np.unique(T.mix64(whole) * np.uint64(3) + around, return_index=True)
-    found: dict[int, int] = {}
-    for term in (stem, whole):  # a word's own score goes before its stem's
-        distinct, ids = np.unique(term[once], return_inverse=True)
+
+    def scored(term: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct terms, where each first stands, their log-odds, and how sure these are."""
+        distinct, first, ids = np.unique(term[once], return_index=True, return_inverse=True)
         bad = np.bincount(ids[label[once]], minlength=len(distinct)).astype(float)
         good = np.bincount(ids[~label[once]], minlength=len(distinct)).astype(float)
         prior = 0.5 + (bad + good) / (bad.sum() + good.sum()) * prior_words
         total = prior.sum()
-        odds = lambda y, n: np.log((y + prior) / (n + total - y - prior))  # noqa: E731, B023
+        odds = lambda y, n: np.log((y + prior) / (n + total - y - prior))
         delta = odds(bad, bad.sum()) - odds(good, good.sum())
-        z = delta / np.sqrt(1 / (bad + prior) + 1 / (good + prior))
-        marked = np.flatnonzero((z > min_z) & (delta > min_delta))
-        marked = marked[np.argsort(-z[marked], kind="stable")][: model_words // 2]
-        found |= dict(zip(distinct[marked].tolist(), np.rint(delta[marked] * UNIT).astype(int).tolist(), strict=True))
-    model.words = np.array(sorted(found), np.uint64)
-    model.scores = np.array([found[w] for w in sorted(found)], np.int64)
-    _calibrate(model, model.word_scores(whole, stem), words.first, toxic)
+        return distinct, once[first], delta, _differing(delta / np.sqrt(1 / (bad + prior) + 1 / (good + prior)))
+
+    stems, _, delta, sure = scored(stem)
+    stem_scores = sure * delta
+    wholes, first, delta, sure = scored(whole)
+    whole_scores = sure * delta + (1 - sure) * stem_scores[np.searchsorted(stems, stem[first])]
+    order = np.argsort(np.r_[stems, wholes], kind="stable")
+    values = np.r_[stems, wholes][order]
+    # A word no longer than its stem is the same term twice; its score as a word is the later one.
+    last = np.r_[values[1:] != values[:-1], True]
+    model.words, scores = values[last], np.r_[stem_scores, whole_scores][order][last]
+    clean = scores[np.searchsorted(model.words, whole[~label])]
+    drift = max(DRIFT, float(np.log(np.exp(clean).mean()))) if len(clean) else DRIFT
+    model.scores, model.common = np.rint((scores - drift) * UNIT).astype(np.int64), -int(np.rint(drift * UNIT))
+    _calibrate(model, model.word_scores(whole, stem), words.first, toxic, share)
     return model
 
 
-def _calibrate(model: Model, scores: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> None:
-    """Lambda and K of the extreme-value law on the clean sample, then the logistic curve on all of it."""
+def _calibrate(model: Model, scores: np.ndarray, first: np.ndarray, toxic: np.ndarray, share: float | None = None) -> None:
+    """Lambda and K of the extreme-value law on the clean sample, then the logistic curve on all of it, each label by its true share."""
     clean_word = np.repeat(toxic == 0, np.diff(first))
     values, counts = np.unique(scores[clean_word] / UNIT, return_counts=True)
-    share = counts / max(counts.sum(), 1)
+    part = counts / max(counts.sum(), 1)
     low, high = 1e-6, 50.0
     if (values > 0).any():
         for _ in range(80):
             mid = (low + high) / 2
-            low, high = (mid, high) if (share * np.exp(np.minimum(mid * values, 700))).sum() < 1 else (low, mid)
+            low, high = (mid, high) if (part * np.exp(np.minimum(mid * values, 700))).sum() < 1 else (low, mid)
         model.lam = low
     else:
         model.lam = 1.0
@@ -245,11 +276,14 @@ def _calibrate(model: Model, scores: np.ndarray, first: np.ndarray, toxic: np.nd
     y = toxic.astype(float)
     scale = max(float(np.std(x)), 1e-9)
     u = x / scale
+    own = y.mean()
+    share = own if share is None or not 0 < share < 1 else share
+    weight = np.where(toxic == 1, share / own, (1 - share) / (1 - own))
     w, b = 1.0, 0.0
     for _ in range(100):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(w * u + b, -60, 60)))
-        r = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - y) * u).sum() + 1e-2 * w, (p - y).sum()])
+        r, miss = weight * np.maximum(p * (1 - p), 1e-9), weight * (p - y)
+        g = np.array([(miss * u).sum() + 1e-2 * w, miss.sum()])
         h = np.array([[(r * u * u).sum() + 1e-2, (r * u).sum()], [(r * u).sum(), r.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
@@ -260,7 +294,7 @@ def _calibrate(model: Model, scores: np.ndarray, first: np.ndarray, toxic: np.nd
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """Every document's score, evidence and significant passages (word offsets). The model is a few hundred kB at most."""
+    """Every document's score, evidence and significant passages (word offsets). The model has the sample's terms: a few MB at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
