@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.llm import hamming as H, text as T
-from weblode.llm.spark_io import checkpointed
+from weblode.llm.spark_io import checkpointed, packed, unpacked
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 #: Fingerprints of one tree, and of one task's trees.
 TREE_ROWS = 50_000
 CELL_ROWS = 100_000
+#: A fingerprint is frequent if more than this part of all rows have it; so there are never more frequent ones.
+FREQUENT = 1024
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,8 @@ def near_duplicates(
     """(doc_id, text_key, bits, component_id, component): the fingerprint as a signed long, and its component's smallest id and node."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     prints = checkpointed(texts.mapInArrow(lambda batches: _fingerprints(batches, shingle_words), "doc_id long, text_key long, bits long"))
-    nodes = checkpointed(prints.groupBy("bits").agg(F.min("doc_id").alias("first")))
+    nodes = checkpointed(prints.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))
+    total = nodes.agg(F.sum("times")).first()[0] or 0
     cells = max(32, -(-nodes.count() * (radius + 1) // cell_rows))
     routed = tree_keys(nodes, radius, tree_rows).withColumn("cell", F.pmod(F.xxhash64("tree"), F.lit(cells)))
     links = routed.groupBy("cell").applyInArrow(lambda group: _forest(group, radius), "a long, b long")
@@ -153,20 +156,24 @@ def near_duplicates(
     ids = member.join(nodes, member.node == nodes.bits).groupBy("comp").agg(F.min("first").alias("id"))
     joined = member.join(ids, "comp").select(F.col("node").alias("bits"), "id", "comp")
     resolved = nodes.join(joined, "bits", "left").select(
-        "bits", F.coalesce("id", "first").alias("component_id"), F.coalesce("comp", "bits").alias("component")
+        "bits", F.coalesce("id", "first").alias("component_id"), F.coalesce("comp", "bits").alias("component"), (F.col("times") * FREQUENT > total).alias("frequent")
     )
-    return prints.join(resolved, "bits").select("doc_id", "text_key", "bits", "component_id", "component")
+    resolved = checkpointed(resolved)
+    # Rows of a frequent fingerprint stay where they are and look theirs up; only the others are dealt by fingerprint.
+    few, rest = F.broadcast(resolved.where("frequent")), resolved.where("NOT frequent")
+    met = prints.join(few, "bits").unionByName(prints.join(few.select("bits"), "bits", "left_anti").join(rest, "bits"))
+    return met.select("doc_id", "text_key", "bits", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component: that of the smallest id (nulls last). All columns, whatever their names."""
     found = near_duplicates(docs, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("kept")
-    kept = found.groupBy("component").agg(first).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key"))
-    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
-    met = keyed.join(kept, keyed["__doc"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"]))
-    order = Window.partitionBy("__doc", "__text").orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
-    return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    kept = found.groupBy("component").agg(first).select("kept.doc_id", "kept.text_key")
+    rows = packed(docs, own_id=docs["doc_id"].cast("long"), own_key=F.xxhash64(docs["text"]))
+    met = rows.join(kept, rows["own_id"].eqNullSafe(kept["doc_id"]) & (rows["own_key"] == kept["text_key"]))
+    order = Window.partitionBy("own_id", "own_key").orderBy(F.xxhash64("row"))
+    return unpacked(met.withColumn("n", F.row_number().over(order)).where("n = 1"), docs)
 
 
 def fingerprint_hex(bits: Column) -> Column:

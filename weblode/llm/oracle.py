@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weblode.llm.license_scan import RULES, SENTENCES, rule_pattern
-from weblode.llm.sharding import SLOT_BUCKETS, Node, Topology, uniform_topology
+from weblode.llm.sharding import Node, Topology, uniform_topology
 
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '')"
 _SEGMENT = "coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1), '')"
@@ -46,10 +46,10 @@ ORACLE_SQL: dict[str, str] = {
             FROM documents, made),
         placed AS (
             SELECT *, {_shard(uniform_topology())} AS shard, {_shard(uniform_topology().grown())} AS grown_shard,
-                   floor({_uniform("slot", "(key || ':' || CAST(text_crc32 AS VARCHAR))")} * {SLOT_BUCKETS}) AS bucket
+                   {_uniform("slot", "(key || ':' || CAST(text_crc32 AS VARCHAR))")} AS draw
             FROM sized)
         SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-               row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS LAST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+               row_number() OVER (PARTITION BY shard ORDER BY draw, doc_id NULLS LAST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
         FROM placed
     """,
     "op7_substring_dedup": f"""

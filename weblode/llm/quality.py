@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weblode.llm import text as T
 
@@ -31,9 +31,11 @@ PHRASE_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_CONTENT_SHARE = 0.5
-#: Training documents of each label, and the most lines that one of them may have.
+#: Training documents of each label, and characters of them all.
 SAMPLE_EACH = 1500
-SAMPLE_LINES = 200
+SAMPLE_CHARS = 64 << 20
+#: Lines that training takes as one sequence; a longer document is several.
+PIECE_LINES = 200
 CUES = (
     "bias", "some symbols", "many symbols", "mostly symbols", "bars", "upper case", "shouting", "stuttering",
     "repeats a line", "one or two words", "few words", "long line", "ends a sentence", "starts upper", "long words", "digits",
@@ -227,23 +229,37 @@ def repeat_words(words: T.Words, hashes: np.ndarray, k: int = PHRASE_WORDS) -> n
     return T.row_sums(T.covered(starts[twin], k, len(hashes)), words.first)
 
 
-def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> tuple[list[str], np.ndarray]:
-    """Texts and quality labels of the bounded training sample, without held-out ids."""
+def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+    """Texts and quality labels of the bounded training sample, without held-out ids.
+
+    An id labelled both ways is poor; of several texts of an id the least is taken.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("quality = 1").orderBy(*order).limit(each).unionByName(known.where("quality = 0").orderBy(*order).limit(each))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))), "doc_id").toArrow()
+    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("doc_id", "quality", "text").toArrow()
     rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")))
     return rows.column("text").to_pylist(), rows.column("quality").to_numpy()
 
 
 def fit_texts(texts: list[str], good: np.ndarray) -> Chain:
-    short = [i for i, x in enumerate(texts) if x.count("\n") < SAMPLE_LINES]
-    words = T.cut_words(pa.array([texts[i] for i in short], pa.string()))
-    return fit(read_lines(words, words.hashes(), repeats(words)), np.asarray(good)[short])
+    words = T.cut_words(pa.array(texts, pa.string()))
+    return fit(*in_pieces(read_lines(words, words.hashes(), repeats(words)), np.asarray(good)))
+
+
+def in_pieces(lines: Lines, good: np.ndarray, most: int = PIECE_LINES) -> tuple[Lines, np.ndarray]:
+    """All lines, those of long rows as rows of at most `most` lines, each with its row's label."""
+    size = np.diff(lines.of_row)
+    pieces = np.maximum(-(-size // most), 1)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(lines.of_row[:-1], pieces) + nth * most
+    return replace(lines, of_row=np.append(starts, lines.of_row[-1])), np.repeat(good, pieces)
 
 
 def judge(docs: DataFrame, chain: Chain, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:

@@ -23,8 +23,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Hash buckets of a shard for numbering its rows; rows of one bucket are sorted in one task.
-SLOT_BUCKETS = 512
+#: Rows of a shard that are numbered in one task: its hash range is cut into as many as it takes.
+SLOT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,13 @@ def assign(rows: DataFrame, key: str, topology: Topology, column: str = "shard")
     return _descend(rows, key, topology, column)
 
 
-def shard_documents(docs: DataFrame, topology: Topology | None = None, buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """Every document's shard now and with one more shard, its size, checksum and slot within the shard."""
+def shard_documents(docs: DataFrame, topology: Topology | None = None, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Every document's shard now and with one more shard, its size, checksum and slot within the shard.
+
+    Slots follow a hash of the row, so they do not depend on how many buckets number them.
+    """
     topology = topology or uniform_topology()
+    buckets = max(64, -(-docs.count() // slot_rows))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -115,14 +119,14 @@ def shard_documents(docs: DataFrame, topology: Topology | None = None, buckets:
     )
     placed = _descend(_descend(sized, "doc_id", topology, "shard"), "doc_id", topology.grown(), "grown_shard")
     row_name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string"))
-    placed = placed.withColumn("bucket", F.floor(uniform(row_name, "slot") * buckets).cast("int"))
-    same = ["shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard"]
+    placed = placed.withColumn("draw", uniform(row_name, "slot")).withColumn("bucket", F.floor(F.col("draw") * buckets).cast("int"))
+    same = ["shard", "bucket", "draw", "doc_id", "size", "text_crc32", "grown_shard"]
     counted = placed.groupBy(*same).agg(F.count("*").alias("copies"))
     # At most shards x buckets rows, whatever the table.
-    sizes = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     ranked = counted.withColumn("after", F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     slots = F.sequence(F.col("base") + F.col("after") - F.col("copies"), F.col("base") + F.col("after") - 1)
     return ranked.join(F.broadcast(bases), ["shard", "bucket"]).select(

@@ -1,10 +1,10 @@
-"""Session helpers of the training-data operators: inputs, lineage cuts, Arrow batch size."""
+"""Session helpers of the training-data operators: inputs, lineage cuts, rows as one column."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,12 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 
-    It is the one that `spark.checkpoint.dir` names; only where that is unset (a local
-    session, as in tests) a temporary one is made.
+    It is the one that `spark.checkpoint.dir` names. Where that is unset a session on one
+    machine, as in tests, makes a temporary one; on a cluster nothing is written.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weblode-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="weblode-checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -27,3 +32,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder and read back, so that a lost executor costs no lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def column(name: str) -> Column:
+    """A column by its name as it is, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row as one struct `row`, with further columns made from it; no name of the table can clash with them."""
+    return docs.select(F.struct(*map(column, docs.columns)).alias("row"), *(c.alias(n) for n, c in keys.items()))
+
+
+def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows' own columns again, named as in `like`."""
+    return rows.select(*(F.col("row")[name].alias(name) for name in like.columns))

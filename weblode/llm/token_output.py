@@ -314,38 +314,52 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack()
 
 
-def _x_power(bits: int) -> int:
-    """x^bits modulo the CRC-32 polynomial, in the reflected form that zlib uses."""
-    result, square = 1 << 31, 1 << 30
-    while bits:
-        if bits & 1:
-            result = _times(result, square)
-        square = _times(square, square)
-        bits >>= 1
-    return result
-
-
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials over GF(2) modulo the reflected CRC-32 polynomial."""
-    out = 0
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials over GF(2) modulo the reflected CRC-32 polynomial, element by element."""
+    a, b = (np.asarray(x, np.uint32) for x in (a, b))
+    out, one, polynomial = np.zeros(np.broadcast(a, b).shape, np.uint32), np.uint32(1), np.uint32(0xEDB88320)
     for i in range(31, -1, -1):
-        if a >> i & 1:
-            out ^= b
-        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        out ^= b * ((a >> np.uint32(i)) & one)
+        b = (b >> one) ^ (polynomial * (b & one))
+    return out
+
+
+def _x_powers(n_bytes: np.ndarray) -> np.ndarray:
+    """x^(8 n) modulo the CRC-32 polynomial, in the reflected form that zlib uses."""
+    left, square = np.asarray(n_bytes, np.uint64).copy(), np.uint32(1 << 23)
+    out = np.full(left.shape, 1 << 31, np.uint32)
+    while left.any():
+        odd = (left & np.uint64(1)).astype(bool)
+        out[odd] = _times(out[odd], square)
+        square, left = _times(square, square), left >> np.uint64(1)
+    return out
+
+
+def crcs_joined(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of the concatenation of each row's pieces, from the pieces' CRC-32 and bytes; rows by offsets.
+
+    A row's CRC is the sum of its pieces' CRCs, each moved by the bytes that follow it.
+    """
+    total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    behind = np.repeat(total[first[1:]], np.diff(first)) - total[1:]
+    moved = _times(_x_powers(behind), crcs)
+    out = np.zeros(len(first) - 1, np.uint32)
+    full = np.flatnonzero(np.diff(first))
+    out[full] = np.bitwise_xor.reduceat(moved, first[full]) if len(full) else 0
     return out
 
 
 def crc_joined(pieces: list[tuple[int, int]]) -> int:
     """CRC-32 of the concatenation, from each piece's (CRC-32, bytes)."""
-    total = 0
-    for crc, size in pieces:
-        total = _times(_x_power(8 * size), total) ^ crc
-    return total
+    crcs, sizes = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
+    return int(crcs_joined(crcs.astype(np.uint32), sizes, np.array([0, len(pieces)]))[0])
 
 
 @F.pandas_udf(LongType())
 def _joined_crc(crcs: pd.Series, sizes: pd.Series) -> pd.Series:
-    return pd.Series([crc_joined([(int(c), 4 * int(n)) for c, n in zip(a, b, strict=True)]) for a, b in zip(crcs, sizes, strict=True)], dtype="int64")
+    first = np.concatenate(([0], np.cumsum([len(c) for c in crcs], dtype=np.int64)))
+    flat = [np.concatenate(x.to_list()) if len(x) else np.empty(0, np.int64) for x in (crcs, sizes)]
+    return pd.Series(crcs_joined(flat[0].astype(np.uint32), 4 * flat[1].astype(np.int64), first).astype(np.int64))
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:

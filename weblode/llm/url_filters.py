@@ -7,21 +7,28 @@ first path segment. Each capture is held against the entries in force when it wa
 fetched; the longest rule decides, a longer domain before a shorter one.
 
 Captures are first reduced to their distinct probes (host, first segment, day), so a host with
-a third of all captures is a few rows; the probe's keys are dealt out with a salt and the
-intervals are copied to every salt, so a parent domain that all probes share is split too.
+a third of all captures is a few rows. The as-of step sorts each rule's intervals and probes
+together by day and lets every probe look back to the last interval begun, so a rule with a
+long history costs no more than its length. Rules that many probes share are dealt to `SALTS`
+tasks, with a copy of their intervals each; probes that many captures share are looked up
+where the captures are.
 
-Defined results: a null or unparsable url is kept and matches nothing; entries with a null rule,
+Defined results: a null or unparsable url, or a null day, is kept and matches nothing; entries with a null rule,
 action or day are ignored; of several entries of a rule on one day a `remove` counts first,
 then `allow`, then `block`, and the last of these is in force; repeated captures are answered each;
 empty captures give an empty result, an empty list keeps everything; other columns of the
-captures are kept as they are.
+captures are kept as they are, and an answer whose name they have already gets a `_` at its end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
+from weblode.llm.spark_io import checkpointed, column, packed
+
+SALTS = 64
+#: A rule or probe is frequent if more than this part of all has it; so there are never more frequent ones.
+FREQUENT = 1024
 FOREVER = 1 << 30
 
 
@@ -54,24 +61,47 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where(F.col("action") != "remove")
 
 
+def _frequent(counted: DataFrame, *keys: str) -> DataFrame:
+    """The keys, with a count `times`, that more than one in FREQUENT of all rows have: FREQUENT rows at most."""
+    total = counted.agg(F.sum("times")).first()[0] or 0
+    return F.broadcast(checkpointed(counted.where(F.col("times") * FREQUENT > total).select(*keys)))
+
+
+def in_force(probes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(host, segment, day, hit) of the probes that an interval in force covers; the longest rule decides."""
+    keyed = probes.select("host", "segment", "day", F.explode(rule_keys(F.col("host"), F.col("segment"))).alias("rule"))
+    hot = _frequent(keyed.groupBy("rule").agg(F.count("*").alias("times")), "rule").withColumn("hot", F.lit(True))
+    salted = keyed.join(hot, "rule", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("host", "segment", "day"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    listed = intervals(entries).join(hot, "rule", "left").withColumn("salt", F.explode(copies))
+    interval = F.struct("action", "since", "until")
+    begun = listed.select("rule", "salt", F.col("since").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("segment"), interval.alias("interval"))
+    asking = salted.select("rule", "salt", F.col("day").alias("at"), F.lit(1).alias("asks"), "host", "segment", F.lit(None).cast(begun.schema["interval"].dataType).alias("interval"))
+    so_far = Window.partitionBy("rule", "salt").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    looked = begun.unionByName(asking).withColumn("interval", F.last("interval", ignorenulls=True).over(so_far))
+    met = looked.where("asks = 1 AND at < interval.until")
+    best = F.max(F.struct(F.length("rule").alias("size"), "rule", "interval.action", "interval.since")).alias("hit")
+    return met.groupBy("host", "segment", F.col("at").alias("day")).agg(best)
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """The captures with host, decision (block, allow or keep), matched_rule and listed_since."""
-    # Names of our own, so that a capture's other columns cannot clash.
-    named = captures.withColumns({"__host": host_of(F.col(url)), "__segment": segment_of(F.col(url)), "__day": F.col(day).cast("int")})
-    probes = named.select("__host", "__segment", "__day").where("__host IS NOT NULL AND __day IS NOT NULL").distinct()
-    salted = probes.withColumn("salt", F.pmod(F.xxhash64("__host", "__segment", "__day"), F.lit(SALTS)))
-    keyed = salted.withColumn("rule", F.explode(rule_keys(F.col("__host"), F.col("__segment"))))
-    listed = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = keyed.join(listed, ["rule", "salt"]).where("since <= __day AND __day < until")
-    best = met.groupBy("__host", "__segment", "__day").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "action", "since")).alias("hit"))
-    answered = named.join(best, ["__host", "__segment", "__day"], "left")
-    return answered.select(
-        *(captures[c] if captures.columns.count(c) == 1 else c for c in captures.columns),
-        F.col("__host").alias("host"),
-        F.coalesce(F.col("hit.action"), F.lit("keep")).alias("decision"),
-        F.col("hit.rule").alias("matched_rule"),
-        F.col("hit.since").alias("listed_since"),
-    )
+    rows = packed(captures, host=host_of(column(url)), segment=segment_of(column(url)), day=column(day).cast("int"))
+    known = F.col("host").isNotNull() & F.col("day").isNotNull()
+    key = ["host", "segment", "day"]
+    probes = checkpointed(rows.where(known).groupBy(*key).agg(F.count("*").alias("times")))
+    hits = checkpointed(in_force(probes, entries))
+    hot = _frequent(probes, *key)
+    some = rows.where(known)
+    answered = (
+        some.join(hot, key, "left_semi").join(F.broadcast(hits.join(hot, key, "left_semi")), key, "left")
+        .unionByName(some.join(hot, key, "left_anti").join(hits.join(hot, key, "left_anti"), key, "left"))
+        .unionByName(rows.where(~known), allowMissingColumns=True)
+    )
+    answers = {"host": F.col("host"), "decision": F.coalesce(F.col("hit.action"), F.lit("keep")), "matched_rule": F.col("hit.rule"), "listed_since": F.col("hit.since")}
+    taken = {c.lower() for c in captures.columns}
+    named = [c.alias(n + "_" if n in taken else n) for n, c in answers.items()]
+    return answered.select(*(F.col("row")[c].alias(c) for c in captures.columns), *named)
 
 
 def demo_entries(urls: DataFrame) -> DataFrame:
