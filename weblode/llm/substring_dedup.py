@@ -45,7 +45,7 @@ WIDTH = 35
 #: Texts of one bucket, in characters; the bucket is what one task holds at once.
 BUCKET_CHARS = 4 << 20
 #: Characters of texts whose hashes meet in one range.
-RANGE_CHARS = 64 << 20
+RANGE_CHARS = 8 << 20
 #: Words compiled into one automaton.
 AUTOMATON_WORDS = 1 << 19
 
@@ -190,11 +190,11 @@ def _answer(width: int):
         for asker, blobs in by_asker.items():
             wanted = np.frombuffer(b"".join(blobs), np.uint64)
             place = np.searchsorted(keys, wanted)
-            marks = np.zeros(int(words.first[-1]), bool)
-            marks[own.starts[first[place]]] = True
+            starts = np.unique(own.starts[first[place]])
             # Windows of neighbouring texts never touch: the last width - 1 words of a text start none.
-            spans = [(int(words.starts[a]), int(words.ends[b + width - 2])) for a, b in zip(*_runs(marks), strict=True)]
-            rows.append((asker, [raw[a:b] for a, b in spans]))
+            cut = np.flatnonzero(np.diff(starts) != 1)
+            begin, end = words.starts[starts[np.r_[0, cut + 1]]], words.ends[starts[np.r_[cut, len(starts) - 1]] + width - 1]
+            rows.append((asker, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]))
         return _table(rows, _PASSAGES)
 
     return answer
