@@ -7,7 +7,6 @@ import sys
 
 from pyspark.sql import SparkSession, functions as F
 
-from weblode.functions import urls as U
 from weblode.operators import registry, relational, sinks
 from weblode.plans import engine
 from weblode.sources import files
@@ -22,7 +21,10 @@ def parser() -> argparse.ArgumentParser:
     add("-d", "--dir", action="append", default=[], help="folder to read (repeatable)")
     add("--raw", action="store_true", help="read standard input as well")
     add("-o", "--output", help="write one stream to this path")
-    add("--output-dir", default="weblode_output", help="folder for the lists by category")
+    add("-oD", "--output-dir", default="weblode_output", help="folder for the lists by category")
+    add("--folders", action="store_true", help="write the lists as folders, by all tasks at once")
+    add("-t", "--threads", type=int, default=0, help="tasks that extraction is spread over (0: as the inputs come)")
+    add("-v", "--verbose", action="store_true", help="name every input that was left out, and why")
     add("--json", action="store_true", help="JSON Lines")
     add("--csv", action="store_true", help="CSV")
     add("--urls-only", action="store_true", help="plain URLs")
@@ -36,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     add("--max-size", type=int, default=files.MAX_MEGABYTES, help="megabytes a file may have")
     add("--timeout", type=float, default=10, help="seconds a fetch may take")
     add("--list-techniques", action="store_true")
-    add("--quiet", action="store_true", help="no summary")
+    add("-q", "--quiet", action="store_true", help="no summary")
     return p
 
 
@@ -50,7 +52,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not (options.file or options.url or options.list or options.dir or piped):
         parser().print_usage()
         return 1
-    docs = files.collect(spark, options.url, options.list, options.file, options.dir, piped, options.max_size, options.timeout)
+    inputs = files.read_inputs(spark, options.url, options.list, options.file, options.dir, piped, options.max_size, options.timeout)
+    docs = (inputs.docs.repartition(options.threads) if options.threads > 0 else inputs.docs).cache()
+    rejected = inputs.rejected.cache()
     results = engine.extract(docs, options.scope, options.exclude, options.include).cache()
     parts = {"methods": options.with_methods, "params": options.with_params, "source": options.with_source, "debug": options.debug}
     single = options.json or options.csv or options.urls_only or options.output
@@ -61,11 +65,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         lines = sinks.as_json(results).toJSON().toLocalIterator() if options.json else (r[0] for r in _printed(results, options, parts).toLocalIterator())
         for line in lines:
             print(line)
-    else:
+    elif options.folders:
         sinks.write_category_folders(results, options.output_dir, methods=options.with_methods)
+    else:
+        for name, lines in sorted(sinks.write_files(results, options.output_dir, methods=options.with_methods).items()):
+            if not options.quiet:
+                print(f"{options.output_dir}/{name}  {lines:,}")
+    if options.verbose:
+        for row in rejected.toLocalIterator():
+            print(f"[error] {row['file_name']}: {row['reason']}", file=sys.stderr)
     if not options.quiet and not (single and not options.output):
-        for row in relational.category_summary(results).orderBy("category").collect():
-            print(f"{row['category'] if row['category'] in U.CATEGORY_FILES else 'other':20}{row['urls']:>10,}")
+        total = relational.totals(docs, results, rejected).first()
+        shown = [("inputs processed", total["processed"]), ("URLs", total["urls"]), ("errors", total["errors"])]
+        shown += [(r["category"], r["urls"]) for r in relational.summary_lines(results).orderBy("place").collect()]
+        for name, n in shown:
+            print(f"{name:20}{n:>10,}")
     return 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weblode.functions import urls as U
 from weblode.functions.scan import Rule
+from weblode.operators.hosts import JS_HEADS
 
 
 def quoted(text: str) -> str:
@@ -57,10 +58,10 @@ def scan_sql(doc: str, pattern: str, groups: tuple[int, ...]) -> str:
 KEEP = {
     (1, 0): "url <> ''", (1, 1): "strlen(url) >= 5", (2, 0): "url NOT IN ('/', './', '../') AND NOT starts_with(url, '//')",
     (11, 2): "list_bool_and(list_transform(string_split(split_part(url, ':', 1), '.'), lambda n: CAST(n AS INTEGER) <= 255))",
-    **{(14, i): "NOT regexp_matches(url, '^/[a-zA-Z]+\\z')" for i in range(3)},
+    **{(14, i): "NOT (starts_with(url, '/^') OR ends_with(url, '$/') OR regexp_matches(url, '^(?:/[a-zA-Z]+|[a-zA-Z]+/[a-zA-Z0-9.+\\-]+|\\d{1,4}/\\d{1,2}/\\d{1,4}|\\d+/\\d+)$'))" for i in range(3)},
     **{(t, i): "contains(url, '/')" for t in (16, 19, 22, 23, 24, 25, 26) for i in range(2)},
     (48, 0): "length(url) - length(replace(url, '/', '')) >= 2", (50, 0): "length(url) - length(replace(url, '.', '')) >= 2",
-    (50, 1): "length(url) - length(replace(url, '.', '')) >= 2 AND NOT starts_with(lower(url), 'window.')",
+    (50, 1): f"length(url) - length(replace(url, '.', '')) >= 2 AND NOT {_any('starts_with(lower(url), {})', JS_HEADS)}",
 }
 CHANGE = {
     (8, 0): "CASE WHEN strlen(raw) > 120 THEN substr(raw, 1, 120) || '...' ELSE raw END",

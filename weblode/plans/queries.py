@@ -7,15 +7,20 @@ Spark and in DuckDB. Patterns in the SQL are the rules' own, in the linear-time
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weblode.functions import urls as U
 from weblode.functions.scan import Rule
 from weblode.operators import calls, comments, config, encoded, hosts, lexical, parsers, registry, relational, routers, sinks
 from weblode.plans import engine
 from weblode.plans.oracle import category_sql, hits_sql, quoted, scan_sql, valid_sql
+from weblode.plans.oracle_special import special_sql
+from weblode.sources import detect, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +39,7 @@ TEMPLATES = {
     11: 'a = "http://10.1.2.3:8080/x{k}";\nb = "192.168.0.{k}" c = "https://[2001:db8::1]:443/{c}" d = "8.8.4.4" e = "999.1.1.1"',
     12: 'a = "%2Fenc%2F{k}";\nb = "\\u002f\\u0061\\u002f{c}" c = "\\x2f\\x61\\x2e" d="&#47;&#97;&#47;{k}"',
     13: 'a = "tg://resolve{k}";\nb = intent://scan{c}/#Intent;scheme=zxing;end c = "android-app://com.example/{k}" foo://{c}',
-    14: 'a = "/lit/{k}/x.html"; b = \'/one{c}/two\'; c = `/three/{k}?a=1`;\nd = "/word" e = "/2024/01" f = "/lit/{k}/x.html" g = "/x{k}"',
+    14: 'a = "/lit/{k}/x.html"; b = \'/one{c}/two\'; c = `/three/{k}?a=1`;\nd = "/word" e = "/2024/01" f = "/lit/{k}/x.html" g = "/x{k}" h = "/^a{k}" i = "/re{k}$/" j = "/a/b"',
     15: "fetch('/api/orders/{k}', {method: 'POST', body: JSON.stringify({id: {k}, name: n})});\nfetch(\"/get/{c}?a=1&b=2\"); fetch(url{k}); prefetch('/no/{k}'",
     16: 'r.open("GET", "/xhr/{k}?a=1&b={c}");\ns.open( \'POST\' , \'/xhr/{c}\' ); f.open("{k}") g.open("get", "/low/{k}")',
     17: "axios.get('/ax/{k}?q=1');\naxios({url: '/axc/{c}', method: 'delete'}); axios.post(path{k});",
@@ -70,7 +75,7 @@ TEMPLATES = {
     47: '"/sitemap-{k}.xml" \'robots.txt\'\nSitemap: https://s{c}.example.com/sitemap.xml\nDisallow: /private/{k}\n<loc> https://l.example.com/{c} </loc>',
     48: '{"openapi": "3.0", "paths": {"/pets/{k}": {"get": 1}, "/solo{c}": {}}}\n"/docs/swagger-ui/{k}.html" "/spec/{c}/openapi.yaml"',
     49: 'experiment_url: "/exp/{k}", "flag_endpoint" = "/flag/{c}"\nfeature_url: "on{k}" other_url: "/no/{c}"',
-    50: 'u = "https://a{k}.b.example.com/x"; v = "c{c}.d.example.org";\nw = "window.location.href" x = "example{k}.com" y = "https://A{k}.B.example.com/"',
+    50: 'u = "https://a{k}.b.example.com/x"; v = "c{c}.d.example.org";\nw = "window.location.href" w = "this.state.x{k}" w = "e.exports.{k}.default" x = "example{k}.com" y = "https://A{k}.B.example.com/"',
     51: 'a = "https://bucket{k}.s3.us-east-1.amazonaws.com/k/{c}";\nb = "http://d{c}.cloudfront.net/x" c = "https://storage.googleapis.com/b/{k}" d = "https://cdn{k}.example.com/"',
     52: 'a = "http://svc{k}.internal/api"; b = \'db{c}.local\';\nc = "https://192.168.1.9:80{c}/x" d = "localhost:3000" e = "http://pub{k}.example.com/"',
     53: 'a = "ws://s{k}.example.com/a"; b = \'wss://t.example.com/{c}?x=1\';\nc = "ws://s{k}.example.com/a" d = ws:/{c}',
@@ -148,7 +153,9 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def technique_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.technique_summary(engine.extract(pages(spark, sf_dir), sort=False))
+    """Subtotals are named: technique -1 and confidence `all`."""
+    found = relational.technique_summary(engine.extract(pages(spark, sf_dir), sort=False))
+    return found.select(F.coalesce("technique_id", F.lit(-1)).alias("technique_id"), F.coalesce("confidence", F.lit("all")).alias("confidence"), "urls", "distinct_urls")
 
 
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,14 +197,35 @@ def _rules(technique: int) -> tuple[Rule, ...] | None:
     return tables.get(technique)
 
 
+ONCE = {3, 4, 14, 51, 52, 53}
+
+
+def _results_sql() -> str:
+    """The whole plan over the pages: links of tags, then all techniques over inline scripts and whole pages, valid ones, first wins.
+
+    Technique 27 is left out: its pattern looks for a quoted attribute in a text that ends at the first quote, so it finds nothing.
+    """
+    whole = "SELECT page_id AS doc_id, html AS content FROM pages"
+    scripts = "SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS content FROM pages"
+    links = scan_sql(f"({whole})", r'<a[ \t\n][^>]*?\bhref="([^"]*)"', (1,))
+    parts = [f"SELECT doc_id, 0 AS stage, 0 AS technique_id, 'html_a_href' AS detection_method, trim(g1) AS url, line AS source_line, '' AS http_method, {category_sql('trim(g1)')} AS category, 'high' AS confidence FROM ({links}) WHERE trim(g1) NOT IN ('', '#', '?')"]
+    for stage, docs in ((1, scripts), (2, whole)):
+        special = SPECIAL_SQL(lambda t: docs) | special_sql(lambda t: docs, text_urls_sql)  # noqa: B023
+        for t, name in enumerate(registry.NAMES, 1):
+            sql = special.get(t) or (hits_sql(docs, _rules(t), t, t in ONCE) if _rules(t) else None)
+            if sql:
+                parts.append(f"SELECT doc_id, {stage}, {t}, '{name}', url, source_line, http_method, category, confidence FROM ({sql})")
+    return f"""SELECT * FROM (SELECT r.*, p.url AS source_file FROM ({" UNION ALL ".join(parts)}) r JOIN pages p ON p.page_id = r.doc_id) WHERE {valid_sql("url")}
+        QUALIFY row_number() OVER (PARTITION BY http_method, url ORDER BY doc_id, stage, technique_id, source_line) = 1"""
+
+
 def _oracle() -> dict[str, str]:
-    once = {3, 4, 14, 51, 52, 53}
     found = {}
     for t, name in enumerate(registry.NAMES, 1):
         rules = _rules(t)
         if rules:
-            found[f"t{t:02d}_{name}"] = hits_sql(documents_sql(t), rules, t, t in once)
-    special = SPECIAL_SQL()
+            found[f"t{t:02d}_{name}"] = hits_sql(documents_sql(t), rules, t, t in ONCE)
+    special = SPECIAL_SQL(documents_sql) | special_sql(documents_sql, text_urls_sql)
     found |= {f"t{t:02d}_{registry.NAMES[t - 1]}": sql for t, sql in special.items()}
     page_docs = "SELECT page_id AS doc_id, html AS content FROM pages"
     found["pages_relative_paths"] = hits_sql(page_docs, (lexical.RELATIVE,), 2, False)
@@ -207,6 +235,12 @@ def _oracle() -> dict[str, str]:
         SELECT url, {valid_sql('url')} AS valid FROM (SELECT DISTINCT url FROM c)"""
     found["dedup_first_wins"] = "SELECT o_orderstatus AS http_method, '/p/' || CAST(o_custkey AS VARCHAR) AS url, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL"
     found["scope_include_exclude"] = "SELECT page_id, url FROM pages WHERE contains(url, 'example') AND NOT regexp_matches(url, '\\?') AND regexp_matches(url, '/(?:en|fr)/')"
+    results = _results_sql()
+    found["extract_pages"] = f"""
+        SELECT url, source_file, CAST(source_line AS INTEGER) AS source_line, detection_method, http_method, category, confidence, CAST(technique_id AS INTEGER) AS technique_id FROM ({results})"""
+    found["category_summary"] = f"SELECT category, count(*) AS urls FROM ({results}) GROUP BY category"
+    found["technique_confidence_rollup"] = f"""
+        SELECT CAST(coalesce(technique_id, -1) AS INTEGER) AS technique_id, coalesce(confidence, 'all') AS confidence, count(*) AS urls, count(DISTINCT url) AS distinct_urls FROM ({results}) GROUP BY ROLLUP (technique_id, confidence)"""
     hits16 = hits_sql(documents_sql(16), (calls.XHR,), 16, False)
     found["text_format"] = f"""
         SELECT concat_ws(' ', nullif(http_method, ''), url, CASE WHEN params <> '' THEN '[' || params || ']' END,
@@ -217,10 +251,10 @@ def _oracle() -> dict[str, str]:
     return found
 
 
-def SPECIAL_SQL() -> dict[int, str]:  # noqa: N802
+def SPECIAL_SQL(documents: Callable[[int], str]) -> dict[int, str]:  # noqa: N802
     """Techniques that are more than one scan; texts as of the templates."""
     def head(doc):
-        return f"WITH doc AS ({documents_sql(doc)})"
+        return f"WITH doc AS ({documents(doc)})"
 
     def row(url, line, method="''", params="''", category=None, confidence="medium"):
         kind = category_sql(url) if category is None else f"'{category}'"
@@ -269,40 +303,215 @@ def parser_query(kind: str, content: str) -> Query:
 
 
 PARSED = {
-    "html": '<a href="/h/{k}">x</a>\n<img srcset="/s{k}.png 1x, /t.png 2x" data-u="/d/{k}" onclick="go(\'/ev/{k}\')">',
-    "css": 'a { background: url( "/c/{k}.png" ) }\n@import "/i{k}.css"; b { x: url(data:image/png;base64,AA) }',
-    "json": '{"url": "/j/{k}", "list": ["/l/{k}", "word", 3], "name": "x{k}"}',
+    "html": '<a href="/h/{k}">x</a>\n<img srcset="/s{k}.png 1x, /t.png 2x" data-u="/d/{k}" onclick="go(\'/ev/{k}\')"><a href="#"></a>\n'
+    '<title><a href="/no/{k}"></title><video src="/v{k}.mp4" poster=" /p.png "><META http-equiv="Refresh" content="5; URL=\'/next/{k}\'"><div data-n="no{k}">',
+    "css": 'a { background: url( "/c/{k}.png" ) }\n@import "/i{k}.css"; b { x: url(data:image/png;base64,AA) } c { y: url(\'rel{k}.gif\') }',
+    "json": '{"url": "/j/{k}", "list": ["/l/{k}", "word", 3, "/with space"], "name": "x{k}", "Host": "h{k}", "deep": {"a": [{"href": "d{k}"}]}}',
+    "json_manifest": '{"start_url": "/s/{k}", "scope": "/", "icons": [{"src": "i{k}.png"}, {"sizes": "1"}]}',
+    "json_broken": '{"a": "/f/{k}",\n "b": "https://x.example.com/{k}", "c": "no{k}", }',
     "sourcemap": '{"version": 3, "file": "o{k}.js", "sourceRoot": "src/", "sources": ["a{k}.ts", "/b.ts"], "sourcesContent": ["x = \'/sc/{k}\'"], "mappings": ""}',
-    "xml": '<r xmlns="http://ns{k}.example.com/x" href="/x/{k}">\n<i src="/src/{k}"/><script>go("/es/{k}")</script></r>',
+    "xml": '<r xmlns="http://ns{k}.example.com/x" href="/x/{k}">\n<i src="/src/{k}"/><script>go("/es/{k}")</script><use xlink:href="/u/{k}"/><f action=\'/a/{k}\'/></r>',
+    "svg": '<svg xmlns:x="https://ns.example.com/{k}"><image href="/im/{k}.png"/>\n<a xlink:href="/l/{k}"/></svg>',
     "vue": '<template><a href="/v/{k}">x</a></template>\n<script>x = "/vs/{k}"</script><style>a { b: url(/vc/{k}) }</style>',
+    "svelte": "<script>\nlet a = '/sv/{k}'; let b = 'no{k}'</script>\n<style>@import '/si/{k}.css';</style>",
 }
 
 
-def _fixed(rows: list[tuple]) -> str:
-    """SQL for rows (url template, line, method, category, confidence, technique) for every order."""
-    made = " UNION ALL ".join(
-        f"SELECT o_orderkey AS doc_id, replace({quoted(u)}, '{{k}}', CAST(o_orderkey AS VARCHAR)) AS url, CAST({n} AS INTEGER) AS source_line, '{m}' AS detection_method, {quoted(c)} AS fixed, '{f}' AS confidence, CAST({t} AS INTEGER) AS technique_id FROM orders"
-        for u, n, m, c, f, t in rows
-    )
-    kind = f"CASE WHEN fixed IN ('source_map', 'external_service') THEN fixed ELSE {category_sql('url')} END"
-    return f"SELECT doc_id, url, source_line, detection_method, {kind} AS category, confidence, technique_id FROM ({made})"
-
-
-PARSED_SQL = {
-    "html": _fixed([("/h/{k}", 1, "html_a_href", "page_route", "high", 0), ("/s{k}.png", 2, "html_srcset", "static_asset", "high", 0), ("/t.png", 2, "html_srcset", "static_asset", "high", 0),
-                    ("/d/{k}", 2, "html_data_attr", "page_route", "medium", 0), ("/ev/{k}", 2, "html_event_handler", "page_route", "medium", 0)]),
-    "css": _fixed([("/c/{k}.png", 1, "css_url", "static_asset", "high", 0), ("/i{k}.css", 2, "css_import", "static_asset", "high", 0)]),
-    "json": _fixed([("/j/{k}", 1, "json_url_key", "page_route", "high", 0), ("/l/{k}", 1, "json_value", "page_route", "medium", 0)]),
-    "sourcemap": _fixed([("o{k}.js", 1, "sourcemap_file", "source_map", "high", 44), ("src/", 1, "sourcemap_sourceRoot", "source_map", "high", 44), ("src/a{k}.ts", 1, "sourcemap_source", "source_map", "high", 44),
-                         ("/b.ts", 1, "sourcemap_source", "source_map", "high", 44), ("/sc/{k}", 1, "sourcemap_content", "page_route", "medium", 44)]),
-    "xml": _fixed([("/x/{k}", 1, "xml_href", "page_route", "high", 0), ("/src/{k}", 2, "xml_src", "page_route", "high", 0), ("http://ns{k}.example.com/x", 1, "xml_namespace", "external_service", "low", 0),
-                   ("/es/{k}", 2, "xml_embedded_script", "page_route", "medium", 0)]),
-    "vue": _fixed([("/v/{k}", 2, "html_a_href", "page_route", "high", 0), ("/vs/{k}", 3, "vue_svelte_script", "page_route", "high", 0), ("/vc/{k}", 3, "css_url", "page_route", "high", 0)]),
+def _parsed_sql() -> dict[str, str]:
+    """SQL that reads the made contents with patterns of its own."""
+
+    def rows(kind: str, *parts: tuple) -> str:
+        """Parts: pattern, URL in terms of g1, detection, confidence, and, if not usual, category, technique, line."""
+        doc = f"(SELECT o_orderkey AS doc_id, replace({quoted(PARSED[kind])}, '{{k}}', CAST(o_orderkey AS VARCHAR)) AS content FROM orders)"
+        made = []
+        for pattern, url, detection, confidence, *more in parts:
+            category, technique, line = (*more, *(None, 0, "line")[len(more) :])
+            fixed = quoted(category) if category else "CAST(NULL AS VARCHAR)"
+            made.append(f"SELECT doc_id, {url} AS url, {line} AS line, '{detection}' AS detection_method, {fixed} AS fixed, '{confidence}' AS confidence, {technique} AS technique_id FROM ({scan_sql(doc, pattern, (1,))})")
+        return f"""SELECT doc_id, url, CAST(line AS INTEGER) AS source_line, detection_method, coalesce(fixed, {category_sql("url")}) AS category, confidence, CAST(technique_id AS INTEGER) AS technique_id
+            FROM ({" UNION ALL ".join(made)}) WHERE url NOT IN ('', '#')"""
+
+    quoted_name = r"\"([^\"]+)\""
+    rooted = "unnest(list_transform(regexp_extract_all(g1, '" + r"\"([^\"]+)\"" + "', 1), lambda x: CASE WHEN x[1] = '/' THEN x ELSE 'src/' || x END))"
+    return {
+        "html": rows(
+            "html", (r'<a href="([^"]*)">(?:x</a>|</a>\n)', "g1", "html_a_href", "high"),
+            (r'srcset="([^"]*)"', "unnest(list_transform(string_split(g1, ','), lambda x: split_part(trim(x), ' ', 1)))", "html_srcset", "high"),
+            (r'data-\w+="(/[^"]+)"', "g1", "html_data_attr", "medium"), (r"onclick=\"[^\"]*'(/[^']*)'", "g1", "html_event_handler", "medium"),
+            (r'<video src="([^"]*)"', "g1", "html_video_src", "high"), (r'poster="([^"]*)"', "trim(g1)", "html_video_poster", "high"),
+            (r"(?i)content=\"\d+; url='([^']*)'", "g1", "html_meta_refresh", "high"),
+        ),
+        "css": rows("css", (r"url\(\s*[\"']?([^\"')]+?)[\"']?\s*\)", "CASE WHEN starts_with(g1, 'data:') THEN '' ELSE g1 END", "css_url", "high"), (rf"@import\s+{quoted_name}", "g1", "css_import", "high")),
+        "json": rows("json", (r'"(?:url|Host|href)": "([^"]*)"', "g1", "json_url_key", "high"), (r'[\[,] ?"(/[^" ]+)"', "g1", "json_value", "medium")),
+        "json_manifest": rows(
+            "json_manifest", (r'"start_url": "([^"]*)"', "g1", "manifest_start_url", "high", "page_route", 46), (r'"scope": "([^"]*)"', "g1", "manifest_scope", "high", "page_route", 46),
+            (r'"src": "([^"]*)"', "g1", "manifest_icon", "high", "static_asset", 46), (r'"src": "([^"]*)"', "g1", "json_url_key", "high"), (r'"start_url": "([^"]*)"', "g1", "json_value", "medium"),
+        ),
+        "json_broken": rows("json_broken", (r'"((?:https?://|/)[^"]+)"', "g1", "json_regex_fallback", "low")),
+        "sourcemap": rows(
+            "sourcemap", (r'"file": "([^"]*)"', "g1", "sourcemap_file", "high", "source_map", 44), (r'"sourceRoot": "([^"]*)"', "g1", "sourcemap_sourceRoot", "high", "source_map", 44),
+            (r'"sources": \[([^\]]*)\]', rooted, "sourcemap_source", "high", "source_map", 44),
+            (r'"sourcesContent": \[([^\]]*)\]', "unnest(regexp_extract_all(g1, '''(/[^'']+)''', 1))", "sourcemap_content", "medium", None, 44, "1"),
+        ),
+        "xml": rows(
+            "xml", (r'[ :]href="([^"]*)"', "g1", "xml_href", "high"), (r'xlink:href="([^"]*)"', "g1", "xml_xlink_href", "high"), (r'\bsrc="([^"]*)"', "g1", "xml_src", "high"),
+            (r"\baction='([^']*)'", "g1", "xml_action", "medium"), (r'xmlns="([^"]*)"', "g1", "xml_namespace", "low", "external_service"),
+            (r'<script>[^<]*"([^"]*)"[^<]*</script>', "g1", "xml_embedded_script", "medium"),
+        ),
+        "svg": rows("svg", (r'[ :]href="([^"]*)"', "g1", "xml_href", "high"), (r'xlink:href="([^"]*)"', "g1", "xml_xlink_href", "high"), (r'xmlns:x="([^"]*)"', "g1", "xml_namespace", "low", "external_service")),
+        "vue": rows(
+            "vue", (r'<a href="([^"]*)"', "g1", "html_a_href", "high", None, 0, "line + 1"), (r'<script>[^<]*"([^"]*)"', "g1", "vue_svelte_script", "high", None, 0, "line + 1"),
+            (r"url\(([^)]*)\)", "g1", "css_url", "high", None, 0, "line + 1"),
+        ),
+        "svelte": rows("svelte", (r"'(/[^']*)'; let", "g1", "vue_svelte_script", "high", None, 0, "line + 1"), (r"@import '([^']*)'", "g1", "css_import", "high", None, 0, "line + 1")),
+    }
+
+
+PARSED_SQL = _parsed_sql()
+
+
+# ---- inputs and outputs -------------------------------------------------------------------
+
+WRITTEN = 40
+# Contents and names that the readers are to tell apart.
+NAMES_MADE = ("a.js", "b.MJS", "c.tsx", "page", "d.htm", "e.json?x=1", "f.map", "g.SVG", "h.vue", "x.txt", "dir.js/y")
+MIMES_MADE = ("", "text/html", "application/javascript", "image/svg+xml", "application/xml", "text/css", "application/json", "text/plain")
+HEADS_MADE = ("", "  <!DOCTYPE html><p>", '{"a": 1}', "[1]", "<?xml version='1.0'?>", "<svg>", "plain", "a\0b")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each of the first orders, and some that a run must leave out; through the reader's own file system."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(WRITTEN).collect()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = f"{shared or tempfile.gettempdir()}/weblode-files-{uuid.uuid4().hex}"
+    contents = {f"{'ab'[k % 2]}{'-x' if k % 3 else ''}/f{k}.js": f'x("/shared/{k % 5}"); y("/own/{k}");\nz("/customer/{c}")' for k, c in keys}
+    contents |= {"node_modules/no.js": '"/no/1"', ".hidden/no.js": '"/no/2"', "a/no.exe": '"/no/3"', "a/binary.js": '"/no/4"\0', "a/empty.js": "", "list.txt": "# urls\n\n http://x.example.com/1 \n//no\nftp://y\n"}
+    for name, content in contents.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content, "utf-8"))
+        out.close()
+    return root
+
+
+def _name(column: str) -> Column:
+    return F.regexp_replace(column, "^.*/weblode-files-[^/]*/", "")
+
+
+def collect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over a folder: which file is the first to have each URL."""
+    docs = files.collect(spark, folders=[_written(spark, sf_dir)])
+    return engine.extract(docs, techniques=(2,), with_parsers=False).select("url", _name("source_file").alias("name"), "source_line")
+
+
+def collect_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over single files, named from the last order to the first, each twice."""
+    root = _written(spark, sf_dir)
+    names = [r["file_name"] for r in files.folder(spark, root).select("file_name").collect()]
+    numbered = [n for _, n in sorted(((int(n.rsplit("/f", 1)[1].removesuffix(".js")), n) for n in names if not n.endswith("/empty.js")), reverse=True)]
+    docs = files.collect(spark, paths=numbered + numbered[::-1])
+    return engine.extract(docs, techniques=(2,), with_parsers=False).select("url", _name("source_file").alias("name"), "source_line")
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a run in which a file, a folder and a list are missing and one file is binary."""
+    root = _written(spark, sf_dir)
+    inputs = files.read_inputs(spark, lists=[f"{root}/gone.txt"], paths=[f"{root}/gone.js"], folders=[root, f"{root}/gone"])
+    return relational.totals(inputs.docs, engine.extract(inputs.docs, techniques=(2,), with_parsers=False, sort=False), inputs.rejected)
+
+
+def rejected_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _written(spark, sf_dir)
+    found = files.rejected(spark, [f"{root}/a/binary.js", f"{root}/gone.js", f"{root}/a/empty.js"], folders=[root])
+    return found.select(F.regexp_replace("file_name", "^.*/weblode-files-[^/]*/", "").alias("name"), "reason")
+
+
+def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.url_list(spark, f"{_written(spark, sf_dir)}/list.txt").select("url")
+
+
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by name, MIME type and first characters for made names and contents."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    pick = lambda by, values: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("o_orderkey") / by) % len(values) + 1).cast("int"))
+    made = keys.select("o_orderkey", pick(1, NAMES_MADE).alias("name"), pick(7, MIMES_MADE).alias("mime"), pick(3, HEADS_MADE).alias("content"))
+    return made.select("o_orderkey", detect.file_type(F.col("name"), F.nullif("mime", F.lit("")), F.col("content")).alias("file_type"), detect.is_binary(F.encode("content", "UTF-8")).alias("is_binary"))
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = relational.with_category(registry.apply(made_documents(spark, sf_dir, 16), 16))
+    named = hits.withColumn("source_file", F.concat(F.col("doc_id").cast("string"), F.lit(".js"))).withColumn("headers", F.create_map().cast("map<string,string>"))
+    return named.select(sinks.full_json().alias("value"))
+
+
+def _mixed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, (relational.with_category(registry.apply(made_documents(spark, sf_dir, t), t)) for t in (10, 13, 16, 20)))
+
+
+def category_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each category's list: the hits of four techniques."""
+    return _mixed_hits(spark, sf_dir).select(sinks.category_file().alias("file"), sinks.text_line(methods=True).alias("line"))
+
+
+def summary_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.summary_lines(_mixed_hits(spark, sf_dir))
+
+
+def sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each URL in the order of results, from where rows stand in the sorted partitions."""
+    urls = relational.with_category(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", F.lit("").alias("http_method"), F.lit(None).cast("string").alias("category")).distinct())
+    placed = relational.ordered(urls).select("url", F.monotonically_increasing_id().alias("at"))
+    return placed.select("url", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+
+def _io_sql() -> dict[str, str]:
+    key = "o_orderkey"
+    names = f"""SELECT {key} AS k, o_custkey AS c, CASE {key} % 2 WHEN 0 THEN 'a' ELSE 'b' END || CASE WHEN {key} % 3 <> 0 THEN '-x' ELSE '' END || '/f' || {key} || '.js' AS name
+        FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {WRITTEN})"""
+    found = "SELECT name, k, '/shared/' || k % 5 AS url, 1 AS line FROM written UNION ALL SELECT name, k, '/own/' || k, 1 FROM written UNION ALL SELECT name, k, '/customer/' || c, 2 FROM written"
+    first = "SELECT url, name, CAST(line AS INTEGER) AS source_line FROM found QUALIFY row_number() OVER (PARTITION BY url ORDER BY {}) = 1"
+    head = f"WITH written AS ({names}), found AS ({found})"
+    picked = lambda by, values: f"([{', '.join(map(quoted, values))}])[CAST(floor({key} / {by}) AS BIGINT) % {len(values)} + 1]"
+    heads = tuple(h.replace("\0", "#") for h in HEADS_MADE)
+    by_mime = """CASE WHEN contains(mime, 'html') THEN 'html' WHEN contains(mime, 'javascript') THEN 'js' WHEN contains(mime, 'json') THEN 'json' WHEN contains(mime, 'svg') THEN 'svg'
+        WHEN contains(mime, 'xml') THEN 'xml' WHEN contains(mime, 'css') THEN 'css' END"""
+    by_head = """CASE WHEN starts_with(head, '<!doctype html') THEN 'html' WHEN head[1] IN ('{', '[') THEN 'json' WHEN starts_with(head, '<?xml') OR starts_with(head, '<svg') THEN 'xml'
+        ELSE 'unknown' END"""
+    every = " UNION ALL ".join(f"SELECT url, http_method, category FROM ({hits_sql(documents_sql(t), _rules(t), t, False)})" for t in (10, 13, 16, 20))
+    lists = " ".join(f"WHEN '{c}' THEN '{f}'" for c, f in U.CATEGORY_FILES.items())
+    shown = ", ".join(map(quoted, relational.SHOWN))
+    json_of = """'{"url":"' || url || '","source_file":"' || doc_id || '.js","source_line":' || source_line || ',"detection_method":"xmlhttprequest","http_method":"' || http_method || '",'
+        || CASE WHEN params <> '' THEN '"query_params":["' || replace(params, ',', '","') || '"],' ELSE '' END || '"category":"' || category || '","confidence":"high","technique_id":16}'"""
+    return {
+        "collect_files": f"{head} {first.format('translate(name, chr(47), chr(1))')}",
+        "collect_arguments": f"{head} {first.format('k DESC')}",
+        "run_totals": f"{head} SELECT CAST((SELECT count(*) FROM written) + 4 AS BIGINT) AS processed, count(DISTINCT url) AS urls, CAST(4 AS BIGINT) AS errors FROM found",
+        "rejected_inputs": "SELECT * FROM (VALUES ('a/binary.js', 'binary'), ('gone.js', 'not found'), ('a/binary.js', 'binary')) AS r(name, reason)",
+        "url_list": "SELECT * FROM (VALUES ('http://x.example.com/1'), ('ftp://y')) AS l(url)",
+        "file_types": f"""SELECT o_orderkey, coalesce(by_name, {by_mime}, {by_head}) AS file_type, contains(head, '#') AS is_binary FROM (
+            SELECT o_orderkey, {picked(7, MIMES_MADE)} AS mime, lower(ltrim({picked(3, heads)})) AS head,
+                   CASE lower(regexp_extract({picked(1, NAMES_MADE)}, '\\.([^./]*)$', 1)) WHEN 'js' THEN 'js' WHEN 'mjs' THEN 'js' WHEN 'tsx' THEN 'ts' WHEN 'htm' THEN 'html'
+                   WHEN 'map' THEN 'sourcemap' WHEN 'svg' THEN 'svg' WHEN 'vue' THEN 'vue' END AS by_name
+            FROM orders)""",
+        "json_lines": f"SELECT {json_of} AS value FROM ({hits_sql(documents_sql(16), (calls.XHR,), 16, False)})",
+        "category_files": f"SELECT CASE category {lists} END AS file, concat_ws(' ', nullif(http_method, ''), url) AS line FROM ({every})",
+        "summary_in_order": f"""SELECT CAST(coalesce(list_position([{shown}], category), {len(relational.SHOWN) + 1}) AS INTEGER) AS place,
+            CASE WHEN category IN ({shown}) THEN category ELSE 'other' END AS category, count(*) AS urls FROM ({every}) GROUP BY ALL""",
+        "sorted_results": f"SELECT url, row_number() OVER (ORDER BY {category_sql('url')}, url) AS place FROM (SELECT DISTINCT url FROM pages)",
+    }
+
+
+IO_QUERIES: dict[str, Query] = {
+    "collect_files": collect_files, "collect_arguments": collect_arguments, "run_totals": run_totals, "rejected_inputs": rejected_inputs, "url_list": url_list, "file_types": file_types,
+    "json_lines": json_lines, "category_files": category_files, "summary_in_order": summary_in_order, "sorted_results": sorted_results,
 }
 
 QUERIES: dict[str, Query] = (
     {f"t{t:02d}_{name}": technique_query(t) for t, name in enumerate(registry.NAMES, 1)}
-    | {f"parse_{kind}": parser_query(kind, content) for kind, content in PARSED.items()}
+    | {f"parse_{kind}": parser_query(kind.split("_")[0], content) for kind, content in PARSED.items()}
+    | IO_QUERIES
     | {
         "pages_relative_paths": pages_relative_paths,
         "categorize": categorize,
@@ -317,4 +526,4 @@ QUERIES: dict[str, Query] = (
         "unseen": unseen,
     }
 )
-ORACLE_SQL: dict[str, str] = _oracle() | {f"parse_{kind}": sql for kind, sql in PARSED_SQL.items()}
+ORACLE_SQL: dict[str, str] = _oracle() | _io_sql() | {f"parse_{kind}": sql for kind, sql in PARSED_SQL.items()}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 MAX_BODY = 50 << 20
 MAX_REDIRECTS = 10
 HEADERS = {"User-Agent": "Mozilla/5.0 (compatible; weblode)", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8"}
-SCHEMA = "url string, status int, content_type string, body binary, error string"
+SCHEMA = "line long, url string, status int, content_type string, body binary, error string"
 
 
 class _Redirects(urllib.request.HTTPRedirectHandler):
@@ -31,11 +31,12 @@ def get(url: str, timeout: float) -> dict:
 
 
 def fetch(urls: DataFrame, timeout: float = 10) -> DataFrame:
-    """(url, status, content_type, body, error) of every URL, fetched where its partition runs."""
+    """(line, url, status, content_type, body, error) of every (line, url), fetched where its partition runs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = pd.DataFrame([get(u, timeout) for u in batch["url"]], columns=["url", "status", "content_type", "body", "error"])
+            rows.insert(0, "line", batch["line"].to_numpy())
             yield rows.astype({"status": "Int32"})
 
-    return urls.select("url").mapInPandas(run, SCHEMA)
+    return urls.select("line", "url").mapInPandas(run, SCHEMA)
