@@ -45,6 +45,9 @@ SIMILARITY = 0.8
 RADIUS = 17
 BLOCKS = 3
 PART_CHARS = 4 << 20
+#: Values that the items of a part are filed under, all in all: the fewer items, the more bits off each is filed, and
+#: the fewer values a window asks for.
+FILED = 8 << 20
 #: Shingles verified, and lookups made, at once.
 CHUNK = 1 << 20
 SCREEN_BITS = 22
@@ -84,31 +87,38 @@ class Items:
     shingles: np.ndarray | list  # a row an item, as of `as_sets`
     prints: np.ndarray
     need: int  # least overlap, in shingles, of a match
+    in_part: int = 0  # items of all lengths that are filed beside these
 
     def __post_init__(self):
         self.filed: dict[int, list] = {}
 
+    def reach(self, radius: int) -> tuple[int, int]:
+        """Bits off that items are filed, and that windows ask for: together what a block may differ by."""
+        block = radius // BLOCKS
+        inner = max(i for i in range(block + 1) if i == 0 or max(self.in_part, len(self.prints)) * BLOCKS * len(masks(22, i)) <= FILED)
+        return inner, block - inner
+
     def __getstate__(self):  # the index is built where it is used
         return self.__dict__ | {"filed": {}}
 
     def _blocks(self, radius: int) -> list[tuple]:
         """For each block: its cut, values of items and of those a few bits off, sorted, with the items of each."""
         if radius not in self.filed:
-            inner = radius // BLOCKS // 2
+            inner, _ = self.reach(radius)
             self.filed[radius] = []
             for i in range(BLOCKS):
                 low, high = 64 * i // BLOCKS, 64 * (i + 1) // BLOCKS
                 own = _block(self.prints, low, high)[:, None] ^ masks(high - low, inner)
                 order = np.argsort(own, axis=None, kind="stable")
                 values, first = np.unique(own.ravel()[order], return_index=True)
-                self.filed[radius].append((low, high, values, np.append(first, len(order)), order // own.shape[1]))
+                self.filed[radius].append((low, high, values, np.append(first, len(order)), (order // own.shape[1]).astype(np.int32)))
         return self.filed[radius]
 
     def candidates(self, prints: np.ndarray, radius: int) -> np.ndarray:
         """All (query, item) pairs, as query * items + item, that share a filed value; every pair within the radius is one."""
         found = [np.empty(0, np.int64)]
         for low, high, values, first, items in self._blocks(radius):
-            outer = masks(high - low, radius // BLOCKS - radius // BLOCKS // 2)
+            outer = masks(high - low, self.reach(radius)[1])
             step = max(1, CHUNK // len(outer))
             for at in range(0, len(prints), step):
                 asked = _block(prints[at : at + step], low, high)[:, None] ^ outer
@@ -149,7 +159,7 @@ class BenchmarkIndex:
             m = n - k + 1
             need = int(np.ceil(2 * threshold / (1 + threshold) * m - 1e-9))
             prints = H.majority_bits(np.concatenate(shingles), np.arange(len(members) + 1) * m)
-            self.lengths.append(Items(n, k, [ids[i] for i in members], as_sets(np.stack(shingles)), prints, max(need, 1)))
+            self.lengths.append(Items(n, k, [ids[i] for i in members], as_sets(np.stack(shingles)), prints, max(need, 1), sum(map(len, groups.values()))))
         self.vocabulary = {k: np.unique(np.concatenate(v)) for k, v in vocabulary.items()}
         self.screens = {k: self._screen(v) for k, v in self.vocabulary.items()}
 
@@ -204,8 +214,9 @@ class BenchmarkIndex:
             at = starts[part : part + step]
             spread = shingles[at[:, None] + np.arange(m)]
             q, item = items.within(H.majority_bits(spread.ravel(), np.arange(len(at) + 1) * m), radius)
-            own_sets = as_sets(spread)
-            score = np.concatenate([np.empty(0), *(similarities(own_sets[q[i : i + step]], items.shingles[item[i : i + step]]) for i in range(0, len(q), step))])
+            some, which = np.unique(q, return_inverse=True)
+            own_sets = as_sets(spread[some])
+            score = np.concatenate([np.empty(0), *(similarities(own_sets[which[i : i + step]], items.shingles[item[i : i + step]]) for i in range(0, len(q), step))])
             good = score >= self.threshold
             for start, name, value in zip(at[q[good]].tolist(), item[good].tolist(), score[good].tolist(), strict=True):
                 row = int(own[start])
