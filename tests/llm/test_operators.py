@@ -713,3 +713,174 @@ def test_weighted_similarity(pairs):
     for got, (x, y) in zip(decontamination.similarities(a, b), pairs, strict=True):
         common = (Counter(x) & Counter(y)).total()
         assert got == common / (12 - common)
+
+
+# ---- names, frequent keys, whole plans ---------------------------------------------------------
+
+ODD = ("__id", "__copies", "__key", "__n", "a.b", "host", "row", "n", "copies", "times", "own_id", "bits", "segment", "decision", "salt", "x`y")
+
+
+def with_odd_names(docs):
+    return docs.select("*", *(F.lit(name).alias(name) for name in ODD if name not in docs.columns))
+
+
+@pytest.mark.parametrize("operator", ["mixed", "keep_one", "decontaminate", "drop_toxic", "judge"])
+def test_no_name_clashes(spark, operator):
+    docs = with_odd_names(table(spark, ["a b c", "a b c", "other words here", None, ""], [1, 2, None, 4, 4]))
+    bench = spark.createDataFrame([(1, "other words here")], "item_id long, text string")
+    if operator == "judge":
+        pages = with_odd_names(spark.createDataFrame([(1, "http://a.example.com/x", 5), (2, None, 5)], "page_id long, url string, fetch_day int"))
+        entries = spark.createDataFrame([("example.com", "block", 1)], "rule string, action string, day int")
+        got = url_filters.judge(pages, entries)
+        assert got.columns == [*pages.columns, "host_", "decision_", "matched_rule", "listed_since"]
+        assert {r["page_id"]: (r["decision_"], r["host_"], r["a.b"]) for r in got.collect()} == {1: ("block", "a.example.com", "a.b"), 2: ("keep", None, "a.b")}
+        return
+    got = {
+        "mixed": lambda: mixing.mixed(docs), "keep_one": lambda: near_dedup.keep_one(docs), "decontaminate": lambda: decontamination.decontaminate(docs, bench),
+        "drop_toxic": lambda: toxicity.drop_toxic(docs, toxicity.fit([], np.array([]))),
+    }[operator]()
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all(r[name] == (r["bits"] if name == "bits" else name) for r in rows for name in ODD)
+    if operator == "keep_one":
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, 1), (False, 4), (True, 0)]
+
+
+def test_frequent_fingerprints_and_probes(spark, monkeypatch):
+    """Copies that make most of the rows, looked up in place, next to rare ones that are dealt."""
+    texts = ["the very same words in every copy"] * 60 + [f"w{i} x{i} y{i} z{i}" for i in range(40)]
+    for part in (1024, 3, 10**9):
+        monkeypatch.setattr(near_dedup, "FREQUENT", part)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+        assert len(got) == 100 and {got[i] for i in range(60)} == {0} and all(got[i] <= i for i in got)
+        monkeypatch.setattr(url_filters, "FREQUENT", part)
+        rows = [(i, "http://a.hot.example.com/x" if i % 3 else f"http://h{i}.example.com/", 10) for i in range(90)]
+        entries = [("example.com", "block", 1), ("example.com", "remove", 5), ("hot.example.com", "block", 7), ("a.hot.example.com/x", "allow", 11), *[(f"h{i}.example.com", "block", 10) for i in range(0, 90, 6)]]
+        answers = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, fetch_day int"), spark.createDataFrame(entries, "rule string, action string, day int"))
+        said = {r.page_id: (r.decision, r.matched_rule) for r in answers.collect()}
+        assert said == {i: ("block", "hot.example.com") if i % 3 else ("block", f"h{i}.example.com") if i % 6 == 0 else ("keep", None) for i in range(90)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=40), st.sampled_from([0.5, 1.5, 1.9, 2.5]))
+def test_targets_by_rounds(sizes, epochs):
+    """Targets by repeated sharing: what full sources cannot take goes to the others until none is above."""
+    weights, most = mixing.WEIGHTS, 2.0
+    want, free = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n]
+    left = epochs * sum(sizes)
+    while free:
+        share = left / sum(weights[i % 3] for i in free)
+        over = [i for i in free if share * weights[i % 3] >= most * sizes[i]]
+        for i in over or free:
+            want[i] = most * sizes[i] if over else share * weights[i % 3]
+        if not over:
+            break
+        left -= sum(want[i] for i in over)
+        free = [i for i in free if i not in over]
+    assert mixing.targets(sizes, epochs=epochs) == pytest.approx(want)
+    if len(sizes) > 0:
+        assert sum(want) == pytest.approx(min(epochs, most) * sum(sizes))
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """Plans made on the driver and as a table are the same."""
+    rng = random.Random(4)
+    names = [None, "é", "z", "A", "a", *(f"s{i}" for i in range(40)), "\U0001f600"]
+    rows = [(n, rng.choice([0, 3, 50, 900]), 1) for n in names]
+    per = spark.createDataFrame(rows, "source string, source_size long, rows long").repartition(5)
+    listed = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    want = {r[0]: (i, aim) for i, (r, aim) in enumerate(zip(listed, mixing.targets([r[1] for r in listed]), strict=True))}
+    assert {r.source: (r.place, r.target) for r in mixing.target_table(per).collect()} == want
+    docs = table(spark, [" ".join(["w"] * rng.randint(0, 40)) for _ in range(60)])
+    one = sorted(tuple(r) for r in mixing.mix(docs).select("doc_id", "target", "taken").collect())
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 0)
+    assert sorted(tuple(r) for r in mixing.mix(docs).select("doc_id", "target", "taken").collect()) == one
+
+
+def test_whole_mix(spark):
+    """Every document's copies, by pivotal steps over each source's documents from the largest on, one pair at a time."""
+    rng = random.Random(8)
+    docs = table(spark, [" ".join(["w"] * rng.choice([0, 2, 7, 31, 90])) for _ in range(120)])
+    seed, got = 17, {r.doc_id: r for r in mixing.mix(docs, bucket_rows=10**6).collect()}
+    keyed = docs.select("doc_id", "source", F.size(F.split("text", " ")).alias("n"), F.xxhash64("text").alias("text_key"), "text").collect()
+    sources = sorted({r.source for r in keyed}, key=lambda s: (s is None, s or ""))
+    sizes = {r.doc_id: len((r.text or "").split()) for r in keyed}
+    totals = [sum(sizes[r.doc_id] for r in keyed if r.source == s) for s in sources]
+    for place, (source, total, aim) in enumerate(zip(sources, totals, mixing.targets(totals), strict=True)):
+        rate = aim / total
+        base, share = int(rate + 1e-9), max(0.0, rate - int(rate + 1e-9))
+        own = spark.createDataFrame([(r.doc_id, r.text_key) for r in keyed if r.source == source], "doc_id long, text_key long")
+        keys = {r.doc_id: r.k for r in own.select("doc_id", F.xxhash64("doc_id", "text_key", F.lit(place).cast("long"), F.lit(0).cast("long"), F.lit(seed)).alias("k")).collect()}
+        order = sorted(keys, key=lambda d: (sizes[d], keys[d]), reverse=True)
+        p = {d: share for d in order}
+        fixed, waiting = {}, None
+        for d in order:
+            if p[d] < mixing.TINY or p[d] > 1 - mixing.TINY:
+                fixed[d] = int(p[d] > 0.5)
+            elif sizes[d] == 0:
+                fixed[d] = int(mixing._uniform(keys[d] % 2**64, 0, seed) < p[d])
+            elif waiting is None:
+                waiting = d
+            else:
+                a, b = waiting, d
+                up, down = min((1 - p[a]) * sizes[a], p[b] * sizes[b]), min(p[a] * sizes[a], (1 - p[b]) * sizes[b])
+                move = up if mixing._uniform(keys[a] % 2**64, keys[b] % 2**64, seed) * (up + down) < down else -down
+                p[a], p[b] = p[a] + move / sizes[a], p[b] - move / sizes[b]
+                for x in (a, b):
+                    if p[x] < mixing.TINY or p[x] > 1 - mixing.TINY:
+                        fixed[x] = int(p[x] > 0.5)
+                waiting = next((x for x in (a, b) if x not in fixed), None)
+        if waiting is not None:  # the tree's only node draws with the seed of its depth
+            fixed[waiting] = int(mixing._uniform(keys[waiting] % 2**64, 0, seed + 1) < p[waiting])
+        assert {d: got[d].copies for d in order} == {d: base + fixed[d] for d in order}
+        assert abs(sum(got[d].taken for d in order) - aim) <= max(sizes[d] for d in order)
+
+
+def test_long_documents_train_too():
+    lines = ["Good sentences end with a stop and have some length.", "### ||| ###"]
+    texts = ["\n".join(lines[i % 2] for _ in range(900)) for i in range(20)]
+    words = T.cut_words(pa.array(texts))
+    read = quality.read_lines(words, words.hashes(), quality.repeats(words))
+    pieces, good = quality.in_pieces(read, np.array([1, 0] * 10))
+    assert np.diff(pieces.of_row).max() <= quality.PIECE_LINES and np.diff(pieces.of_row).sum() == 20 * 900 and len(good) == 20 * 5
+    chain = quality.fit_texts(texts, np.array([1, 0] * 10))
+    short = T.cut_words(pa.array(["Another sentence of some length ends here.\n### ||| ###"]))
+    assert quality.viterbi(chain, quality.read_lines(short, short.hashes(), quality.repeats(short))).tolist() == [True, False]
+
+
+def test_samples_are_bounded_and_one_text_an_id(spark):
+    docs = spark.createDataFrame([(i % 30, "z" * 50 + f" w{i}") for i in range(60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)] + [(3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    texts, toxic, share = toxicity.sample(docs, labels)
+    assert len(texts) == len(set(texts)) == len(toxic) and 0.3 < share < 0.7
+    few, _, _ = toxicity.sample(docs, labels, chars=200)
+    assert sum(map(len, few)) <= 200 and few
+    assert len(quality.sample(docs, labels, chars=200)[0]) == len(few)
+
+
+def test_no_folder_is_made_up_on_a_cluster():
+    from weblode.llm import spark_io
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+        getConf = staticmethod(lambda: {})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        spark_io.shared_folder(type("Session", (), {"sparkContext": Context})())
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 1], [None, None, 2], [5, 5, None]])
+def test_equal_and_null_ids(spark, ids):
+    """Repeated ids, repeated rows and null ids: each row is answered."""
+    docs = table(spark, ["released under the mit license", "released under the mit license", "other"], ids)
+    model = toxicity.fit([], np.array([]))
+    bench = spark.createDataFrame([(7, "other"), (None, "the mit")], "item_id long, text string")
+    assert toxicity.score_texts(docs, model).count() == 3
+    assert quality.judge(docs, quality.fit_texts([], np.array([]))).count() == 3
+    assert sorted(r.licenses for r in license_scan.scan(docs).collect()) == ["", "MIT", "MIT"]
+    assert len(decontamination.matches(docs, bench).collect()) == 3
+    rows = sorted(token_output.encode_and_digest(docs).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(3)]
+    assert [r.doc_id for r in rows] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert sharding.shard_documents(docs).count() == 3

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weblode.llm import hamming as H, text as T
-from weblode.llm.spark_io import checkpointed
+from weblode.llm.spark_io import checkpointed, kept
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -267,16 +267,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMI
     """The documents without those that a benchmark item matches; all columns, whatever their names."""
 
     def clean_with(index: BenchmarkIndex):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in itertools.chain.from_iterable(T.slices(b, "text") for b in batches):
-                hit = {f[0] for f in index.search(batch.column("text"), radius)}
-                if hit:
-                    batch = batch.filter(pa.array([i not in hit for i in range(batch.num_rows)]))
-                yield batch
+        def keep(texts: pa.Array) -> np.ndarray:
+            clean = np.ones(len(texts), bool)
+            clean[[f[0] for f in index.search(texts, radius)]] = False
+            return clean
 
-        return run
+        return keep
 
     for ids, items, only in _parts(benchmark):
-        docs = docs.mapInArrow(clean_with(BenchmarkIndex(ids, items, threshold)), docs.schema)
+        docs = kept(docs, clean_with(BenchmarkIndex(ids, items, threshold)))
         docs = docs if only else checkpointed(docs)
     return docs

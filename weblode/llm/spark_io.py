@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weblode.llm import text as T
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,3 +52,16 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
 def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
     """The rows' own columns again, named as in `like`."""
     return rows.select(*(F.col("row")[name].alias(name) for name in like.columns))
+
+
+def kept(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text passes; `keep` gives a mask over a bounded run of texts. All columns, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            for part in T.slices(pa.RecordBatch.from_arrays([rows, rows.field("text")], ["row", "text"]), "text"):
+                yield pa.RecordBatch.from_arrays([part.column("row").filter(pa.array(keep(part.column("text"))))], ["row"])
+
+    rows = packed(docs)
+    return unpacked(rows.mapInArrow(run, rows.schema), docs)

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.llm import text as T
+from weblode.llm.spark_io import kept
 
 #: Labelled documents that the model is fitted on: at most so many of each label, and so many characters of
 #: them, by the order of a hash of the id.
@@ -311,13 +312,12 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold; all columns, whatever their names."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in itertools.chain.from_iterable(T.slices(b, "text") for b in batches):
-            words = plain_words(batch.column("text"))
-            x, _ = evidence_of(model, model.word_scores(*terms(words)), words.first)
-            yield batch.filter(pa.array(model.probability(x) < threshold))
+    def keep(texts: pa.Array) -> np.ndarray:
+        words = plain_words(texts)
+        x, _ = evidence_of(model, model.word_scores(*terms(words)), words.first)
+        return model.probability(x) < threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept(docs, keep)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
