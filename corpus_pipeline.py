@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns;
 the last returns where each document's ids stand in the token files. A stage works on
 all that the one before it kept, written as Parquet and read again.
+
+Defined results: a null, empty or blank text is clean, has fingerprint zero (so one such document
+stays), leaks nothing and has size 0, so the mix takes it as often as its source's rate says;
+a document with a null id is a document like any other and comes first in the token files;
+repeated rows are one group of copies, of which one stays; ties go to the smallest id, then
+to a hash of the row; columns of any other name, whatever it is, pass through to the last
+stage; an empty table gives an empty result, and so does one that a stage leaves empty.
 """
 
 from __future__ import annotations
