@@ -160,3 +160,17 @@ def test_category_twins_agree(spark):
     urls = ["wss://a", "ws:", "a.map", ".map", "data:x", "mailto:a", "intent://x", "https://b.s3.amazonaws.com/k", "http://x.internal/", "/API/x", "/v2/x", "a.js", ".js", "x/é.png", "http://", "https://e.com", "/about", ""]
     native = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.categorize_url(F.col("u")).alias("c")).collect()
     assert {r.u: r.c for r in native} == {u: U.category_of(u) for u in urls}
+
+
+def test_boxes():
+    assert cli.boxed("ab", ["long", "x"]) == ["┌──────┐", "│  ab  │", "├──────┤", "│ long │", "│ x    │", "└──────┘"]
+
+
+@pytest.mark.parametrize("text", ["<!--" * 30_000, "<!--" * 30_000 + ">", "<a " * 30_000, '<a href="' * 15_000, "<" * 60_000 + ">", "<script>" * 20_000, "</" * 30_000, "<?" * 30_000 + ">"])
+def test_hostile_pages_end(text):
+    import time
+
+    began = time.perf_counter()
+    parsers.html_rows(text)
+    assert time.perf_counter() - began < 10
+    assert [r["url"] for r in parsers.html_rows('<a href="/first">' + text)] == ["/first"]

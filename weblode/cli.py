@@ -78,11 +78,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         total = relational.totals(docs, results, rejected).first()
         shown = [("inputs processed", total["processed"]), ("URLs", total["urls"]), ("errors", total["errors"])]
         shown += [(r["category"], r["urls"]) for r in relational.summary_lines(results).orderBy("place").collect()]
-        for name, n in shown:
-            print(f"{name:20}{n:>10,}")
+        for line in boxed("Extraction complete", [f"{name:20}{n:>10,}" for name, n in shown]):
+            print(line)
     return 0
 
 
+def boxed(title: str, lines: list[str]) -> list[str]:
+    """Lines under a centred title, in a frame of the width they need."""
+    width = max(map(len, (title, *lines)))
+    rule = "─" * (width + 2)
+    return [f"┌{rule}┐", f"│ {title:^{width}} │", f"├{rule}┤", *(f"│ {line:{width}} │" for line in lines), f"└{rule}┘"]
+
+
 def _printed(results, options, parts):
     if options.csv:
         return sinks.as_csv(results).select(F.to_csv(F.struct(*sinks.CSV_COLUMNS)))

@@ -76,6 +76,19 @@ class _Pages(HTMLParser):
         self.scripts: list[dict] = []
         self.in_script = False
 
+    def goahead(self, end: bool) -> None:
+        self.no_comment_from: int | None = None
+        super().goahead(end)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """The end of a comment, -1 if it never ends; the rest of the text is searched for one end only once."""
+        if self.no_comment_from is not None and i >= self.no_comment_from:
+            return -1
+        end = super().parse_comment(i, report)
+        if end < 0:
+            self.no_comment_from = i
+        return end
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         line = self.getpos()[0]
         have = {k: v or "" for k, v in attrs}
@@ -116,7 +129,7 @@ class _Pages(HTMLParser):
 def page(text: str) -> _Pages:
     """A page read once: its `rows` and its inline `scripts`."""
     page = _Pages()
-    page.feed(text)
+    page.feed(text[: text.rfind(">") + 1])  # behind the last one nothing is whole
     page.close()
     return page
 
