@@ -11,7 +11,7 @@ checksums. For each id the coder mixes three predictions of ids:
 
 The weights of the mixture are learned, for each pair of confidences and for whether both orders agree. The id is coded
 as "what order 2 says", else "what order 1 says", else under order 0, all by one narrowing of a
-64-bit range with 36-bit frequencies, and a second one for new ids; 16-bit words leave at the
+64-bit range with 28-bit frequencies, and a second one for new ids; 32-bit words leave at the
 top, a carry runs back into the words written. Blocks are lanes of numpy vectors: one step codes
 the next id of each. Order 0's shares are refreshed in steps that grow with the block.
 
@@ -28,16 +28,23 @@ import numpy as np
 #: Ids of one block, and blocks coded at once.
 BLOCK_IDS = 2048
 LANES = 3072
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 _HEADER = struct.Struct("<4sIIII")  # magic, ids, words, checksum of both and the words, checksum of the ids
 _U = np.uint64
-_FLOOR = _U(1 << 48)
+_WORD, _FLOOR = _U(32), _U(1 << 32)
 _CONTEXT_BITS = 10
 _MIX1, _MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_I1, _FIVE, _SIXTEEN, _FULL, _MOST2, _MOST1 = (np.int32(x) for x in (1, 5, 16, 65535, 4090, 4094))
+_SIXTY_FOUR, _I4096, _FIFTEEN, _LOW = np.uint32(64), np.int32(4096), np.int32(15), np.int32(0x7FFF)
 _ONE, _THREE, _SEVEN, _SHIFT = np.uint32(1), np.uint32(3), np.uint32(7), np.uint32(32 - _CONTEXT_BITS)
+#: What a context without an entry says: no id, with confidence 0.
+_NOTHING = np.uint32(0xFFFFFFF8)
 _BOTH = 128  # pairs of confidences, apart and agreeing
+#: Bits of a narrowing, and of them of the mixture's shares.
+_BITS, _MIXED = 28, 12
 #: Shares of order 0 sum to this, and new ids never have less than the second.
-_TOTAL, _NEW = 1 << 14, 48
+_SHARES = 13
+_TOTAL, _NEW = 1 << _SHARES, 24
 #: Shares are refreshed at these steps, then at every multiple of the last.
 _EARLY = (8, 16, 32, 64, 128, 256, 512)
 
@@ -63,12 +70,13 @@ class _Model:
         lane = np.arange(lanes)
         self.lanes, self.lane = lanes, lane
         self.base = np.stack([lane, lane + lanes]) << _CONTEXT_BITS
-        self.follow = np.zeros(2 * lanes << _CONTEXT_BITS, np.uint32)  # id << 3 | confidence
+        self.follow = np.full(2 * lanes << _CONTEXT_BITS, _NOTHING)  # id << 3 | confidence
         sure = np.arange(_BOTH)
         start = np.array([0, 9000, 22000, 34000, 44000, 52000, 58000, 62000])
-        # Weights of order 2, and of order 1 where order 2 fails, in 1 / 65,536: two halves of one number.
-        first = (start[(sure >> 3) & 7] << 16) | start[sure & 7] // 2
-        self.weights, self.weight_base = np.tile(first.astype(np.int64), lanes), lane * _BOTH
+        # Weights of order 2, and of order 1 where order 2 fails, in 1 / 65,536; where both say the same order 1 has none.
+        self.weight2 = np.tile(start[(sure >> 3) & 7].astype(np.int32), lanes)
+        self.weight1 = np.tile(np.where(sure < 64, start[sure & 7] // 2, 0).astype(np.int32), lanes)
+        self.weight_base = lane * _BOTH
         self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         # Order 0: a row a lane, a column an id by first coming; the last column is for new ids.
         self.known = np.zeros(lanes, np.int64)
@@ -91,7 +99,7 @@ class _Model:
         np.subtract(stops, starts[:, :-1], out=self.widths[:, :-1])
         self.widths[:, -1] = np.int32(_TOTAL) - starts[:, -1]
         self.spans = (starts << 15 | self.widths).ravel()
-        self.row = self.lane * (self.columns + 1)
+        self.row, self.count_row = self.lane * (self.columns + 1), self.lane * self.columns
 
     def refresh(self, step: int) -> bool:
         """Takes new ids in and shares order 0 out again, at some steps; both sides do so at the same ones."""
@@ -123,6 +131,9 @@ class _Model:
         self._share(np.where(self.known > 0, np.clip(_TOTAL * missed // since, _NEW, most), _TOTAL))
         return True
 
+    def counted(self, lane: np.ndarray, column: np.ndarray) -> None:
+        self.counts.reshape(-1)[self.count_row.take(lane) + column] += 2
+
     def predict(self, n: int) -> None:
         """Predictions and mixture frequencies (of 4096) of the first n lanes."""
         h = np.empty((2, n), np.uint32)
@@ -133,20 +144,18 @@ class _Model:
         self.at = self.base[:, :n] + h
         self.entry = self.follow.take(self.at)
         self.sure, self.say = self.entry & _SEVEN, self.entry >> _THREE
-        self.agree = (self.say[0] == self.say[1]) & (self.sure[1] > 0)
-        self.slot = self.weight_base[:n] + ((self.sure[1] << _THREE) + self.sure[0] + self.agree * 64)
-        both = self.weights.take(self.slot)
-        self.w2, self.w1 = both >> 16, both & 0xFFFF
-        # No share where an order has nothing to say, or says what order 2 says.
-        self.f2 = ((self.w2 * 4090 >> 16) + 1) * (self.sure[1] > 0)
-        self.upto1 = self.f2 + ((self.w1 * (4094 - self.f2) >> 16) + 1) * ((self.sure[0] > 0) & ~self.agree)
+        pair = (self.sure[1] << _THREE) + self.sure[0]
+        pair += (self.say[0] == self.say[1]) * _SIXTY_FOUR
+        self.slot = self.weight_base[:n] + pair
+        self.w2, self.w1 = self.weight2.take(self.slot), self.weight1.take(self.slot)
+        self.f2 = (self.w2 * _MOST2 >> _SIXTEEN) + _I1
+        self.upto1 = (self.w1 * (_MOST1 - self.f2) >> _SIXTEEN) + self.f2 + _I1
 
     def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        w2 = self.w2 + ((is2 * 65535 - self.w2) >> 5)
-        w1 = self.w1 + (((is1 * 65535 - self.w1) >> 5) * ~(is2 | self.agree))
-        self.weights[self.slot] = w2 << 16 | w1
+        self.weight2[self.slot] = self.w2 + ((is2 * _FULL - self.w2) >> _FIVE)
+        self.weight1[self.slot] = self.w1 + ((is1 * _FULL - self.w1) >> _FIVE) * ~is2
         kept = np.where(self.sure > 2, self.entry - _THREE, (ids << _THREE) | _ONE)
-        self.follow[self.at] = np.where((self.say == ids) & (self.sure > 0), self.entry + (self.sure < 7), kept)
+        self.follow[self.at] = np.where(self.say == ids, self.entry + (self.sure < 7), kept)
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
 
@@ -158,7 +167,7 @@ def _slots(ids: np.ndarray, size: int) -> np.ndarray:
     place[own[::-1]] = np.arange(size - 1, -1, -1)
     first = place[own]
     rank = np.cumsum(first == np.arange(size)) - 1
-    out = np.zeros(len(ids), np.int64)
+    out = np.zeros(len(ids), np.int32)
     out[:size] = rank[first]
     return out
 
@@ -168,37 +177,35 @@ class _Writer:
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
-        self.row = steps * 5 // 2 + 16
-        self.out, self.end = np.zeros(lanes * self.row, np.uint16), np.arange(lanes) * self.row
+        self.row = 2 * steps + 8
+        self.out, self.end = np.zeros(lanes * self.row, np.uint32), np.arange(lanes) * self.row
 
     def _carry(self, lane: np.ndarray) -> None:
         place = self.end[lane] - 1
         while len(place):
-            self.out[place] += 1
+            self.out[place] += _ONE
             place = place[self.out[place] == 0] - 1
 
-    def emit(self, lane: np.ndarray, bits: np.ndarray) -> None:
+    def emit(self, lane: np.ndarray, low: np.ndarray) -> None:
         place = self.end.take(lane)
-        self.out[place] = bits >> _U(48)
+        self.out[place] = low >> _WORD
         self.end[lane] = place + 1
 
     def narrow(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        """Narrows the lanes' ranges to a part of 2^bits."""
+        """Narrows the lanes' ranges to a part of 2^bits; a range is never below 2^32, so one word at most is settled."""
         low, unit = self.low[lane], self.width[lane] >> _U(bits)
-        after = low + unit * start.view(np.uint64)
-        index = np.arange(len(low)) if isinstance(lane, slice) else lane
+        after = low + unit * start.astype(np.uint64)
+        index = None if isinstance(lane, slice) else lane
         over = np.flatnonzero(after < low)
         if len(over):
-            self._carry(index[over])
-        left = unit * size.view(np.uint64)
+            self._carry(over if index is None else index[over])
+        left = unit * size.astype(np.uint64)
         thin = np.flatnonzero(left < _FLOOR)
-        while len(thin):
+        if len(thin):
             top = after.take(thin)
-            self.emit(index[thin], top)
-            after[thin] = top << _U(16)
-            wide = left.take(thin) << _U(16)
-            left[thin] = wide
-            thin = thin[wide < _FLOOR]
+            self.emit(thin if index is None else index[thin], top)
+            after[thin] = top << _WORD
+            left[thin] = left.take(thin) << _WORD
         self.low[lane], self.width[lane] = after, left
 
 
@@ -206,39 +213,41 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Code words of each lane; sizes must not rise."""
     lanes, steps = ids.shape
     model, writer = _Model(lanes), _Writer(lanes, steps)
-    alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    slots = np.empty((steps, lanes), np.int64)
+    alive = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
+    slots = np.empty((steps, lanes), np.int32)
     for i in range(lanes):
         slots[:, i] = _slots(ids[i], int(sizes[i]))
     by_step = np.ascontiguousarray(ids.T)
-    for t in range(steps):
-        n = int(alive[t])
+    part, own = np.int32(_BITS - _MIXED), np.int32(_BITS - _MIXED - _SHARES)
+    for t, n in enumerate(alive):
         model.refresh(t)
         model.predict(n)
         x = by_step[t, :n]
-        is2 = (model.say[1] == x) & (model.sure[1] > 0)
-        is1 = (model.say[0] == x) & (model.sure[0] > 0) & ~is2
-        start = np.where(is2, 0, np.where(is1, model.f2, model.upto1)) << 24
-        size = np.where(is2, model.f2, model.upto1 - model.f2) << 24
+        is2 = model.say[1] == x
+        is1 = (model.say[0] == x) & ~is2
+        start = np.where(is1, model.f2, model.upto1)
+        start[is2] = 0
+        size = np.where(is2, model.f2, model.upto1 - model.f2)
+        start <<= part
+        size <<= part
         plain = np.flatnonzero(~(is2 | is1))
         slot = slots[t].take(plain)
         old = slot < model.known.take(plain)
-        span = model.spans.take(model.row.take(plain) + np.where(old, slot, model.columns)).astype(np.int64)
-        rest = 4096 - model.upto1.take(plain)
-        start[plain] += rest * (span >> 15) << 10
-        size[plain] = rest * (span & 0x7FFF) << 10
-        writer.narrow(slice(0, n), start, size, 36)
+        span = model.spans.take(model.row.take(plain) + np.where(old, slot, model.columns))
+        rest = (_I4096 - model.upto1.take(plain)) << own
+        start[plain] += rest * (span >> _FIFTEEN)
+        size[plain] = rest * (span & _LOW)
+        writer.narrow(slice(0, n), start, size, _BITS)
         new = plain[~old]
         if len(new):
-            own = x.take(new)
-            writer.narrow(new, _FIRST.take(own), _FIRST.take(own + _ONE) - _FIRST.take(own), 22)
-            model.fresh.append((new, own.astype(np.int64)))
-        seen = plain[old]
-        model.counts[seen, slot[old]] += 2
+            fresh = x.take(new)
+            writer.narrow(new, _FIRST.take(fresh), _FIRST.take(fresh + _ONE) - _FIRST.take(fresh), 22)
+            model.fresh.append((new, fresh.astype(np.int64)))
+        model.counted(plain[old], slot[old])
         model.learn(n, x, is2, is1)
     every = np.arange(lanes)
-    for i in range(4):
-        writer.emit(every, writer.low << _U(16 * i))
+    for i in range(2):
+        writer.emit(every, writer.low << _U(32 * i))
     return [writer.out[i * writer.row : writer.end[i]] for i in range(lanes)]
 
 
@@ -246,35 +255,30 @@ class _Reader:
     """The code words of all lanes, and where in their ranges they point."""
 
     def __init__(self, words: list[np.ndarray]):
-        lanes, row = len(words), max(map(len, words)) + 8
-        data = np.zeros((lanes, row), np.uint16)
+        lanes, row = len(words), max(map(len, words)) + 4
+        data = np.zeros((lanes, row), np.uint32)
         for i, w in enumerate(words):
             data[i, : len(w)] = w
-        self.code = np.zeros(lanes, np.uint64)
-        for i in range(4):
-            self.code = (self.code << _U(16)) | data[:, i]
+        self.code = (data[:, 0].astype(np.uint64) << _WORD) | data[:, 1]
         self.last = np.arange(1, lanes + 1) * row - 1
-        self.data, self.at = data.ravel(), np.arange(lanes) * row + 4
+        self.data, self.at = data.ravel(), np.arange(lanes) * row + 2
         self.width = np.full(lanes, ~_U(0))
 
     def point(self, lane: np.ndarray | slice, bits: int) -> np.ndarray:
         """Where the lanes point, of 2^bits."""
         self.unit = self.width[lane] >> _U(bits)
-        return np.minimum(self.code[lane] // self.unit, _U((1 << bits) - 1)).view(np.int64)
+        return np.minimum(self.code[lane] // self.unit, _U((1 << bits) - 1)).astype(np.int32)
 
     def narrow(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        ahead = self.code[lane] - self.unit * start.view(np.uint64)
-        left = self.unit * size.view(np.uint64)
-        index = np.arange(len(ahead)) if isinstance(lane, slice) else lane
+        ahead = self.code[lane] - self.unit * start.astype(np.uint64)
+        left = self.unit * size.astype(np.uint64)
         thin = np.flatnonzero(left < _FLOOR)
-        while len(thin):
-            own = index[thin]
+        if len(thin):
+            own = thin if isinstance(lane, slice) else lane[thin]
             place = self.at.take(own)
-            ahead[thin] = (ahead.take(thin) << _U(16)) | self.data.take(np.minimum(place, self.last.take(own)))
+            ahead[thin] = (ahead.take(thin) << _WORD) | self.data.take(np.minimum(place, self.last.take(own)))
             self.at[own] = place + 1
-            wide = left.take(thin) << _U(16)
-            left[thin] = wide
-            thin = thin[wide < _FLOOR]
+            left[thin] = left.take(thin) << _WORD
         self.code[lane], self.width[lane] = ahead, left
 
 
@@ -282,38 +286,41 @@ def _decode_lanes(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     lanes, steps = len(words), int(sizes.max(initial=0))
     model, reader = _Model(lanes), _Reader(words)
     ids = np.zeros((steps, lanes), np.uint32)
-    alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    find, find_row = np.zeros(0, np.uint16), np.arange(lanes) << 14
-    for t in range(steps):
-        n = int(alive[t])
+    alive = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
+    find, find_row = np.zeros(0, np.uint16), np.arange(lanes) << _SHARES
+    part, own = np.int32(_BITS - _MIXED), np.int32(_BITS - _MIXED - _SHARES)
+    for t, n in enumerate(alive):
         if model.refresh(t) or t == 0:
             find = np.repeat(np.tile(np.arange(model.columns + 1, dtype=np.uint16), lanes), model.widths.ravel())
         model.predict(n)
-        value = reader.point(slice(0, n), 36)
-        part = value >> 24
-        is2, other = part < model.f2, part >= model.upto1
+        value = reader.point(slice(0, n), _BITS)
+        mixed = value >> part
+        is2, other = mixed < model.f2, mixed >= model.upto1
         is1 = ~(is2 | other)
-        start = np.where(is2, 0, np.where(other, model.upto1, model.f2)) << 24
-        size = np.where(is2, model.f2, model.upto1 - model.f2) << 24
+        start = np.where(is1, model.f2, model.upto1)
+        start[is2] = 0
+        size = np.where(is2, model.f2, model.upto1 - model.f2)
+        start <<= part
+        size <<= part
         x = np.where(is2, model.say[1], model.say[0])
         plain = np.flatnonzero(other)
-        rest = 4096 - model.upto1.take(plain)
-        inner = (value.take(plain) - start.take(plain)) // (rest << 10)
-        slot = find.take(find_row.take(plain) + np.minimum(inner, _TOTAL - 1)).astype(np.int64)
-        span = model.spans.take(model.row.take(plain) + slot).astype(np.int64)
-        start[plain] += rest * (span >> 15) << 10
-        size[plain] = rest * (span & 0x7FFF) << 10
+        rest = (_I4096 - model.upto1.take(plain)) << own
+        inner = (value.take(plain) - start.take(plain)) // rest
+        slot = find.take(find_row.take(plain) + np.minimum(inner, _TOTAL - 1)).astype(np.int32)
+        span = model.spans.take(model.row.take(plain) + slot)
+        start[plain] += rest * (span >> _FIFTEEN)
+        size[plain] = rest * (span & _LOW)
         reader.narrow(slice(0, n), start, size)
         old = slot < model.columns
         seen, at = plain[old], slot[old]
         x[seen] = model.ids[seen, at]
-        model.counts[seen, at] += 2
+        model.counted(seen, at)
         new = plain[~old]
         if len(new):
-            own = np.searchsorted(_FIRST, np.minimum(reader.point(new, 22), _LAST - 1), side="right") - 1
-            reader.narrow(new, _FIRST.take(own), _FIRST.take(own + 1) - _FIRST.take(own))
-            x[new] = own.astype(np.uint32)
-            model.fresh.append((new, own))
+            fresh = np.searchsorted(_FIRST, np.minimum(reader.point(new, 22), _LAST - 1), side="right") - 1
+            reader.narrow(new, _FIRST.take(fresh), _FIRST.take(fresh + 1) - _FIRST.take(fresh))
+            x[new] = fresh.astype(np.uint32)
+            model.fresh.append((new, fresh))
         ids[t, :n] = x
         model.learn(n, x, is2, is1)
     return np.ascontiguousarray(ids.T)
@@ -332,7 +339,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 raise ValueError("ids must be below 65,536")
             ids[row, : len(blocks[i])] = blocks[i]
         for row, (i, words) in enumerate(zip(part, _encode_lanes(ids, sizes), strict=True)):
-            raw, size = words.astype("<u2").tobytes(), int(sizes[row])
+            raw, size = words.astype("<u4").tobytes(), int(sizes[row])
             own = zlib.crc32(ids[row, :size].astype("<u4").tobytes())
             done[i] = _HEADER.pack(MAGIC, size, len(words), zlib.crc32(raw, zlib.crc32(struct.pack("<II", size, own))), own) + raw
     return done
@@ -345,7 +352,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         if len(p) < _HEADER.size or p[:4] != MAGIC:
             raise DamagedBlock("not a block")
         _, size, n_words, check, own = _HEADER.unpack_from(p)
-        if len(p) != _HEADER.size + 2 * n_words or zlib.crc32(memoryview(p)[_HEADER.size :], zlib.crc32(struct.pack("<II", size, own))) != check:
+        if len(p) != _HEADER.size + 4 * n_words or zlib.crc32(memoryview(p)[_HEADER.size :], zlib.crc32(struct.pack("<II", size, own))) != check:
             raise DamagedBlock("not a whole block")
         heads.append((size, own))
     done: list[np.ndarray | None] = [None] * len(payloads)
@@ -353,7 +360,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     for at in range(0, len(order), LANES):
         part = order[at : at + LANES]
         sizes = np.array([heads[i][0] for i in part])
-        ids = _decode_lanes([np.frombuffer(payloads[i], "<u2", offset=_HEADER.size) for i in part], sizes)
+        ids = _decode_lanes([np.frombuffer(payloads[i], "<u4", offset=_HEADER.size) for i in part], sizes)
         for row, i in enumerate(part):
             own = ids[row, : sizes[row]]
             if zlib.crc32(own.astype("<u4").tobytes()) != heads[i][1]:

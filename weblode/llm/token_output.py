@@ -42,7 +42,7 @@ from weblode.llm.spark_io import checkpointed, shared_folder
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 #: Text bytes tokenized at once: word arrays take some twenty bytes for each.
 SLICE_BYTES = 1 << 20
 BLOCKS = (
@@ -62,6 +62,10 @@ _SAMPLES = ("The", "river", "ABC", "Xylophone", "tokenization", "ÉTÉ")
 _LETTERS = regex.compile(r"\p{L}+")
 
 
+def _letters(text: str) -> bool:
+    return bool(_LETTERS.fullmatch(text)) and unicodedata.is_normalized("NFC", text)
+
+
 def cut_pieces(column: pa.Array, folds: bool = True) -> T.Words:
     """Words, those of the form letters + punctuation cut in two; ASCII in lower case if the tokenizer has it so.
 
@@ -99,7 +103,7 @@ class WordTokenizer:
     def _clear(self, pieces: int = 0) -> None:
         """Forgets all pieces and makes room for `cache_words`, or for as many as are to come at once."""
         # An open hash table: slot of a piece by its hash (never 0), then where its ids begin and how many they are.
-        places = 4 << (max(self.cache_words, pieces) - 1).bit_length()
+        places = 2 << (max(self.cache_words, pieces) - 1).bit_length()
         self.keys, self.slots = np.zeros(places, np.uint64), np.zeros(places, np.int32)
         self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
@@ -132,27 +136,27 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of single words, by one call on all of them: each ends with the word's last token."""
-        runs = [" ".join(texts[i : i + 4096]) for i in range(0, len(texts), 4096)]
+        runs = [b" ".join(spans[i : i + 4096]).decode() for i in range(0, len(spans), 4096)]
         ids = np.array([i for x in self._encode(runs) for i in x], np.uint32)
         last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(texts):  # a tokenizer that cuts these words further, or does not mark their ends
-            lists = self._encode(texts)
+        if len(last) != len(spans):  # a tokenizer that cuts these words further, or does not mark their ends
+            lists = self._encode([w.decode() for w in spans])
             return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
         return ids, np.diff(last, prepend=-1)
 
     def _learn(self, new: np.ndarray, spans: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in spans]
-        plain = np.array([bool(_LETTERS.fullmatch(t)) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts], bool)
-        ids, sizes = self._encode_words([t for t, p in zip(texts, plain, strict=True) if p]) if plain.any() else (np.empty(0, np.uint32), np.empty(0, np.int64))
-        rest = self._encode([t for t, p in zip(texts, plain, strict=True) if not p])
-        size = np.zeros(len(texts), np.int64)
+        # Words of letters alone go in runs; ASCII ones show it in their bytes, others need a look.
+        plain = np.array([w.isalpha() if w.isascii() else _letters(w.decode("utf-8", "replace")) for w in spans], bool)
+        ids, sizes = self._encode_words(list(itertools.compress(spans, plain.tolist()))) if plain.any() else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        rest = self._encode([w.decode("utf-8", "replace") for w in itertools.compress(spans, (~plain).tolist())])
+        size = np.zeros(len(spans), np.int64)
         size[plain] = sizes
         size[~plain] = [len(x) for x in rest]
         ids = np.concatenate([ids, np.array([i for x in rest for i in x], np.uint32)])
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        at = np.empty(len(texts), np.int64)
+        at = np.empty(len(spans), np.int64)
         at[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
         self._insert(new)
         self.ids = np.concatenate([self.ids, ids])
@@ -253,7 +257,9 @@ def _file_rows(path: str, end_id: int):
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Writes the documents' ids, in ascending doc_id, to a table of blocks in a folder that all executors share."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    dealt = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    # The row's place in its split is the last key, so that rows equal in everything are not one task's.
+    texts = texts.withColumn("place", F.monotonically_increasing_id())
+    dealt = texts.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").drop("tie", "place")
     dealt.mapInArrow(_file_rows(tokenizer_path, end_id), BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
 
