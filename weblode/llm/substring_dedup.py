@@ -53,7 +53,7 @@ SPANS = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans ar
 _ANCHORS = "hash_range int, bucket int, anchors binary"
 _TOLD = "bucket int, anchors binary"
 _CANDIDATES = "hash_range int, bucket int, keys binary, tails binary"
-_ASKED = "bucket int, asker int, keys binary"
+_ASKED = "bucket int, askers binary, keys binary"
 _PASSAGES = "bucket int, passages array<binary>"
 
 
@@ -84,7 +84,9 @@ def windows(words: T.Words, width: int) -> Windows:
     h = words.hashes()
     phrase = width - width // 2
     tails = (T.shingle_hashes(T.mix64(h ^ np.uint64(0x5441494C)), width) >> np.uint64(32)).astype(np.uint32)
-    return Windows(starts, T.shingle_hashes(h, width)[starts], tails[starts], _least(T.shingle_hashes(h, phrase), width // 2 + 1)[starts])
+    # Least hashes are small ones; mixed again they spread over all ranges.
+    anchors = T.mix64(_least(T.shingle_hashes(h, phrase), width // 2 + 1)[starts])
+    return Windows(starts, T.shingle_hashes(h, width)[starts], tails[starts], anchors)
 
 
 def _ranges(values: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
@@ -169,11 +171,11 @@ def _pair(group: pa.Table) -> pa.Table:
     same[1:-1] = (keys[1:] == keys[:-1]) & (tails[1:] == tails[:-1])
     asks = np.flatnonzero(same[:-1] | same[1:])
     asked = np.where(same[asks], asks - 1, asks + 1)
-    giver, asker = own[asked], own[asks]
-    order = np.lexsort((keys[asks], asker, giver))
+    giver, asker = own[asked], own[asks].astype(np.int32)
+    order = np.lexsort((asker, giver))
     giver, asker, keys = giver[order], asker[order], keys[asks][order]
-    cuts = np.flatnonzero(np.r_[True, (giver[1:] != giver[:-1]) | (asker[1:] != asker[:-1]), True]) if len(keys) else np.zeros(1, int)
-    return _table([(int(giver[a]), int(asker[a]), keys[a:b].tobytes()) for a, b in itertools.pairwise(cuts.tolist())], _ASKED)
+    cuts = np.flatnonzero(np.r_[True, giver[1:] != giver[:-1], True]) if len(keys) else np.zeros(1, int)
+    return _table([(int(giver[a]), asker[a:b].tobytes(), keys[a:b].tobytes()) for a, b in itertools.pairwise(cuts.tolist())], _ASKED)
 
 
 def _answer(width: int):
@@ -183,18 +185,18 @@ def _answer(width: int):
         words = T.cut_words(docs.column("text"))
         own = windows(words, width)
         keys, first = np.unique(own.keys, return_index=True)
-        by_asker: dict[int, list[bytes]] = {}
-        for asker, blob in zip(asked.column("asker").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            by_asker.setdefault(asker, []).append(blob)
+        askers, wanted = _joined(asked.column("askers"), np.int32), _joined(asked.column("keys"))
+        place = own.starts[first[np.searchsorted(keys, wanted)]]
+        order = np.lexsort((place, askers))
+        askers, place = askers[order], place[order]
+        cuts = np.flatnonzero(np.r_[True, askers[1:] != askers[:-1], True])
         raw, rows = words.data.tobytes(), []
-        for asker, blobs in by_asker.items():
-            wanted = np.frombuffer(b"".join(blobs), np.uint64)
-            place = np.searchsorted(keys, wanted)
-            starts = np.unique(own.starts[first[place]])
+        for low, high in itertools.pairwise(cuts.tolist()):
+            starts = np.unique(place[low:high])
             # Windows of neighbouring texts never touch: the last width - 1 words of a text start none.
             cut = np.flatnonzero(np.diff(starts) != 1)
             begin, end = words.starts[starts[np.r_[0, cut + 1]]], words.ends[starts[np.r_[cut, len(starts) - 1]] + width - 1]
-            rows.append((asker, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]))
+            rows.append((int(askers[low]), [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]))
         return _table(rows, _PASSAGES)
 
     return answer
