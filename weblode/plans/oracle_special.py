@@ -83,7 +83,7 @@ def special_sql(documents: Callable[[int], str], text_urls: Callable[[str], str]
             12,
             part(r"(?i)((?:https?(?:%3A|:)(?:%2F|/){2}|%2F)[^\s\"'`<>]*%[0-9A-F]{2}[^\s\"'`<>]*)", f"rtrim({percent.format('g1')}, {_CLEAN})", "medium"),
             *(part(p, f"rtrim({_unescaped('g0')}, {_CLEAN})", "medium", where="strlen(u) >= 3", groups=0) for p in (r"(?:\\u[0-9A-Fa-f]{4}){3,}", r"(?:\\x[0-9A-Fa-f]{2}){3,}", r"(?:&#[0-9]+;){3,}")),
-            part(r"[\"'`]([^\"'`]*(?:%2[Ff]|\\u002[Ff]|\\x2[Ff]|&#47;)[^\"'`]*)[\"'`]", mixed, "medium", where="strlen(u) >= 3"),
+            part(r"[\"'`]([^\"'`]*(?:%2[Ff]|\\u002[Ff]|\\x2[Ff]|&#47;)[^\"'`]*)[\"'`]", mixed, "medium", where="strlen(u) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id, u ORDER BY line) = 1"),
         ),
         15: rows(15, part(
             r"\bfetch\s*\([\"']([^\"']+)[\"'](?:, \{method: '([A-Z]+)', body: JSON\.stringify\(\{([^}]*)\}\)\})?\)", "g1", "high",
