@@ -590,6 +590,39 @@ def test_coder_learns(texts):
     assert all((a == b).all() for a, b in zip(blocks, R.decode_blocks(coded), strict=True))
 
 
+def test_a_task_is_one_batch(monkeypatch):
+    """A task's blocks (about 3,100 at 0.5 GB) are coded and decoded in one run of steps, in order, whatever their sizes and ids."""
+    rng = np.random.default_rng(8)
+    sizes = [*rng.integers(0, 12, 3400), 700, R.BLOCK_IDS, R.BLOCK_IDS, R.BLOCK_IDS]
+    blocks = [rng.integers(0, 1 << 16, n).astype(np.uint32) for n in sizes]
+    blocks[-1] = np.arange(R.BLOCK_IDS, dtype=np.uint32) + 60_000  # an id comes once: order 0 has a row for each
+    blocks[-2] = np.repeat(np.uint32(65_535), R.BLOCK_IDS)
+    runs = []
+    made = R._Model.__init__
+    monkeypatch.setattr(R._Model, "__init__", lambda self, lanes: (runs.append(lanes), made(self, lanes))[1])
+    back = R.decode_blocks(R.encode_blocks(blocks))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back, strict=True))
+    assert runs == [len(blocks), len(blocks)]
+
+
+def test_pieces_are_the_words_cut_before_punctuation():
+    marks = set("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+    column = pa.array(["Don't, stop-it.", None, "", ",a a, b;c,d é, x1, <|A|>", "  (w) Ab,\n"])
+    for some in (column, column.slice(4)):
+        pieces = token_output.cut_pieces(some)
+        raw = pieces.data.tobytes()
+        got = [[raw[a:b].decode() for a, b in zip(pieces.starts[i:j], pieces.ends[i:j], strict=True)] for i, j in itertools.pairwise(pieces.first.tolist())]
+        fold = str.lower if len(some) == 1 else str
+        want = []
+        for text in some.to_pylist():
+            want.append([])
+            for word in (text or "").split():
+                at = next((i for i, c in enumerate(word) if c.isascii() and not c.isalpha()), len(word))
+                cut = 0 < at < len(word) and word[at - 1].isascii() and word[at] in marks
+                want[-1] += [fold(word[:at]), fold(word[at:])] if cut else [fold(word)]
+        assert got == want
+
+
 def covered_by_repeats(texts, width):
     """The words of each text that a window covers whose words start anywhere else too."""
     words = [t.split() for t in texts]

@@ -9,17 +9,22 @@ checksums. For each id the coder mixes three predictions of ids:
   first coming, with a share for ids that are new to it; those follow a fixed law that falls
   with the id, as public vocabularies number their tokens by rank.
 
-The weights of the mixture are learned, for each pair of confidences and for whether both orders agree. The id is coded
+The weights of the mixture are learned, for each pair of confidences and for whether both orders agree: how often
+order 2 is right, and how often one of both is. The id is coded
 as "what order 2 says", else "what order 1 says", else under order 0, all by one narrowing of a
 64-bit range with 28-bit frequencies, and a second one for new ids; 32-bit words leave at the
 top, a carry runs back into the words written. Blocks are lanes of numpy vectors: one step codes
 the next id of each. Order 0's shares are refreshed in steps that grow with the block.
 
+Tables have a row for each entry and a column for each lane: what all lanes use often lies together.
+Steps work on all lanes and mask what does not apply, which costs less than picking lanes.
+
 Encoder and decoder share the model's code, so they cannot drift apart.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -27,303 +32,372 @@ import numpy as np
 
 #: Ids of one block, and blocks coded at once.
 BLOCK_IDS = 2048
-LANES = 3072
-MAGIC = b"CMR3"
+LANES = 4096
+MAGIC = b"CMR4"
 _HEADER = struct.Struct("<4sIIII")  # magic, ids, words, checksum of both and the words, checksum of the ids
 _U = np.uint64
 _WORD, _FLOOR = _U(32), _U(1 << 32)
-_CONTEXT_BITS = 10
-_MIX1, _MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_I1, _FIVE, _SIXTEEN, _FULL, _MOST2, _MOST1 = (np.int32(x) for x in (1, 5, 16, 65535, 4090, 4094))
-_SIXTY_FOUR, _I4096, _FIFTEEN, _LOW = np.uint32(64), np.int32(4096), np.int32(15), np.int32(0x7FFF)
-_ONE, _THREE, _SEVEN, _SHIFT = np.uint32(1), np.uint32(3), np.uint32(7), np.uint32(32 - _CONTEXT_BITS)
+_CONTEXTS = 1 << 10
+_MIX1, _MIX2, _SHIFT = 0x9E3779B1, 0x85EBCA6B, 32 - 10
 #: What a context without an entry says: no id, with confidence 0.
-_NOTHING = np.uint32(0xFFFFFFF8)
+_NOTHING = 0xFFFFFFF8
 _BOTH = 128  # pairs of confidences, apart and agreeing
+#: A weight's most, of 65,536: it leaves shares for the orders below.
+_FULL = 65_400
 #: Bits of a narrowing, and of them of the mixture's shares.
 _BITS, _MIXED = 28, 12
 #: Shares of order 0 sum to this, and new ids never have less than the second.
-_SHARES = 13
-_TOTAL, _NEW = 1 << _SHARES, 24
+_SHARES = 12
+_TOTAL, _NEW = 1 << _SHARES, 12
+_PART, _OWN = _BITS - _MIXED, _BITS - _MIXED - _SHARES
 #: Shares are refreshed at these steps, then at every multiple of the last.
 _EARLY = (8, 16, 32, 64, 128, 256, 512)
+#: Bits of the law of new ids, and lanes that are transposed at once.
+_LAW, _TILE = 22, 32
 
 
 def _law() -> np.ndarray:
     """Where each id's part of a new id's range starts, of 2^22; ids are the likelier the lower they are."""
     weight = 1.0 / (np.arange(1 << 16) + 400.0)
-    return np.concatenate(([0], np.cumsum(np.floor(weight / weight.sum() * ((1 << 22) - (1 << 16))).astype(np.int64) + 1)))
+    return np.concatenate(([0], np.cumsum(np.floor(weight / weight.sum() * ((1 << _LAW) - (1 << 16))).astype(np.int64) + 1)))
 
 
-_FIRST = _law()
+_FIRST = _law().astype(np.uint32)
+_WIDTH = np.diff(_FIRST)
 _LAST = int(_FIRST[-1])
 
 
+@functools.cache
+def _ids_by_law() -> np.ndarray:
+    """The id of every point of the law."""
+    return np.repeat(np.arange(1 << 16, dtype=np.uint16), _WIDTH)
+
+
 class DamagedBlock(ValueError):
     """A block whose bytes do not decode to the ids that its checksums were taken of."""
 
 
 class _Model:
-    """Model state of all lanes; row 0 of paired arrays is order 1, row 1 is order 2."""
+    """Model state of all lanes; row 0 of paired arrays is order 2, row 1 is order 1."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.lanes, self.lane = lanes, lane
-        self.base = np.stack([lane, lane + lanes]) << _CONTEXT_BITS
-        self.follow = np.full(2 * lanes << _CONTEXT_BITS, _NOTHING)  # id << 3 | confidence
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.lane32 = self.lane.astype(np.uint32)
+        two = np.arange(2, dtype=np.uint32)[:, None]
+        self.base = self.lane32 + two * np.uint32(_CONTEXTS * lanes)
+        self.follow = np.full(2 * _CONTEXTS * lanes, _NOTHING, np.uint32)  # id << 3 | confidence
         sure = np.arange(_BOTH)
         start = np.array([0, 9000, 22000, 34000, 44000, 52000, 58000, 62000])
-        # Weights of order 2, and of order 1 where order 2 fails, in 1 / 65,536; where both say the same order 1 has none.
-        self.weight2 = np.tile(start[(sure >> 3) & 7].astype(np.int32), lanes)
-        self.weight1 = np.tile(np.where(sure < 64, start[sure & 7] // 2, 0).astype(np.int32), lanes)
-        self.weight_base = lane * _BOTH
+        # Weights of order 2, and of either order, in 1 / 65,536; where both say the same they are one.
+        own = start[(sure >> 3) & 7]
+        either = own + np.where(sure < 64, start[sure & 7] * (_FULL - own) // (2 * _FULL), 0)
+        self.weights = np.repeat(np.concatenate([own, either]).astype(np.int32), lanes)
+        self.weight_base = self.lane32 + two * np.uint32(_BOTH * lanes)
+        self.least = two.astype(np.int32) + np.int32(1)
         self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        # Order 0: a row a lane, a column an id by first coming; the last column is for new ids.
-        self.known = np.zeros(lanes, np.int64)
-        self.columns = 256
-        self.ids = np.zeros((lanes, self.columns), np.uint32)
-        self.counts = np.zeros((lanes, self.columns), np.uint16)
+        # Order 0: a row an id by first coming, a column a lane; the row after a lane's last id is for new ids.
+        self.known = np.zeros(lanes, np.uint32)
+        self.ids, self.counts = np.zeros((256, lanes), np.uint16), np.zeros((256, lanes), np.uint16)
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []  # lanes and new ids, step by step
-        self._share(np.full(lanes, _TOTAL))
+        # Order 0's cells that were coded since the last refresh; hits are no cell's.
+        self.cells, self.coded = np.empty(_EARLY[-1] * lanes, np.intp), 0
+        self._share(np.zeros(lanes, np.int32))
 
     def _share(self, new: np.ndarray) -> None:
         """Shares by count, at least 1 for a known id, what is left for new ones."""
-        known = self.known.astype(np.int32)[:, None]
-        total = np.cumsum(self.counts, axis=1, dtype=np.int32)
-        stops = total * (np.int32(_TOTAL) - new.astype(np.int32)[:, None] - known)
-        stops //= np.maximum(total[:, -1:], 1)
-        stops += np.minimum(np.arange(1, self.columns + 1, dtype=np.int32), known)
-        starts = np.zeros((self.lanes, self.columns + 1), np.int32)
-        starts[:, 1:] = stops
-        self.widths = np.empty_like(starts)
-        np.subtract(stops, starts[:, :-1], out=self.widths[:, :-1])
-        self.widths[:, -1] = np.int32(_TOTAL) - starts[:, -1]
-        self.spans = (starts << 15 | self.widths).ravel()
-        self.row, self.count_row = self.lane * (self.columns + 1), self.lane * self.columns
+        known = self.known.astype(np.int32)
+        rows = int(known.max(initial=0))
+        starts = np.zeros((rows + 2, self.lanes), np.int32)
+        stops = starts[1:]
+        stops[:rows] = self.counts[:rows]
+        for row in range(1, rows):
+            stops[row] += stops[row - 1]
+        total = np.maximum(stops[max(rows - 1, 0)], 1)
+        stops *= np.int32(_TOTAL) - new - known
+        stops //= total
+        stops += np.arange(1, rows + 2, dtype=np.int32)[:, None]
+        np.putmask(stops, np.arange(rows + 1, dtype=np.int32)[:, None] >= known, np.int32(_TOTAL))
+        self.widths = np.diff(starts, axis=0)
+        self.spans = (starts[:-1] << 15 | self.widths).astype(np.uint32).ravel()
+
+    def _count(self) -> None:
+        rows = len(self.widths)
+        times = np.bincount(self.cells[: self.coded], minlength=(rows + 1) * self.lanes)[: rows * self.lanes]
+        self.counts[:rows] += (2 * times).astype(np.uint16).reshape(rows, self.lanes)
+        self.coded = 0
 
     def refresh(self, step: int) -> bool:
         """Takes new ids in and shares order 0 out again, at some steps; both sides do so at the same ones."""
         if step not in _EARLY and (step == 0 or step % _EARLY[-1]):
             return False
         since = step - max((e for e in (0, *_EARLY) if e < step), default=0) if step <= _EARLY[-1] else _EARLY[-1]
+        missed = np.zeros(self.lanes, np.int64)
+        self._count()
         if self.fresh:
             lane, ids = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
             self.fresh = []
-            keys, first, times = np.unique(lane << 16 | ids, return_index=True, return_counts=True)
-            order = np.lexsort((first, keys >> 16))
-            keys, times = keys[order], times[order]
-            owner = keys >> 16
-            size = np.bincount(owner, minlength=self.lanes)
-            column = self.known[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
             missed = np.bincount(lane, minlength=self.lanes)
-            self.known = self.known + size
-            grown = self.columns
-            while grown < int(self.known.max()):
-                grown *= 2
-            if grown > self.columns:
-                wider = ((0, 0), (0, grown - self.columns))
-                self.ids, self.counts, self.columns = np.pad(self.ids, wider), np.pad(self.counts, wider), grown
-            self.ids[owner, column] = (keys & 0xFFFF).astype(np.uint32)
-            self.counts[owner, column] = 2 * times
-        else:
-            missed = np.zeros(self.lanes, np.int64)
-        most = np.maximum((_TOTAL - self.known) // 2, _NEW)
-        self._share(np.where(self.known > 0, np.clip(_TOTAL * missed // since, _NEW, most), _TOTAL))
+            # Lane and id, then when it came: sorted, each id's first coming leads its run.
+            come = np.sort((lane << 16 | ids) << 32 | np.arange(len(ids)))
+            lead = np.flatnonzero(np.diff(come >> 32, prepend=-1))
+            times = np.diff(lead, append=len(come))
+            order = np.argsort(come[lead] >> 48 << 32 | come[lead] & 0xFFFFFFFF)
+            owner, own, times = come[lead][order] >> 48, come[lead][order] >> 32 & 0xFFFF, times[order]
+            size = np.bincount(owner, minlength=self.lanes)
+            row = self.known[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            self.known = (self.known + size).astype(np.uint32)
+            rows = len(self.ids)
+            while rows <= int(self.known.max()):
+                rows *= 2
+            if rows > len(self.ids):
+                more = ((0, rows - len(self.ids)), (0, 0))
+                self.ids, self.counts = np.pad(self.ids, more), np.pad(self.counts, more)
+            self.ids[row, owner] = own
+            self.counts[row, owner] = 2 * times
+        # What new ids have been counted under is no id's yet.
+        self.counts[self.known, self.lane] = 0
+        most = np.maximum((_TOTAL - self.known.astype(np.int64)) // 2, _NEW)
+        self._share(np.clip(_TOTAL * missed // since, _NEW, most).astype(np.int32))
         return True
 
-    def counted(self, lane: np.ndarray, column: np.ndarray) -> None:
-        self.counts.reshape(-1)[self.count_row.take(lane) + column] += 2
-
     def predict(self, n: int) -> None:
-        """Predictions and mixture frequencies (of 4096) of the first n lanes."""
+        """Predictions of the first n lanes, and up to where of 4096 order 2 and either order reach."""
         h = np.empty((2, n), np.uint32)
-        np.multiply(self.prev1[:n], _MIX1, out=h[0])
-        np.multiply(self.prev2[:n], _MIX2, out=h[1])
-        h[1] += h[0]
+        np.multiply(self.prev1[:n], _MIX1, out=h[1])
+        np.multiply(self.prev2[:n], _MIX2, out=h[0])
+        h[0] += h[1]
         h >>= _SHIFT
-        self.at = self.base[:, :n] + h
-        self.entry = self.follow.take(self.at)
-        self.sure, self.say = self.entry & _SEVEN, self.entry >> _THREE
-        pair = (self.sure[1] << _THREE) + self.sure[0]
-        pair += (self.say[0] == self.say[1]) * _SIXTY_FOUR
-        self.slot = self.weight_base[:n] + pair
-        self.w2, self.w1 = self.weight2.take(self.slot), self.weight1.take(self.slot)
-        self.f2 = (self.w2 * _MOST2 >> _SIXTEEN) + _I1
-        self.upto1 = (self.w1 * (_MOST1 - self.f2) >> _SIXTEEN) + self.f2 + _I1
-
-    def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        self.weight2[self.slot] = self.w2 + ((is2 * _FULL - self.w2) >> _FIVE)
-        self.weight1[self.slot] = self.w1 + ((is1 * _FULL - self.w1) >> _FIVE) * ~is2
-        kept = np.where(self.sure > 2, self.entry - _THREE, (ids << _THREE) | _ONE)
-        self.follow[self.at] = np.where(self.say == ids, self.entry + (self.sure < 7), kept)
+        h *= self.lanes
+        h += self.base[:, :n]
+        self.at = h.astype(np.intp)
+        self.entry = self.follow.take(self.at, mode="wrap")
+        self.sure, self.say = self.entry & 7, self.entry >> 3
+        pair = self.sure[0] << 3
+        pair += self.sure[1]
+        pair += (self.say[0] == self.say[1]) * np.uint32(64)
+        pair *= self.lanes
+        self.slot = (self.weight_base[:, :n] + pair).astype(np.intp)
+        self.weight = self.weights.take(self.slot, mode="wrap")
+        upto = self.weight >> 4
+        upto += self.least
+        self.upto = upto.view(np.uint32)
+
+    def parts(self, row: np.ndarray, hits: np.ndarray, base: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of what is coded, of 2^28: what a hit's order has, else the id's row under order 0."""
+        self.cell = (row * np.uint32(self.lanes) + self.lane32[: len(row)]).astype(np.intp)
+        span = self.spans.take(self.cell, mode="wrap")
+        start = span >> 15
+        start *= rest
+        start += base
+        span &= 0x7FFF
+        span *= rest
+        own = self.upto[0] << _PART
+        np.putmask(start, hits[1], own)
+        np.putmask(start, hits[0], np.uint32(0))
+        np.putmask(span, hits[1], base - own)
+        np.putmask(span, hits[0], own)
+        return start, span
+
+    def order0(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where order 0's part begins, and what one of its shares has, of 2^28."""
+        either = self.upto[1]
+        return either << _PART, (np.uint32(1 << _MIXED) - either) << _OWN
+
+    def learn(self, n: int, ids: np.ndarray, hits: np.ndarray) -> None:
+        """Takes the ids in; hits are "as order 2 says" and "as either order says"."""
+        cells = self.cells[self.coded : self.coded + n]
+        cells[:] = self.cell
+        np.putmask(cells, hits[1], len(self.spans))
+        self.coded += n
+        step = hits * np.int32(_FULL)
+        step -= self.weight
+        step >>= 5
+        step += self.weight
+        self.weights[self.slot] = step
+        entry = self.entry - 3
+        fresh = ids << 3
+        fresh |= 1
+        np.copyto(entry, fresh, where=self.sure < 3)
+        more = self.entry + 1
+        np.minimum(more, self.entry | 7, out=more)
+        np.putmask(entry, self.say == ids, more)
+        self.follow[self.at] = entry
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
 
 
-def _slots(ids: np.ndarray, size: int) -> np.ndarray:
-    """The column of each id of a block: how many others came first before it did."""
-    own = ids[:size]
-    place = np.empty(1 << 16, np.int64)
-    place[own[::-1]] = np.arange(size - 1, -1, -1)
-    first = place[own]
-    rank = np.cumsum(first == np.arange(size)) - 1
-    out = np.zeros(len(ids), np.int32)
-    out[:size] = rank[first]
-    return out
+def _by_step(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids step by step, and the row of each under order 0: how many others came first before it did."""
+    lanes, steps = ids.shape
+    out, rows = np.empty((steps, lanes), np.uint16), np.empty((steps, lanes), np.uint16)
+    place = np.empty(_TILE << 16, np.int32)
+    step, lane = np.arange(_TILE * steps, dtype=np.int32), np.arange(_TILE)[:, None] << 16
+    for at in range(0, lanes, _TILE):
+        some = ids[at : at + _TILE]
+        key = (lane[: len(some)] | some).ravel()
+        place[key[::-1]] = step[: len(key)][::-1]  # of several at one place the last stays
+        first = place.take(key, mode="wrap").astype(np.intp)
+        rank = np.cumsum((first == step[: len(key)]).reshape(some.shape), axis=1, dtype=np.uint16)
+        out[:, at : at + _TILE] = some.T
+        rows[:, at : at + _TILE] = rank.ravel().take(first, mode="wrap").reshape(some.shape).T - np.uint16(1)
+    return out, rows
 
 
 class _Writer:
-    """The ends of all lanes' ranges, and the words that have left them."""
+    """The ends of all lanes' ranges, and the words that have left them: a row each time, a column a lane."""
 
-    def __init__(self, lanes: int, steps: int):
+    def __init__(self, lanes: int):
         self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
-        self.row = 2 * steps + 8
-        self.out, self.end = np.zeros(lanes * self.row, np.uint32), np.arange(lanes) * self.row
+        self.lanes, self.rows = lanes, 512
+        self.out, self.end = np.zeros(lanes * self.rows, np.uint32), np.arange(lanes)
 
     def _carry(self, lane: np.ndarray) -> None:
-        place = self.end[lane] - 1
+        place = self.end[lane] - self.lanes
         while len(place):
-            self.out[place] += _ONE
-            place = place[self.out[place] == 0] - 1
+            self.out[place] += np.uint32(1)
+            place = place[self.out[place] == 0] - self.lanes
 
     def emit(self, lane: np.ndarray, low: np.ndarray) -> None:
-        place = self.end.take(lane)
+        place = self.end.take(lane, mode="wrap")
+        if len(place) and int(place.max()) >= len(self.out):
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)])
         self.out[place] = low >> _WORD
-        self.end[lane] = place + 1
+        self.end[lane] = place + self.lanes
 
     def narrow(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         """Narrows the lanes' ranges to a part of 2^bits; a range is never below 2^32, so one word at most is settled."""
-        low, unit = self.low[lane], self.width[lane] >> _U(bits)
-        after = low + unit * start.astype(np.uint64)
+        low, left = self.low[lane], self.width[lane] >> _U(bits)
+        after = start.astype(np.uint64)
+        after *= left
+        after += low
         index = None if isinstance(lane, slice) else lane
         over = np.flatnonzero(after < low)
         if len(over):
             self._carry(over if index is None else index[over])
-        left = unit * size.astype(np.uint64)
+        left *= size.astype(np.uint64)
         thin = np.flatnonzero(left < _FLOOR)
         if len(thin):
-            top = after.take(thin)
-            self.emit(thin if index is None else index[thin], top)
+            top = after.take(thin, mode="wrap")
+            self.emit(thin if index is None else index.take(thin, mode="wrap"), top)
             after[thin] = top << _WORD
-            left[thin] = left.take(thin) << _WORD
+            left[thin] = left.take(thin, mode="wrap") << _WORD
         self.low[lane], self.width[lane] = after, left
 
+    def words(self) -> list[np.ndarray]:
+        sizes = self.end // self.lanes
+        out, done = self.out.reshape(-1, self.lanes)[: int(sizes.max(initial=0))], []
+        for at in range(0, self.lanes, _TILE):
+            some = np.ascontiguousarray(out[:, at : at + _TILE].T)
+            done += [some[i, :n] for i, n in enumerate(sizes[at : at + _TILE].tolist())]
+        return done
+
+
+def _alive(sizes: np.ndarray) -> list[int]:
+    """How many lanes have an id at each step."""
+    return np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left").tolist()
+
 
 def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Code words of each lane; sizes must not rise."""
-    lanes, steps = ids.shape
-    model, writer = _Model(lanes), _Writer(lanes, steps)
-    alive = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
-    slots = np.empty((steps, lanes), np.int32)
-    for i in range(lanes):
-        slots[:, i] = _slots(ids[i], int(sizes[i]))
-    by_step = np.ascontiguousarray(ids.T)
-    part, own = np.int32(_BITS - _MIXED), np.int32(_BITS - _MIXED - _SHARES)
-    for t, n in enumerate(alive):
+    lanes = len(sizes)
+    model, writer = _Model(lanes), _Writer(lanes)
+    by_step, rows = _by_step(ids)
+    hits = np.empty((2, lanes), bool)
+    for t, n in enumerate(_alive(sizes)):
         model.refresh(t)
         model.predict(n)
-        x = by_step[t, :n]
-        is2 = model.say[1] == x
-        is1 = (model.say[0] == x) & ~is2
-        start = np.where(is1, model.f2, model.upto1)
-        start[is2] = 0
-        size = np.where(is2, model.f2, model.upto1 - model.f2)
-        start <<= part
-        size <<= part
-        plain = np.flatnonzero(~(is2 | is1))
-        slot = slots[t].take(plain)
-        old = slot < model.known.take(plain)
-        span = model.spans.take(model.row.take(plain) + np.where(old, slot, model.columns))
-        rest = (_I4096 - model.upto1.take(plain)) << own
-        start[plain] += rest * (span >> _FIFTEEN)
-        size[plain] = rest * (span & _LOW)
+        x = by_step[t, :n].astype(np.uint32)
+        hit = hits[:, :n]
+        np.equal(model.say, x, out=hit)
+        hit[1] |= hit[0]
+        row = np.minimum(rows[t, :n], model.known[:n])
+        start, size = model.parts(row, hit, *model.order0())
         writer.narrow(slice(0, n), start, size, _BITS)
-        new = plain[~old]
+        new = np.flatnonzero((row == model.known[:n]) > hit[1])
         if len(new):
-            fresh = x.take(new)
-            writer.narrow(new, _FIRST.take(fresh), _FIRST.take(fresh + _ONE) - _FIRST.take(fresh), 22)
-            model.fresh.append((new, fresh.astype(np.int64)))
-        model.counted(plain[old], slot[old])
-        model.learn(n, x, is2, is1)
+            fresh = x.take(new, mode="wrap").astype(np.intp)
+            writer.narrow(new, _FIRST.take(fresh, mode="wrap"), _WIDTH.take(fresh, mode="wrap"), _LAW)
+            model.fresh.append((new, fresh))
+        model.learn(n, x, hit)
     every = np.arange(lanes)
     for i in range(2):
         writer.emit(every, writer.low << _U(32 * i))
-    return [writer.out[i * writer.row : writer.end[i]] for i in range(lanes)]
+    return writer.words()
 
 
 class _Reader:
     """The code words of all lanes, and where in their ranges they point."""
 
     def __init__(self, words: list[np.ndarray]):
-        lanes, row = len(words), max(map(len, words)) + 4
-        data = np.zeros((lanes, row), np.uint32)
-        for i, w in enumerate(words):
-            data[i, : len(w)] = w
-        self.code = (data[:, 0].astype(np.uint64) << _WORD) | data[:, 1]
-        self.last = np.arange(1, lanes + 1) * row - 1
-        self.data, self.at = data.ravel(), np.arange(lanes) * row + 2
-        self.width = np.full(lanes, ~_U(0))
+        self.lanes, rows = len(words), max(map(len, words)) + 4
+        data = np.zeros((rows, self.lanes), np.uint32)
+        for at in range(0, self.lanes, _TILE):
+            some = np.zeros((min(_TILE, self.lanes - at), rows), np.uint32)
+            for i, w in enumerate(words[at : at + _TILE]):
+                some[i, : len(w)] = w
+            data[:, at : at + _TILE] = some.T
+        self.code = (data[0].astype(np.uint64) << _WORD) | data[1]
+        self.data, self.at = data.ravel(), np.arange(self.lanes) + 2 * self.lanes
+        self.width = np.full(self.lanes, ~_U(0))
 
     def point(self, lane: np.ndarray | slice, bits: int) -> np.ndarray:
         """Where the lanes point, of 2^bits."""
         self.unit = self.width[lane] >> _U(bits)
-        return np.minimum(self.code[lane] // self.unit, _U((1 << bits) - 1)).astype(np.int32)
+        return np.minimum(self.code[lane] // self.unit, _U((1 << bits) - 1)).astype(np.uint32)
 
     def narrow(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         ahead = self.code[lane] - self.unit * start.astype(np.uint64)
-        left = self.unit * size.astype(np.uint64)
+        left = self.unit
+        left *= size.astype(np.uint64)
         thin = np.flatnonzero(left < _FLOOR)
         if len(thin):
-            own = thin if isinstance(lane, slice) else lane[thin]
-            place = self.at.take(own)
-            ahead[thin] = (ahead.take(thin) << _WORD) | self.data.take(np.minimum(place, self.last.take(own)))
-            self.at[own] = place + 1
-            left[thin] = left.take(thin) << _WORD
+            own = thin if isinstance(lane, slice) else lane.take(thin, mode="wrap")
+            place = self.at.take(own, mode="wrap")
+            # Damaged code may ask for words after the last; its checksum tells.
+            ahead[thin] = (ahead.take(thin, mode="wrap") << _WORD) | self.data.take(place, mode="clip")
+            self.at[own] = place + self.lanes
+            left[thin] = left.take(thin, mode="wrap") << _WORD
         self.code[lane], self.width[lane] = ahead, left
 
 
 def _decode_lanes(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     lanes, steps = len(words), int(sizes.max(initial=0))
     model, reader = _Model(lanes), _Reader(words)
-    ids = np.zeros((steps, lanes), np.uint32)
-    alive = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
-    find, find_row = np.zeros(0, np.uint16), np.arange(lanes) << _SHARES
-    part, own = np.int32(_BITS - _MIXED), np.int32(_BITS - _MIXED - _SHARES)
-    for t, n in enumerate(alive):
+    ids = np.zeros((steps, lanes), np.uint16)
+    hits = np.empty((2, lanes), bool)
+    find, find_row = None, (model.lane << _SHARES).astype(np.uint32)
+    for t, n in enumerate(_alive(sizes)):
         if model.refresh(t) or t == 0:
-            find = np.repeat(np.tile(np.arange(model.columns + 1, dtype=np.uint16), lanes), model.widths.ravel())
+            find = None  # the old table goes before the new one comes
+            find = np.repeat(np.tile(np.arange(len(model.widths), dtype=np.uint16), lanes), model.widths.T.ravel())
+            known_ids = model.ids.reshape(-1)
         model.predict(n)
         value = reader.point(slice(0, n), _BITS)
-        mixed = value >> part
-        is2, other = mixed < model.f2, mixed >= model.upto1
-        is1 = ~(is2 | other)
-        start = np.where(is1, model.f2, model.upto1)
-        start[is2] = 0
-        size = np.where(is2, model.f2, model.upto1 - model.f2)
-        start <<= part
-        size <<= part
-        x = np.where(is2, model.say[1], model.say[0])
-        plain = np.flatnonzero(other)
-        rest = (_I4096 - model.upto1.take(plain)) << own
-        inner = (value.take(plain) - start.take(plain)) // rest
-        slot = find.take(find_row.take(plain) + np.minimum(inner, _TOTAL - 1)).astype(np.int32)
-        span = model.spans.take(model.row.take(plain) + slot)
-        start[plain] += rest * (span >> _FIFTEEN)
-        size[plain] = rest * (span & _LOW)
+        hit = hits[:, :n]
+        np.less(value >> _PART, model.upto, out=hit)
+        base, rest = model.order0()
+        inner = value - base  # of no meaning for hits, but kept in bounds
+        inner //= rest
+        np.minimum(inner, _TOTAL - 1, out=inner)
+        inner += find_row[:n]
+        row = find.take(inner.astype(np.intp), mode="wrap").astype(np.uint32)
+        start, size = model.parts(row, hit, base, rest)
         reader.narrow(slice(0, n), start, size)
-        old = slot < model.columns
-        seen, at = plain[old], slot[old]
-        x[seen] = model.ids[seen, at]
-        model.counted(seen, at)
-        new = plain[~old]
+        x = known_ids.take(model.cell, mode="wrap").astype(np.uint32)
+        np.putmask(x, hit[1], model.say[1])
+        np.putmask(x, hit[0], model.say[0])
+        new = np.flatnonzero((row == model.known[:n]) > hit[1])
         if len(new):
-            fresh = np.searchsorted(_FIRST, np.minimum(reader.point(new, 22), _LAST - 1), side="right") - 1
-            reader.narrow(new, _FIRST.take(fresh), _FIRST.take(fresh + 1) - _FIRST.take(fresh))
-            x[new] = fresh.astype(np.uint32)
+            fresh = _ids_by_law().take(np.minimum(reader.point(new, _LAW), _LAST - 1).astype(np.intp), mode="wrap").astype(np.intp)
+            reader.narrow(new, _FIRST.take(fresh, mode="wrap"), _WIDTH.take(fresh, mode="wrap"))
+            x[new] = fresh
             model.fresh.append((new, fresh))
         ids[t, :n] = x
-        model.learn(n, x, is2, is1)
-    return np.ascontiguousarray(ids.T)
+        model.learn(n, x, hit)
+    out = np.empty((lanes, steps), np.uint32)
+    for at in range(0, lanes, _TILE):
+        out[at : at + _TILE] = ids[:, at : at + _TILE].T
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -333,14 +407,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for at in range(0, len(order), LANES):
         part = order[at : at + LANES]
         sizes = np.array([len(blocks[i]) for i in part])
-        ids = np.zeros((len(part), int(sizes.max(initial=0))), np.uint32)
+        ids = np.zeros((len(part), int(sizes.max(initial=0))), np.uint16)
         for row, i in enumerate(part):
             if len(blocks[i]) and int(blocks[i].max()) >= 1 << 16:
                 raise ValueError("ids must be below 65,536")
             ids[row, : len(blocks[i])] = blocks[i]
-        for row, (i, words) in enumerate(zip(part, _encode_lanes(ids, sizes), strict=True)):
-            raw, size = words.astype("<u4").tobytes(), int(sizes[row])
-            own = zlib.crc32(ids[row, :size].astype("<u4").tobytes())
+        for i, words in zip(part, _encode_lanes(ids, sizes), strict=True):
+            raw, size = words.astype("<u4").tobytes(), len(blocks[i])
+            own = zlib.crc32(blocks[i].astype("<u4"))
             done[i] = _HEADER.pack(MAGIC, size, len(words), zlib.crc32(raw, zlib.crc32(struct.pack("<II", size, own))), own) + raw
     return done
 
@@ -363,7 +437,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         ids = _decode_lanes([np.frombuffer(payloads[i], "<u4", offset=_HEADER.size) for i in part], sizes)
         for row, i in enumerate(part):
             own = ids[row, : sizes[row]]
-            if zlib.crc32(own.astype("<u4").tobytes()) != heads[i][1]:
+            if zlib.crc32(own.astype("<u4")) != heads[i][1]:
                 raise DamagedBlock("checksum differs")
             done[i] = own
     return done

@@ -53,8 +53,8 @@ PIECES = "part int, doc_no long, doc_id long, piece int, lone boolean, first lon
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_OPEN = _LETTER.copy()
-_OPEN[128:] = True
+_CLOSED = ~_LETTER
+_CLOSED[128:] = False
 # ASCII punctuation that always starts a token after a letter; an apostrophe may belong to a contraction.
 _CUT = np.zeros(256, bool)
 _CUT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -74,12 +74,21 @@ def cut_pieces(column: pa.Array, folds: bool = True) -> T.Words:
     """
     words = T.cut_words(column)
     data = T.lower_ascii(words.data) if folds and b"<|" not in words.data.tobytes() else words.data
-    other = np.flatnonzero(~_OPEN[data])  # the padding ends every search
-    at = other[np.searchsorted(other, words.starts)]
-    cut = at[(at < words.ends) & (at > words.starts)]
-    cut = cut[_LETTER[data[cut - 1]] & _CUT[data[cut]]]
-    starts = np.sort(np.concatenate([words.starts, cut]))
-    return T.Words(data, words.rows, starts, np.sort(np.concatenate([words.ends, cut])), np.searchsorted(starts, words.rows))
+    closed = _CLOSED.take(data)
+    other = np.flatnonzero(closed)  # the padding ends every search
+    at = other.take(np.cumsum(closed, dtype=np.int32).take(words.starts) - closed.take(words.starts))
+    word = np.flatnonzero((at < words.ends) & (at > words.starts))
+    cut = at.take(word)
+    in_two = _LETTER.take(data.take(cut - 1)) & _CUT.take(data.take(cut))
+    word, cut = word[in_two], cut[in_two]
+    # A word moves up by the words before it that are cut, and its second half follows it.
+    second = word + np.arange(1, len(word) + 1)
+    whole = np.ones(len(words.starts) + len(word), bool)
+    whole[second] = False
+    starts, ends = np.empty(len(whole), np.int64), np.empty(len(whole), np.int64)
+    starts[whole], ends[whole] = words.starts, words.ends
+    starts[second], ends[second], ends[second - 1] = cut, words.ends.take(word), cut
+    return T.Words(data, words.rows, starts, ends, np.searchsorted(starts, words.rows))
 
 
 class WordTokenizer:
@@ -114,11 +123,11 @@ class WordTokenizer:
         out = np.full(len(hashes), -1, np.int64)
         todo, at = np.arange(len(hashes)), (hashes & mask).astype(np.int64)
         while len(todo):
-            there = self.keys.take(at)
-            hit = there == hashes[todo]
-            out[todo[hit]] = self.slots.take(at[hit])
-            on = ~hit & (there != 0)
-            todo, at = todo[on], (at[on] + 1) & int(mask)
+            there = self.keys.take(at, mode="wrap")
+            hit = there == hashes.take(todo, mode="wrap")
+            out[todo] = np.where(hit, self.slots.take(at, mode="wrap"), -1)
+            on = np.flatnonzero(~hit & (there != 0))
+            todo, at = todo.take(on), (at.take(on) + 1) & int(mask)
         return out
 
     def _insert(self, hashes: np.ndarray) -> None:
@@ -179,14 +188,14 @@ class WordTokenizer:
                 new = np.arange(len(hashes))
             first, raw = new[first], words.data.tobytes()
             self._learn(distinct, [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
-            slot = self._find(hashes)
-        size, start = self.size.take(slot).astype(np.int64), self.begin.take(slot).astype(np.int64)
+            slot[new] = self._find(hashes[new])
+        size, start = (x.take(slot, mode="wrap").astype(np.int64) for x in (self.size, self.begin))
         totals = T.row_sums(size, words.first) + 1
         stop = np.cumsum(totals)
         out = np.full(int(totals.sum()), end_id, np.uint32)
         inner = np.ones(len(out), bool)
         inner[stop - 1] = False
-        out[inner] = self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        out[inner] = self.ids.take(np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), mode="wrap")
         return out, totals
 
 
