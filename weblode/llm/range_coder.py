@@ -32,7 +32,7 @@ import numpy as np
 
 #: Ids of one block, and blocks coded at once.
 BLOCK_IDS = 2048
-LANES = 4096
+LANES = 3584
 MAGIC = b"CMR4"
 _HEADER = struct.Struct("<4sIIII")  # magic, ids, words, checksum of both and the words, checksum of the ids
 _U = np.uint64
@@ -99,13 +99,11 @@ class _Model:
         self.known = np.zeros(lanes, np.uint32)
         self.ids, self.counts = np.zeros((256, lanes), np.uint16), np.zeros((256, lanes), np.uint16)
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []  # lanes and new ids, step by step
-        # Order 0's cells that were coded since the last refresh; hits are no cell's.
-        self.cells, self.coded = np.empty(_EARLY[-1] * lanes, np.intp), 0
         self._share(np.zeros(lanes, np.int32))
 
     def _share(self, new: np.ndarray) -> None:
         """Shares by count, at least 1 for a known id, what is left for new ones."""
-        known = self.known.astype(np.int32)
+        self.spans, known = None, self.known.astype(np.int32)
         rows = int(known.max(initial=0))
         starts = np.zeros((rows + 2, self.lanes), np.int32)
         stops = starts[1:]
@@ -117,14 +115,11 @@ class _Model:
         stops //= total
         stops += np.arange(1, rows + 2, dtype=np.int32)[:, None]
         np.putmask(stops, np.arange(rows + 1, dtype=np.int32)[:, None] >= known, np.int32(_TOTAL))
-        self.widths = np.diff(starts, axis=0)
-        self.spans = (starts[:-1] << 15 | self.widths).astype(np.uint32).ravel()
-
-    def _count(self) -> None:
-        rows = len(self.widths)
-        times = np.bincount(self.cells[: self.coded], minlength=(rows + 1) * self.lanes)[: rows * self.lanes]
-        self.counts[:rows] += (2 * times).astype(np.uint16).reshape(rows, self.lanes)
-        self.coded = 0
+        widths = np.diff(starts, axis=0)
+        spans = starts[:-1]
+        spans <<= 15
+        spans |= widths
+        self.spans = spans.view(np.uint32).ravel()
 
     def refresh(self, step: int) -> bool:
         """Takes new ids in and shares order 0 out again, at some steps; both sides do so at the same ones."""
@@ -132,7 +127,7 @@ class _Model:
             return False
         since = step - max((e for e in (0, *_EARLY) if e < step), default=0) if step <= _EARLY[-1] else _EARLY[-1]
         missed = np.zeros(self.lanes, np.int64)
-        self._count()
+        self.counts[-1] = 0
         if self.fresh:
             lane, ids = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
             self.fresh = []
@@ -147,7 +142,7 @@ class _Model:
             row = self.known[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
             self.known = (self.known + size).astype(np.uint32)
             rows = len(self.ids)
-            while rows <= int(self.known.max()):
+            while rows <= int(self.known.max()) + 1:
                 rows *= 2
             if rows > len(self.ids):
                 more = ((0, rows - len(self.ids)), (0, 0))
@@ -205,10 +200,10 @@ class _Model:
 
     def learn(self, n: int, ids: np.ndarray, hits: np.ndarray) -> None:
         """Takes the ids in; hits are "as order 2 says" and "as either order says"."""
-        cells = self.cells[self.coded : self.coded + n]
-        cells[:] = self.cell
-        np.putmask(cells, hits[1], len(self.spans))
-        self.coded += n
+        # Order 0 counts what it codes; hits go to the last row, which is no id's.
+        np.putmask(self.cell, hits[1], self.counts.size - 1)
+        counts = self.counts.reshape(-1)
+        counts[self.cell] = counts.take(self.cell, mode="wrap") + 2
         step = hits * np.int32(_FULL)
         step -= self.weight
         step >>= 5
@@ -369,7 +364,9 @@ def _decode_lanes(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     for t, n in enumerate(_alive(sizes)):
         if model.refresh(t) or t == 0:
             find = None  # the old table goes before the new one comes
-            find = np.repeat(np.tile(np.arange(len(model.widths), dtype=np.uint16), lanes), model.widths.T.ravel())
+            widths = (model.spans & 0x7FFF).reshape(-1, lanes)
+            find = np.repeat(np.tile(np.arange(len(widths), dtype=np.uint16), lanes), widths.T.ravel())
+            del widths
             known_ids = model.ids.reshape(-1)
         model.predict(n)
         value = reader.point(slice(0, n), _BITS)
